@@ -29,8 +29,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewave.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_files, op6_bpe)}
+    return {f.__name__: f for f in (op4_token_files, op6_bpe, op9_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
