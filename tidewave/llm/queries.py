@@ -35,8 +35,26 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewave.llm.quality_model import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", folds=3, held_out=1)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewave.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", folds=5, held_out=0)
+
+
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewave.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_files, op6_bpe, op9_minhash)}
+    return {f.__name__: f for f in (op3_quality, op4_token_files, op5_toxicity, op6_bpe, op9_minhash, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,7 +1,8 @@
 """Toxicity: a logistic model of words that counterfactual pairs keep neutral about identity terms.
 
-Operator 5. The words of a text (lower case, punctuation at the ends off) and their first four and five letters are features; those
-that best tell the labelled sample's classes apart (chi-square over documents) are the vocabulary. In every labelled document
+Operator 5. Features are the words of a text (lower case, without punctuation), their first four and five letters, and marks
+where two or more different words, or over a hundredth of all, begin alike. Those that speak for toxicity and best tell the
+labelled sample's classes apart (chi-square over documents) are the vocabulary. In every labelled document
 with identity terms, each term is swapped for the next of its kind; the loss is logistic loss plus BALANCE times the mean squared
 change of the score by the swap. Identity terms are always in the vocabulary, so that a chance link with a label is unlearned.
 
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from tidewave.llm.common import cut, documents
 from tidewave.llm.samples import labelled_sample, remainder, sample_texts
 
-VOCABULARY = 3000
+VOCABULARY = 1200
 #: A word has to be in so many documents of the sample.
-LEAST_DOCS = 4
-RIDGE, BALANCE = 0.02, 5.0
+LEAST_DOCS = 6
+RIDGE, BALANCE = 3e-4, 5.0
 #: Identity terms by kind, in four languages. A swap takes the next term of its row.
 IDENTITIES = [
     ["women", "men", "girls", "boys"],
@@ -52,8 +53,12 @@ def words_of(text: str) -> set[str]:
 
 
 def features_of(words: set[str]) -> set[str]:
-    """Words and their beginnings; a beginning is marked by an asterisk."""
-    return words | {w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}
+    """Words, their beginnings (an asterisk), beginnings of two or more words (2), and of many among all words (d)."""
+    starts = Counter([w[:4] + "*" for w in words if len(w) > 4])
+    starts.update([w[:5] + "*" for w in words if len(w) > 5])
+    many = {f for f, k in starts.items() if k > 1}
+    least = len(words) / 100
+    return words | starts.keys() | {f + "2" for f in many} | {f + "d" for f in many if starts[f] > least}
 
 
 def swapped(words: set[str]) -> set[str]:
@@ -81,7 +86,7 @@ def vocabulary(texts: DataFrame) -> list[str]:
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     c, d = F.lit(n1) - a, F.lit(n0) - b
     chi = (a * d - b * c) * (a * d - b * c) * F.lit(n0 + n1) / ((a + b) * F.greatest(c + d, F.lit(0.5)) * F.lit(n1) * F.lit(n0))
-    best = table.where(F.col("a") + F.col("b") >= LEAST_DOCS).select("feature", chi.alias("chi")).where("chi > 6").orderBy(F.desc("chi"), "feature").limit(VOCABULARY)
+    best = table.where(F.col("a") + F.col("b") >= LEAST_DOCS).select("feature", chi.alias("chi")).where("chi > 10").where(a / n1 > b / n0).orderBy(F.desc("chi"), "feature").limit(VOCABULARY)
     return sorted({r["feature"] for r in best.collect()} | set(terms))
 
 
@@ -90,31 +95,44 @@ def design(rows: list[list[int]], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([c for r in rows for c in r], np.int64)
 
 
-def fit(rows: list[list[int]], pairs: list[tuple[int, list[int]]], y: np.ndarray, width: int, rounds: int = 400) -> tuple[np.ndarray, float]:
+def fit(rows: list[list[int]], pairs: list[tuple[int, list[int]]], y: np.ndarray, width: int, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Weights and intercept, by accelerated gradient steps. pairs: (row, features of its counterfactual)."""
+    rows = [[*r, width] for r in rows]  # the last column is the intercept
+    pairs = [(i, [*r, width]) for i, r in pairs]
     at, col = design(rows, width)
     who = np.array([i for i, _ in pairs], np.int64)
     c_at, c_col = design([f for _, f in pairs], width)
     n = len(y)
-    balance = np.where(y == 1, n / (2 * max(y.sum(), 1)), n / (2 * max(n - y.sum(), 1)))
-    widest = max((len(r) for r in rows), default=1) + 1
-    rate = 1.0 / (0.25 * balance.max() * widest / 4 + (2 * BALANCE if pairs else 0) + RIDGE)
-    w, b = np.zeros(width), 0.0
-    look, look_b, t = w.copy(), b, 1.0
+    weight = np.where(y == 1, np.sqrt((n - y.sum()) / y.sum()), 1.0)
+    weight *= n / weight.sum()
+    shrink = np.append(np.full(width, RIDGE), 0)
+
+    def change(w: np.ndarray) -> np.ndarray:
+        """X.T * 2 * BALANCE / pairs * X w for the rows' differences from their counterfactuals."""
+        if not pairs:
+            return np.zeros(width + 1)
+        moved = np.bincount(at, w[col], n)[who] - np.bincount(c_at, w[c_col], len(pairs))
+        own = np.zeros(n)
+        np.add.at(own, who, moved)
+        return 2 * BALANCE / len(pairs) * (np.bincount(col, own[at], width + 1) - np.bincount(c_col, moved[c_at], width + 1))
+
+    v = np.ones(width + 1)
+    top = 1.0
+    for _ in range(30):  # the largest curvature, for the step
+        v = np.bincount(col, (weight * np.bincount(at, v[col], n))[at], width + 1) * 0.25 / n + change(v) + shrink * v
+        top = np.linalg.norm(v)
+        v /= max(top, 1e-12)
+    w = np.zeros(width + 1)
+    look, t = w.copy(), 1.0
     for _ in range(rounds):
-        z = np.bincount(at, look[col], n) + look_b
-        residual = balance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        gradient = np.bincount(col, residual[at], width) + RIDGE * look / 50
-        if pairs:
-            change = np.bincount(at, look[col], n)[who] - np.bincount(c_at, look[c_col], len(pairs))
-            own = np.zeros(n)
-            np.add.at(own, who, change)
-            gradient += 2 * BALANCE / len(pairs) * (np.bincount(col, own[at], width) - np.bincount(c_col, change[c_at], width))
-        new, new_b = look - rate * gradient, look_b - rate * residual.sum()
+        residual = weight * (1 / (1 + np.exp(-np.clip(np.bincount(at, look[col], n), -40, 40))) - y) / n
+        new = look - (np.bincount(col, residual[at], width + 1) + shrink * look + change(look)) / (1.1 * top)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        look, look_b = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)
-        w, b, t = new, new_b, t_new
-    return w, float(b)
+        if (new - w) @ (look - new) > 0:  # it overshot: start the momentum again
+            t_new = 1.0
+        look = new + (t - 1) / t_new * (new - w) if t_new > 1 else new
+        w, t = new, t_new
+    return w[:width], float(w[width])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> tuple[dict[str, float], float] | None:
