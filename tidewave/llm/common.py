@@ -122,6 +122,11 @@ class Spans:
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
+    def sliding(self, size: int) -> np.ndarray:
+        """Hashes of all spans of one size."""
+        n = len(self.sums) - size
+        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n] + np.uint64(size))
+
 
 def word_bounds(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all documents, and each document's first word (n + 1)."""

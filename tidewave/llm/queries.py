@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -53,9 +54,31 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewave.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewave.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewave.llm import chat
+
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.HARD).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    return chat.digests(chat.render(chat.fold(chat.events_of_rows(rows))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality, op4_token_files, op5_toxicity, op6_bpe, op9_minhash, op10_rules)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality, op4_token_files, op5_toxicity, op6_bpe, op7_chat, op9_minhash, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidewave.llm import chat, decontamination
+
+    return {"op2_decontamination": decontamination.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL}
