@@ -7,9 +7,11 @@ them make a band, and documents with an equal band are candidates. Candidates ar
 registers that are larger, smaller and equal, given both set sizes, and what can reach the wanted similarity is verified on
 full sets. With 28 bands of 5 registers a pair at similarity 0.85 is missed with a chance of (1 - 0.85 ** 5) ** 28 < 1e-7.
 
-Equal sets are one class with one representative before anything is paired. In a bucket, members are linked to a hub, and only
-members of different components are compared further: first with other hubs, then, so that no link is lost, all that are
-left. Components come from alternating star contraction over links, on Spark.
+Equal sets are one class with one representative before anything is paired. In a bucket, members are linked to a hub, the one
+that shares most buckets, and only members of different components are compared further: first with other hubs, then, so that no
+link is lost, all that are left. Shingles that a single candidate has can be in no intersection: with c shingles that others
+have too, x and y share at most min(c_x, c_y), and pairs that can't reach the similarity so are never formed. Components come
+from alternating star contraction over links, on Spark.
 
 Null or empty texts, and texts without words, have an empty set and link with nothing. Texts of fewer words than a shingle have
 one shingle, the whole sequence. Rows that repeat a doc_id are distinct rows with the same result. Rows without a doc_id link with
@@ -140,6 +142,20 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, shingles binary")
 
 
+def lone_shingles(sets: DataFrame) -> DataFrame:
+    """doc_id and how many of its shingles no other document of sets has (documents with none are left out)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                lists = [np.frombuffer(x.as_py(), np.int64) for x in some.column("shingles")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.repeat(some.column("doc_id").to_numpy(), [len(x) for x in lists]))], ["shingle", "doc_id"])
+
+    rows = sets.mapInArrow(run, "shingle long, doc_id long")
+    return rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("lone"))
+
+
 def likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches can come from sets of the wanted similarity."""
 
@@ -208,23 +224,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, hub_rounds: int = 3) ->
     classes = cut(classes, "classes")
     own = cut(real.join(classes.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "regs", "keys"), "representatives")
     bands = own.select("doc_id", "n", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = cut(bands.join(shared, "key"), "members")
-    needed = members.select("doc_id").distinct()
-    sets = cut(full_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+    shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    placed = cut(bands.join(shared, "key"), "places")
+    popular = placed.groupBy("doc_id").agg(F.sum("c").alias("popular"))
+    sets = cut(full_sets(docs.join(popular.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+    about = popular.join(lone_shingles(sets), "doc_id", "left")
+    members = cut(placed.join(about, "doc_id").select("doc_id", "n", "key", "popular", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("core")), "members")
+    hundred = 100 + percent
     links = None
     tried = None
     parts = members.withColumn("part", F.col("doc_id"))
     for k in range(hub_rounds + 1):
-        apart = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-        open_ = parts.join(apart, "key") if k else parts
+        apart = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("n").alias("least_n"), F.max(hundred * F.col("core") - percent * F.col("n")).alias("reach")).where("p < q").select("key", "least_n", "reach")
+        # who can reach the similarity with nobody in the bucket, judged by the smallest and the most shared of it, leaves it
+        able = (hundred * F.col("core") - percent * F.col("n") >= percent * F.col("least_n")) & (F.col("reach") >= percent * F.col("n"))
+        open_ = parts.join(apart, "key").where(able).drop("least_n", "reach")
         if k < hub_rounds:  # each bucket's members against one hub, another one each round
-            rank = F.col("doc_id") if k == 0 else F.xxhash64(F.col("doc_id"), F.col("key"), F.lit(k))
-            hubs = open_.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc_id", "n", "part")).alias("h")).select("key", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.part").alias("hub_part"))
+            rank = -F.col("popular") if k == 0 else F.xxhash64(F.col("doc_id"), F.col("key"), F.lit(k))
+            hubs = open_.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc_id", "n", "core", "part")).alias("h")).select("key", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.core").alias("hub_core"), F.col("h.part").alias("hub_part"))
             pairs = open_.join(hubs, "key")
         else:  # all that are still in different components
-            pairs = open_.alias("x").join(open_.select("key", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("part").alias("hub_part")), "key").where("doc_id < hub")
-        pairs = pairs.where("part != hub_part").where(F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n"))
+            others = open_.select("key", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("core").alias("hub_core"), F.col("part").alias("hub_part"))
+            pairs = open_.join(others, "key").where("doc_id < hub")
+        pairs = pairs.where("part != hub_part").where(hundred * F.least("core", "hub_core") >= percent * (F.col("n") + F.col("hub_n")))
         pairs = pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -237,7 +259,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, hub_rounds: int = 3) ->
         found = cut(verified(likely(pairs, own), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         parts_of = cut(components(links), "components")
-        parts = members.join(parts_of, "doc_id", "left").select("doc_id", "n", "key", F.coalesce("component_id", "doc_id").alias("part"))
+        parts = members.join(parts_of, "doc_id", "left").select("doc_id", "n", "key", "popular", "core", F.coalesce("component_id", "doc_id").alias("part"))
     named = classes.withColumnRenamed("doc_id", "class_id")
     if links is not None:
         named = named.join(parts_of.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
