@@ -30,6 +30,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewave.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewave.llm.minhash import near_duplicates
 
@@ -75,7 +81,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality, op4_token_files, op5_toxicity, op6_bpe, op7_chat, op9_minhash, op10_rules)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality, op4_token_files, op5_toxicity, op6_bpe, op7_chat, op8_html_text, op9_minhash, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

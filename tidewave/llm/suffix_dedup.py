@@ -303,40 +303,57 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     return whole.unionByName(_sorted_collections(few, length)).unionByName(_split_by_window(many, length))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also what is left, as text
-    (kept_text; bytes of characters that were cut apart are left out)."""
-    docs = documents(docs)
-    ranges = repeated_ranges(docs, length, gram, hot)
-    by_doc = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
+def _with_ranges(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """docs with the column _ranges of what to remove."""
+    ranges = repeated_ranges(documents(docs), length, gram, hot)
+    by_doc = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("_ranges"))
+    return docs.join(by_doc, "doc_id", "left")
+
+
+def kept_bytes(raw: np.ndarray, offs: np.ndarray, lists: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """What is left of each document, how many bytes go, and in how many runs."""
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+    fields = lists.flatten()
+    a, b = (np.minimum(fields.field(k).to_numpy() + offs[owner], offs[owner + 1]) for k in ("from", "to"))
+    edge = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(edge, a, 1)
+    np.add.at(edge, b, -1)
+    gone = np.cumsum(edge)[:-1] > 0
+    sums = np.append(0, np.cumsum(gone))
+    head = gone.copy()
+    if len(gone):
+        head[1:] &= ~gone[:-1]
+        starts = offs[:-1][offs[:-1] < len(raw)]
+        head[starts] = gone[starts]
+    heads = np.append(0, np.cumsum(head))
+    kept = raw[~gone].tobytes()
+    cuts = (offs - sums[offs]).tolist()
+    return [kept[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], sums[offs[1:]] - sums[offs[:-1]], heads[offs[1:]] - heads[offs[:-1]]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offs in steps(batches):
-            lists = rows.column("ranges")
-            owner = np.repeat(np.arange(rows.num_rows), lists.value_lengths().fill_null(0).to_numpy())
-            fields = lists.flatten()
-            a, b = (np.minimum(fields.field(k).to_numpy() + offs[owner], offs[owner + 1]) for k in ("from", "to"))
-            edge = np.zeros(len(raw) + 1, np.int32)
-            np.add.at(edge, a, 1)
-            np.add.at(edge, b, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            sums = np.append(0, np.cumsum(gone))
-            head = gone.copy()
-            if len(gone):
-                head[1:] &= ~gone[:-1]
-                starts = offs[:-1][offs[:-1] < len(raw)]
-                head[starts] = gone[starts]
-            heads = np.append(0, np.cumsum(head))
-            kept = raw[~gone].tobytes()
-            to = (offs[1:] - sums[offs[1:]]).tolist()
-            since = (offs[:-1] - sums[offs[:-1]]).tolist()
-            own = [kept[x:y] for x, y in zip(since, to, strict=True)]
-            columns = [rows.column("doc_id"), pa.array(np.diff(offs)), pa.array(sums[offs[1:]] - sums[offs[:-1]]), pa.array(heads[offs[1:]] - heads[offs[:-1]]), pa.array([hashlib.sha256(x).hexdigest() for x in own])]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_text:
-                columns.append(pa.array([x.decode("utf-8", "ignore") for x in own], pa.string()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    joined = docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else ""))
+            own, removed, spans = kept_bytes(raw, offs, rows.column("_ranges"))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(offs)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(x).hexdigest() for x in own])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return _with_ranges(documents(docs), length, gram, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """The documents with what is left of their texts, and n_chars to match. Bytes of characters that were cut apart go too."""
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw, offs in steps(batches):
+            own, _, _ = kept_bytes(raw, offs, rows.column("_ranges"))
+            texts = [x.decode("utf-8", "ignore") for x in own]
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in columns], columns)
+
+    schema = docs.withColumn("text", F.lit("")).schema if "n_chars" not in columns else docs.withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
+    for f in schema.fields:
+        f.nullable = True
+    return _with_ranges(docs, length, gram, hot).select(*columns, "_ranges").mapInArrow(run, schema)
