@@ -5,11 +5,297 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewave.operators import accessors, spans, strategies, timeframes, trades
+from tidewave.operators import waves as wv
+from tidewave.operators.indicators import true_range, with_indicators
+from tidewave.operators.projection import ALL_COLUMNS, LIFE, WHOLE, ZONES, project
+from tidewave.plans import oracle
+from tidewave.sources.bars import millis, resample
+
+HOUR = 3_600_000
+TEXT = {"wave_side", "wave_id"}
+FLAGS = {c for c in ALL_COLUMNS if c.startswith(("made_", "is_", "three_", "sfp_")) or c.endswith(("_divergence", "_confirmed", "_is_double")) or (c in LIFE and "count" not in c)}
+NUMBERS = set(ALL_COLUMNS) - TEXT - FLAGS - WHOLE
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def event_bars(spark: SparkSession, sf_dir: str, hours: int = 4) -> DataFrame:
+    """Bars of the values of each event type."""
+    value = F.nanvl(F.col("value"), F.lit(None).cast("double"))
+    return resample(read(spark, sf_dir, "events"), F.col("event_type"), millis(F.col("ts")), value, value, hours * HOUR, [F.col("event_id")])
+
+
+def segments(spark: SparkSession, sf_dir: str, hours: int = 4) -> DataFrame:
+    return wv.segment(with_indicators(event_bars(spark, sf_dir, hours)).withColumn("hist", F.col("tsi_histogram")))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six digits, whole numbers to long."""
+    return df.select(*(F.round(F.col(c), 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
+
+
+def r6(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+def whole(*names: str) -> str:
+    return ", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in names)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: rounded(run(spark, sf_dir))
+    if sql is not None:
+        SQL[name] = sql
+
+
+def level_of(columns: list[str]) -> str:
+    return "lproj" if set(columns) & set(LIFE) else "zproj" if set(columns) & set(ZONES) else "proj"
+
+
+def sql_columns(columns: list[str]) -> str:
+    return ", ".join(f"round(ms_{c}, 6) AS ms_{c}" if c in NUMBERS else f"CAST(ms_{c} AS BIGINT) AS ms_{c}" if c in WHOLE else f"ms_{c}" for c in columns)
+
+
+def projected(name: str, columns: list[str], **options: str) -> None:
+    """A query of some of the projected columns."""
+    query(
+        name,
+        lambda spark, sf_dir: project(event_bars(spark, sf_dir), columns, **options).select("symbol", "open_time", *(f"ms_{c}" for c in columns)),
+        f"{oracle.upto(level_of(columns), wick=options.get('retest_mode', 'wick') == 'wick')} SELECT symbol, open_time, {sql_columns(columns)} FROM {level_of(columns)}",
+    )
+
+
+def all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project(event_bars(spark, sf_dir))
+
+
+def sources() -> None:
+    query("ohlcv_resample_4h", event_bars, f"WITH {oracle.bars_sql()} SELECT symbol, open_time, {r6('open', 'high', 'low', 'close', 'volume')} FROM bars")
+    query("ohlcv_resample_1h", lambda s, d: event_bars(s, d, 1), f"WITH {oracle.bars_sql(1)} SELECT symbol, open_time, {r6('open', 'high', 'low', 'close', 'volume')} FROM bars")
+
+    def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return resample(read(spark, sf_dir, "orders"), F.col("o_orderpriority"), millis(F.col("o_orderdate")), F.col("o_totalprice"), F.lit(1.0), 24 * HOUR, [F.col("o_orderkey")])
+
+    query("ohlcv_resample_1d_orders", daily, """
+WITH t AS (SELECT o_orderpriority AS symbol, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS t, o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL)
+SELECT symbol, CAST(t - t % 86400000 AS BIGINT) AS open_time, round(min(struct_pack(t := t, k := k, p := p)).p, 6) AS open, round(max(p), 6) AS high, round(min(p), 6) AS low,
+  round(max(struct_pack(t := t, k := k, p := p)).p, 6) AS close, round(CAST(count(*) AS DOUBLE), 6) AS volume FROM t GROUP BY 1, 2""")
+
+    def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tie = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+        return resample(read(spark, sf_dir, "lineitem"), F.col("l_partkey") % 50, millis(F.col("l_shipdate")), F.col("l_extendedprice"), F.col("l_quantity"), 7 * 24 * HOUR, tie)
+
+    query("ohlcv_resample_1w_lineitem", parts, """
+WITH t AS (SELECT CAST(l_partkey % 50 AS VARCHAR) AS symbol, epoch_ms(CAST(l_shipdate AS TIMESTAMP)) AS t, l_orderkey AS a, l_linenumber AS b, l_partkey AS c, l_suppkey AS d, CAST(l_extendedprice AS DOUBLE) AS p, CAST(l_quantity AS DOUBLE) AS q FROM lineitem
+  WHERE l_extendedprice IS NOT NULL AND l_shipdate IS NOT NULL)
+SELECT symbol, CAST(t - t % 604800000 AS BIGINT) AS open_time, round(min(struct_pack(t := t, a := a, b := b, c := c, d := d, p := p)).p, 6) AS open, round(max(p), 6) AS high, round(min(p), 6) AS low,
+  round(max(struct_pack(t := t, a := a, b := b, c := c, d := d, p := p)).p, 6) AS close, round(sum(q), 6) AS volume FROM t GROUP BY 1, 2""")
+
+
+def indicators() -> None:
+    query("true_range", lambda s, d: event_bars(s, d).select("symbol", "open_time", true_range().alias("true_range")), f"{oracle.upto('ind')} SELECT symbol, open_time, round(tr, 6) AS true_range FROM ind")
+    query("atr_wilder_14", lambda s, d: with_indicators(event_bars(s, d)).select("symbol", "open_time", "atr"), f"{oracle.upto('ind')} SELECT symbol, open_time, round(atr, 6) AS atr FROM ind")
+    query("tsi_12_8_4", lambda s, d: with_indicators(event_bars(s, d)).select("symbol", "open_time", "tsi", "tsi_signal", "tsi_histogram"), f"{oracle.upto('ind')} SELECT symbol, open_time, round(tsi, 6) AS tsi, round(tsi_signal, 6) AS tsi_signal, round(hist, 6) AS tsi_histogram FROM ind")
+
+
+def wave_tables() -> None:
+    def table(s: SparkSession, d: str) -> DataFrame:
+        return wv.waves(segments(s, d))
+
+    query("wave_segments", lambda s, d: segments(s, d).select("symbol", "open_time", "i", "is_up", "flip", "k"), f"{oracle.upto('seg')} SELECT symbol, open_time, {whole('i', 'k')}, is_up, flip FROM seg")
+    extrema = ["high", "low", "high_close", "low_close", "h", "l"]
+    places = ["high_i", "low_i", "h_i", "l_i", "start_i", "end_i", "n_bars", "formation_i"]
+    query("wave_extrema", lambda s, d: table(s, d).select("symbol", "wave_id", "side", "volume", *extrema, *places), f"{oracle.upto('wv')} SELECT symbol, wave_id, side, {r6('volume', *extrema)}, {whole(*places)} FROM wall")
+    query("current_wave", lambda s, d: accessors.current_wave(table(s, d)).select("symbol", "wave_id", "side", "high", "low", "n_bars"), f"{oracle.upto('wv')} SELECT symbol, wave_id, side, {r6('high', 'low')}, {whole('n_bars')} FROM wall WHERE is_forming")
+    query("wave_high_low_since", lambda s, d: wv.wave_history(table(s, d)).select("symbol", "k", "since"), f"{oracle.upto('since')} SELECT symbol, {whole('k', 'since')} FROM since")
+    pull = ["pullback_breakout_level", "pullback_price_diff", "pullback_correction_factor"]
+    query("wave_pullback", lambda s, d: wv.pullback(wv.confirmed(table(s, d))).select("symbol", "wave_id", "pullback_length", *pull), f"{oracle.upto('fact')} SELECT symbol, wave_id, {whole('pullback_length')}, {r6(*pull)} FROM fact")
+    facts = ["volume", "amplitude", "slope", "volume_ratio", "amplitude_ratio"]
+    query("wave_metrics", lambda s, d: wv.metrics(wv.confirmed(table(s, d))).select("symbol", "wave_id", "n_bars", *facts), f"{oracle.upto('fact')} SELECT symbol, wave_id, {whole('n_bars')}, {r6(*facts)} FROM fact")
+    query("wave_divergence", lambda s, d: wv.diverging(wv.confirmed(table(s, d))).select("symbol", "wave_id", "side", "diverging"), f"{oracle.upto('fact')} SELECT symbol, wave_id, side, diverging FROM fact")
+
+    def swings(s: SparkSession, d: str) -> DataFrame:
+        t = table(s, d)
+        parts = [accessors.last_swing(t, up, back, forming).select("symbol", F.lit(name).alias("swing"), "wave_id", F.col("h" if up else "l").alias("price")) for name, up, back, forming in (("last_top", True, 0, False), ("previous_top", True, 1, False), ("last_bottom", False, 0, False), ("previous_bottom", False, 1, False), ("last_top_forming", True, 0, True), ("last_bottom_forming", False, 0, True))]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    query("swing_accessors", swings, f"""{oracle.upto('wv')}, ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, is_up ORDER BY k DESC) AS n FROM wv),
+whole AS (SELECT *, row_number() OVER (PARTITION BY symbol, is_up ORDER BY k DESC) AS n FROM wall)
+SELECT symbol, CASE WHEN n = 1 THEN 'last_' ELSE 'previous_' END || CASE WHEN is_up THEN 'top' ELSE 'bottom' END AS swing, wave_id, round(CASE WHEN is_up THEN h ELSE l END, 6) AS price FROM ranked WHERE n <= 2
+UNION ALL SELECT symbol, CASE WHEN is_up THEN 'last_top_forming' ELSE 'last_bottom_forming' END, wave_id, round(CASE WHEN is_up THEN h ELSE l END, 6) FROM whole WHERE n = 1""")
+    query("trending_now", lambda s, d: accessors.trending(table(s, d)), f"""{oracle.upto('wv')}, ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, is_up ORDER BY k DESC) AS n FROM wv),
+piv AS (SELECT symbol, max(CASE WHEN is_up AND n = 1 THEN h END) AS t0, max(CASE WHEN is_up AND n = 2 THEN h END) AS t1, max(CASE WHEN NOT is_up AND n = 1 THEN l END) AS b0, max(CASE WHEN NOT is_up AND n = 2 THEN l END) AS b1 FROM ranked GROUP BY symbol)
+SELECT f.symbol, coalesce(t0 > t1 AND b0 > b1 AND (f.is_up OR f.low > b0), false) AS is_trending_up, coalesce(t0 < t1 AND b0 < b1 AND (NOT f.is_up OR f.high < t0), false) AS is_trending_down FROM wall f LEFT JOIN piv USING (symbol) WHERE f.is_forming""")
+
+    def neighbours(s: SparkSession, d: str) -> DataFrame:
+        t = table(s, d)
+        pairs = wv.confirmed(t).where("k >= 4").select("symbol", F.col("k").alias("a"), (F.col("k") - 4).alias("b"))
+        return accessors.broken_between(t, pairs)
+
+    query("broken_between", neighbours, f"""{oracle.upto('wv')}
+SELECT a.symbol, CAST(a.k AS BIGINT) AS a, CAST(b.k AS BIGINT) AS b, bool_or(c.low < a.low OR c.low < b.low) AS lower_low_between, bool_or(c.high > a.high OR c.high > b.high) AS higher_high_between
+FROM wv a JOIN wv b ON b.symbol = a.symbol AND b.k = a.k - 4 JOIN wv c ON c.symbol = a.symbol AND c.k < a.k AND c.k > b.k GROUP BY a.symbol, a.k, b.k""")
+    for up, name in ((True, "top"), (False, "bottom")):
+        h, at = ("h", "h_i") if up else ("l", "l_i")
+        query(f"long_term_{name}", lambda s, d, up=up: accessors.long_term_swings(table(s, d), up, 20, 150), f"""{oracle.upto('since')},
+n AS (SELECT symbol, max(end_i) AS e, max(CASE WHEN NOT is_forming THEN k END) AS newest FROM wall GROUP BY symbol),
+c AS (SELECT wv.*, since.since, row_number() OVER (PARTITION BY wv.symbol ORDER BY wv.k DESC) AS n FROM wv JOIN since USING (symbol, k) WHERE wv.is_up = {str(up).lower()} AND since.since >= 20)
+SELECT c.symbol, wave_id, CAST(k AS BIGINT) AS k, CAST(e - {at} AS BIGINT) AS age, CAST(since AS BIGINT) AS since, round({h}, 6) AS price FROM c JOIN n USING (symbol) WHERE c.n = 1 AND (k = newest OR e - end_i <= 150)""")
+    for side in ("support", "resistance"):
+        names = ["low", "high", "wick_low", "wick_high"]
+        query(f"{side}_zone_list", lambda s, d, side=side: accessors.zones(table(s, d), side, only_newest=False, max_waves=100_000).select("symbol", "place", "anchor_wave_id", *names, "is_double", F.size("overlap_high_ids" if side == "resistance" else "overlap_low_ids").alias("n_same")), f"""{oracle.upto('zones')}
+SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY k DESC) - 1 AS place, 'w-' || k AS anchor_wave_id, {', '.join(f'round({a}, 6) AS {b}' for a, b in zip(('zlow', 'zhigh', 'wlow', 'whigh'), names, strict=True))}, dbl AS is_double, CAST(n_over AS BIGINT) AS n_same
+FROM anchor WHERE is_up = {str(side == 'resistance').lower()}""")
+        query(f"{side}_zones_distinct", lambda s, d, side=side: accessors.zones(table(s, d), side, include_forming=True).select("symbol", "place", "side", "anchor_wave_id", *names, "is_double", F.size("overlap_low_ids").alias("n_low"), F.size("overlap_high_ids").alias("n_high")))
+
+
+def columns() -> None:
+    projected("swing_levels", ["last_top_price", "last_bottom_price", "high_since", "low_since"])
+    projected("swing_comparisons", ["made_higher_high", "made_higher_low", "made_lower_high", "made_lower_low"])
+    projected("trend_flags", ["wave_side", "wave_id", "last_top_price", "last_bottom_price", "is_trending_up", "is_trending_down"])
+    projected("trend_duration", ["trend_duration"])
+    projected("trend_wave_count", ["wave_count", "trend_wave_count"])
+    projected("three_push", ["three_push_up", "three_push_down"])
+    projected("structure_break", ["structure_break_level", "structure_break_confirmed"])
+    projected("forming_extremes", ["forming_wave_high", "forming_wave_low"])
+    projected("bars_since_swing", ["bars_since_last_top", "bars_since_last_bottom"])
+    projected("sfp_events", ["sfp_high", "sfp_low"])
+    projected("pullback_columns", ["pullback_length", "pullback_correction_factor", "pullback_breakout_level", "pullback_price_diff", "pullback_atr_factor"])
+    projected("wave_columns", ["wave_length", "wave_amplitude", "wave_slope", "wave_volume", "wave_volume_ratio", "wave_amplitude_ratio"])
+    projected("divergence_columns", ["bearish_divergence", "bullish_divergence"])
+    for side in ("support", "resistance"):
+        projected(f"{side}_zones", [c for c in ZONES if c.startswith(side)])
+    projected("zone_quality", ["zone_quality_support", "zone_quality_resistance"])
+    projected("zone_distance", ["atr", "distance_to_support", "distance_to_resistance"])
+    projected("zone_lifecycle_wick", list(LIFE))
+    projected("zone_lifecycle_close", list(LIFE), retest_mode="close")
+    projected("project_all_columns", list(ALL_COLUMNS))
+
+
+def higher_timeframe() -> None:
+    wanted = ["wave_side", "wave_id", "last_top_price", "last_bottom_price", "is_trending_up", "is_trending_down", "support_zone_low", "support_zone_high", "zone_quality_support"]
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return timeframes.project_higher(event_bars(s, d, 1), wanted, htf="4h", ltf="1h").select("symbol", "open_time", *(f"ms_4h_{c}" for c in wanted))
+
+    cells = ", ".join(f"round(z.ms_{c}, 6) AS ms_4h_{c}" if c in NUMBERS else f"z.ms_{c} AS ms_4h_{c}" for c in wanted)
+    hour = oracle.bars_sql(1).split("bars AS", 1)[1]
+    query("mtf_projection", run, f"{oracle.upto('zproj')}, ltf AS {hour} SELECT ltf.symbol, ltf.open_time, {cells} FROM ltf ASOF LEFT JOIN zproj z ON z.symbol = ltf.symbol AND ltf.open_time >= z.open_time + {4 * HOUR}")
+
+
+def span_queries() -> None:
+    w = "WINDOW w AS (PARTITION BY symbol ORDER BY i)"
+
+    def heads(value: str, extra: str) -> str:
+        """Islands of one value (a list of columns): the first bar of each with its end."""
+        changed = " OR ".join(f"{v} IS DISTINCT FROM lag({v}) OVER w" for v in value.split(", "))
+        return f"""marked AS (SELECT *, lag(i) OVER w IS NULL OR {changed} AS fresh, max(open_time) OVER (PARTITION BY symbol) AS last_time FROM lproj {w}),
+heads AS (SELECT symbol, {value}, {extra}, open_time, coalesce(lead(open_time) OVER w, last_time) AS end_time FROM marked WHERE fresh {w.replace('i)', 'open_time)')})"""
+
+    def zones_sql(side: str) -> str:
+        p = f"ms_{side}"
+        return f"""{oracle.upto('lproj')}, {heads(f'{p}_zone_low, {p}_zone_high', f'{p}_is_double, {p}_overlap_count, {p}_zone_anchor_time')}
+SELECT symbol, '{side}' AS side, coalesce(CAST({p}_zone_anchor_time AS BIGINT), open_time) AS start_time, end_time, round({p}_zone_low, 6) AS price_low, round({p}_zone_high, 6) AS price_high, coalesce({p}_is_double, false) AS is_double, CAST(coalesce({p}_overlap_count, 0) AS BIGINT) AS overlap_count
+FROM heads WHERE {p}_zone_low IS NOT NULL AND {p}_zone_high IS NOT NULL"""
+
+    for side in ("support", "resistance"):
+        query(f"zone_spans_{side}", lambda s, d, side=side: spans.zone_spans(project(event_bars(s, d), [c for c in ZONES if c.startswith(side)]), side), zones_sql(side))
+    query("trend_spans", lambda s, d: spans.trend_spans(project(event_bars(s, d), ["is_trending_up", "is_trending_down"])), f"""{oracle.upto('proj')}, lproj AS (SELECT *, CASE WHEN ms_is_trending_up THEN 'up' WHEN ms_is_trending_down THEN 'down' END AS direction FROM proj), {heads('direction', 'i')}
+SELECT symbol, open_time AS start_time, end_time, direction FROM heads WHERE direction IS NOT NULL""")
+    query("structure_break_spans", lambda s, d: spans.structure_break_spans(project(event_bars(s, d), ["structure_break_level", "is_trending_up"])), f"""{oracle.upto('proj')}, lproj AS (SELECT * FROM proj), {heads('ms_structure_break_level', 'ms_is_trending_up')}
+SELECT symbol, open_time AS start_time, end_time, round(ms_structure_break_level, 6) AS level, ms_is_trending_up AS is_uptrend FROM heads WHERE ms_structure_break_level IS NOT NULL""")
+    query("wave_transitions", lambda s, d: spans.wave_transitions(project(event_bars(s, d), ["wave_id", "wave_side"])), f"{oracle.upto('proj')}, t AS (SELECT *, lag(ms_wave_id) OVER (PARTITION BY symbol ORDER BY i) AS b FROM proj) SELECT symbol, open_time AS time, ms_wave_id AS wave_id, ms_wave_side AS side FROM t WHERE b <> ms_wave_id")
+    query("divergence_markers", lambda s, d: spans.divergence_markers(project(event_bars(s, d), ["bearish_divergence", "bullish_divergence"])), f"""{oracle.upto('proj')}, t AS (SELECT symbol, i, open_time, coalesce(ms_bearish_divergence, false) AS a, coalesce(ms_bullish_divergence, false) AS b FROM proj),
+u AS (SELECT *, lag(a) OVER w AS a1, lag(b) OVER w AS b1 FROM t {w}) SELECT symbol, open_time AS time, 'bearish' AS type FROM u WHERE a AND NOT a1 UNION ALL SELECT symbol, open_time, 'bullish' FROM u WHERE b AND NOT b1""")
+    union = " UNION ALL ".join(f"SELECT symbol, open_time AS time, '{e}' AS event_type, '{s}' AS zone_side FROM lproj WHERE ms_zone_{e}_{s}" for s in ("support", "resistance") for e in spans.LIFE_EVENTS)
+    query("lifecycle_events", lambda s, d: spans.lifecycle_events(project(event_bars(s, d), LIFE)), f"{oracle.upto('lproj')} {union}")
+    union = " UNION ALL ".join(f"SELECT symbol, open_time AS time, '{f}' AS pattern_type FROM proj WHERE ms_{f}" for f in spans.FLAGS)
+    query("pattern_markers", lambda s, d: spans.pattern_markers(project(event_bars(s, d), spans.FLAGS)), f"{oracle.upto('proj')} {union}")
+
+    def grades(s: SparkSession, d: str) -> DataFrame:
+        rows = project(event_bars(s, d), ["zone_quality_support", *LIFE])
+        return rows.select("symbol", "open_time", spans.zone_grade(F.round("ms_zone_quality_support", 6)).alias("grade"), spans.has_lifecycle_event().alias("has_event"))
+
+    any_event = " OR ".join(f"ms_zone_{e}_{s}" for s in ("support", "resistance") for e in spans.LIFE_EVENTS)
+    query("zone_grades", grades, f"{oracle.upto('lproj')}, q AS (SELECT *, round(ms_zone_quality_support, 6) AS v FROM lproj) SELECT symbol, open_time, CASE WHEN v < 3 THEN 'Weak' WHEN v < 6 THEN 'Fair' WHEN v < 8 THEN 'Strong' WHEN v IS NOT NULL THEN 'Very Strong' END AS grade, {any_event} AS has_event FROM q")
+
+
+#: A trade from each confirmation of a wave to the next.
+TRADES_SQL = """
+tr0 AS (SELECT symbol AS pair, open_time // 1000 AS open_time, lead(open_time) OVER w // 1000 AS close_time, NOT is_up AS is_short, close AS open_rate, lead(close) OVER w AS close_rate, row_number() OVER w - 1 AS seq FROM seg WHERE flip WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+tr1 AS (SELECT *, CASE WHEN is_short THEN open_rate - close_rate ELSE close_rate - open_rate END / open_rate AS profit_ratio FROM tr0 WHERE close_time IS NOT NULL AND open_rate > 0),
+tr AS (SELECT 'swing' AS strategy, *, profit_ratio * 300 AS profit_abs FROM tr1)"""
+STATS_SQL = """CAST(count(*) AS BIGINT) AS total_trades, CAST(count(*) FILTER (NOT is_short) AS BIGINT) AS long_count, CAST(count(*) FILTER (is_short) AS BIGINT) AS short_count, round(100 * count(*) FILTER (profit_ratio > 0) / count(*), 6) AS win_rate,
+round(CASE WHEN coalesce(sum(profit_abs) FILTER (profit_ratio <= 0), 0) <> 0 THEN coalesce(sum(profit_abs) FILTER (profit_ratio > 0), 0) / abs(sum(profit_abs) FILTER (profit_ratio <= 0)) WHEN sum(profit_abs) FILTER (profit_ratio > 0) > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END, 6) AS profit_factor, round(sum(profit_abs), 6) AS total_pnl, round(coalesce(avg(profit_ratio) FILTER (profit_ratio > 0) * 100, 0), 6) AS avg_win_pct,
+round(coalesce(avg(profit_ratio) FILTER (profit_ratio <= 0) * 100, 0), 6) AS avg_loss_pct, round(avg((close_time - open_time) / 3600), 6) AS avg_duration_hours,
+round(count(*) FILTER (profit_ratio > 0) / count(*) * coalesce(avg(profit_ratio) FILTER (profit_ratio > 0) * 100, 0) + (1 - count(*) FILTER (profit_ratio > 0) / count(*)) * coalesce(avg(profit_ratio) FILTER (profit_ratio <= 0) * 100, 0), 6) AS expectancy"""
+
+
+def trade_queries() -> None:
+    def table(s: SparkSession, d: str) -> DataFrame:
+        return trades.swing_trades(segments(s, d))
+
+    base = f"{oracle.upto('seg')}, {TRADES_SQL}"
+    query("trade_outcomes", lambda s, d: trades.with_outcome(table(s, d)).select("pair", "seq", "open_time", "close_time", "is_win", "direction", "profit_pct", "duration_hours", "duration_bars"), f"""{base}
+SELECT pair, seq, open_time, close_time, profit_ratio > 0 AS is_win, CASE WHEN is_short THEN 'Short' ELSE 'Long' END AS direction, round(profit_ratio * 100, 6) AS profit_pct, round((close_time - open_time) / 3600, 6) AS duration_hours, CAST(floor((close_time - open_time) / 3600 / 4 + 0.5) AS BIGINT) AS duration_bars FROM tr""")
+    query("trade_stats", lambda s, d: trades.stats(table(s, d), "strategy", "pair"), f"{base} SELECT strategy, pair, {STATS_SQL} FROM tr GROUP BY strategy, pair")
+    query("trade_stats_overall", lambda s, d: trades.overall(table(s, d)), f"{base} SELECT {STATS_SQL} FROM tr")
+    query("trade_stats_rollup", lambda s, d: trades.rollup(table(s, d)), f"{base} SELECT strategy, pair, {STATS_SQL} FROM tr GROUP BY ROLLUP (strategy, pair)")
+    query("trade_drawdown", lambda s, d: trades.drawdown(table(s, d), "strategy", "pair"), f"""{base}, e AS (SELECT *, 1000 + sum(profit_abs) OVER w AS equity FROM tr WINDOW w AS (PARTITION BY strategy, pair ORDER BY close_time, seq ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, greatest(1000, max(equity) OVER (PARTITION BY strategy, pair ORDER BY close_time, seq ROWS UNBOUNDED PRECEDING)) AS peak FROM e)
+SELECT strategy, pair, round(max((peak - equity) / peak) * 100, 6) AS max_drawdown FROM p GROUP BY strategy, pair""")
+    query("bars_in_trades", lambda s, d: trades.bars_in_trades(event_bars(s, d), table(s, d)), f"""{base} SELECT strategy, tr.pair, seq, CAST(count(*) AS BIGINT) AS n_bars, round(max(high), 6) AS highest, round(min(low), 6) AS lowest
+FROM tr JOIN bars ON bars.symbol = tr.pair AND bars.open_time // 1000 BETWEEN tr.open_time AND tr.close_time GROUP BY strategy, tr.pair, seq""")
+
+
+def strategy_queries() -> None:
+    def signals(name: str, need: list[str], **flags) -> None:  # noqa: ANN003
+        def run(s: SparkSession, d: str) -> DataFrame:
+            return strategies.signals(project(event_bars(s, d), need), **{k: f() for k, f in flags.items()})
+
+        sql = ", ".join(f"coalesce({SIGNAL_SQL[f'{name}.{k}']}, false) AS {k}" for k in flags)
+        query(f"strategy_{name}", run, f"{oracle.upto(level_of(need))} SELECT symbol, open_time, {sql} FROM {level_of(need)} WINDOW w AS (PARTITION BY symbol ORDER BY i)")
+
+    signals("trend_entry", ["is_trending_up", "wave_side", "pullback_correction_factor", "wave_count"], enter_long=strategies.trend_entry)
+    signals("zone_entry", ["support_zone_low", "support_zone_high", "support_is_double", "is_trending_down"], enter_long=strategies.zone_entry)
+    signals("divergence_entry", ["bullish_divergence", "bearish_divergence", "made_lower_low", "made_higher_high", "wave_side", "support_zone_high", "resistance_zone_low"], enter_long=lambda: strategies.divergence_entry()[0], enter_short=lambda: strategies.divergence_entry()[1])
+    signals("strength_filter", ["is_trending_up", "high_since", "wave_count", "wave_length"], enter_long=strategies.strength_filter)
+    signals("multi_entry", ["is_trending_up", "made_higher_high", "made_higher_low", "wave_side", "pullback_correction_factor", "forming_wave_low", "support_zone_high", "bearish_divergence", "wave_count"], enter_long=strategies.multi_entry)
+    signals("exit_break", ["is_trending_up", "is_trending_down", "made_lower_high", "made_lower_low", "forming_wave_low", "support_zone_low"], exit_long=lambda: strategies.break_exit()[0], exit_short=lambda: strategies.break_exit()[1])
+    query("strategy_stake_scale", lambda s, d: strategies.signals(project(event_bars(s, d), ["pullback_correction_factor"]), stake=strategies.stake_scale(F.lit(300.0), 50.0, 500.0)), f"""{oracle.upto('proj')} SELECT symbol, open_time, round(CASE WHEN f IS NULL THEN 300 ELSE greatest(50, least(500, 300 * CASE WHEN f BETWEEN 0.5 AND 0.85 THEN 1.0 WHEN f > 0.85 AND f <= 1 THEN 0.6 WHEN f < 0.5 THEN 0.5 ELSE 0.3 END)) END::DOUBLE, 6) AS stake
+FROM (SELECT *, ms_pullback_correction_factor AS f FROM proj)""")
+
+
+SIGNAL_SQL = {
+    "trend_entry.enter_long": "ms_is_trending_up AND ms_wave_side = 'up' AND ms_pullback_correction_factor BETWEEN 0.5 AND 1.0 AND ms_wave_count >= 6",
+    "zone_entry.enter_long": "low BETWEEN ms_support_zone_low AND ms_support_zone_high AND ms_support_is_double AND NOT ms_is_trending_down",
+    "divergence_entry.enter_long": "ms_bullish_divergence AND ms_made_lower_low AND ms_wave_side = 'up' AND close <= ms_support_zone_high * 1.01::DOUBLE",
+    "divergence_entry.enter_short": "ms_bearish_divergence AND ms_made_higher_high AND ms_wave_side = 'down' AND close >= ms_resistance_zone_low * 0.99::DOUBLE",
+    "strength_filter.enter_long": "ms_is_trending_up AND ms_high_since >= 50 AND ms_wave_count >= 8 AND coalesce(ms_wave_length, 0) <= 30",
+    "multi_entry.enter_long": "ms_is_trending_up AND ms_made_higher_high AND ms_made_higher_low AND ms_wave_side = 'up' AND ms_pullback_correction_factor BETWEEN 0.382 AND 0.786 AND lag(ms_forming_wave_low) OVER w <= lag(ms_support_zone_high) OVER w * 1.005::DOUBLE AND NOT coalesce(ms_bearish_divergence, false) AND ms_wave_count >= 6",
+    "exit_break.exit_long": "(coalesce(lag(ms_is_trending_up) OVER w, false) AND NOT ms_is_trending_up) OR coalesce(ms_made_lower_high AND ms_made_lower_low AND ms_forming_wave_low < ms_support_zone_low, false)",
+    "exit_break.exit_short": "lag(ms_is_trending_down) OVER w AND NOT ms_is_trending_down",
+}
+
+for _part in (sources, indicators, wave_tables, columns, higher_timeframe, span_queries, trade_queries, strategy_queries):
+    _part()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
