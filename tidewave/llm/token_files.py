@@ -156,6 +156,8 @@ def unpack(record: bytes, only: list[int] | None = None) -> tuple[np.ndarray, np
         state = np.where(need, new << bits | words[np.where(need, where, 0)], new)
         spot = spot + order[:, -1]
         got[t] = different[s]
+    if (state != np.uint64(1 << 16)).any():  # coding began in this state
+        raise ValueError("a block is damaged: its lanes don't end where coding began")
     ids = got.reshape(per, len(which), LANES).transpose(1, 0, 2).reshape(len(which), BLOCK)
     parts = [ids[k, :n] for k, n in enumerate(size.tolist())]
     for b, part in zip(which.tolist(), parts, strict=True):
