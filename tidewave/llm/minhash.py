@@ -156,43 +156,35 @@ def lone_shingles(sets: DataFrame) -> DataFrame:
     return rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("lone"))
 
 
-def likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches can come from sets of the wanted similarity."""
+def compared(pairs: DataFrame, known: DataFrame, percent: int, whole: bool = False) -> DataFrame:
+    """a, b, their exact similarity, and linked: whether 100 * intersection >= percent * union. known: doc_id, n, regs, shingles.
+    Pairs whose sketches can't come from sets of the wanted similarity are put aside first, unless the whole is asked for; each
+    pair meets its two documents once, for both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("regs_a", "regs_b")]
-            sizes = [batch.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b")]
-            keep = np.concatenate([estimate(regs[0][k : k + 4096], regs[1][k : k + 4096], sizes[0][k : k + 4096], sizes[1][k : k + 4096]) for k in range(0, batch.num_rows, 4096)]) >= LEAST_ESTIMATE
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for k in range(0, batch.num_rows, 4096):
+                some = batch.slice(k, 4096)
+                regs = [np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("regs_a", "regs_b")]
+                sizes = [some.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b")]
+                if not whole:
+                    some = some.filter(pa.array(estimate(*regs, *sizes) >= LEAST_ESTIMATE))
+                share, linked = [], []
+                for x, y in zip(some.column("shingles_a"), some.column("shingles_b"), strict=True):
+                    a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                    if len(a) > len(b):
+                        a, b = b, a
+                    at = np.searchsorted(b, a)
+                    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+                    union = len(a) + len(b) - common
+                    share.append(common / union)
+                    linked.append(100 * common >= percent * union)
+                yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), pa.array(share, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "share", "linked"])
 
     joined = pairs
     for side in ("a", "b"):
-        joined = joined.join(sketch.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("regs").alias(f"regs_{side}")), side)
-    return joined.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs
-    for side in ("a", "b"):
-        joined = joined.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+        joined = joined.join(known.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "regs", "shingles"))), side)
+    return joined.select("a", "b", *(f"{c}_{side}" for c in ("n", "regs", "shingles") for side in ("a", "b"))).mapInArrow(run, "a long, b long, share double, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,9 +219,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, hub_rounds: int = 3) ->
     shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     placed = cut(bands.join(shared, "key"), "places")
     popular = placed.groupBy("doc_id").agg(F.sum("c").alias("popular"))
-    sets = cut(full_sets(docs.join(popular.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+    full = full_sets(docs.join(popular.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    sets = cut(full.join(own.select("doc_id", "n", "regs"), "doc_id"), "sets")
     about = popular.join(lone_shingles(sets), "doc_id", "left")
     members = cut(placed.join(about, "doc_id").select("doc_id", "n", "key", "popular", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("core")), "members")
+    members = members.join(members.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id").withColumns({"pivot": F.lit(None).cast("long"), "share": F.lit(None).cast("double")})
     hundred = 100 + percent
     links = None
     tried = None
@@ -241,12 +235,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, hub_rounds: int = 3) ->
         open_ = parts.join(apart, "key").where(able).drop("least_n", "reach")
         if k < hub_rounds:  # each bucket's members against one hub, another one each round
             rank = -F.col("popular") if k == 0 else F.xxhash64(F.col("doc_id"), F.col("key"), F.lit(k))
-            hubs = open_.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc_id", "n", "core", "part")).alias("h")).select("key", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.core").alias("hub_core"), F.col("h.part").alias("hub_part"))
+            hubs = open_.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc_id", "n", "core", "part")).alias("h")).select("key", F.col("h.r").alias("hub_rank"), F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.core").alias("hub_core"), F.col("h.part").alias("hub_part"))
             pairs = open_.join(hubs, "key")
         else:  # all that are still in different components
-            others = open_.select("key", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("core").alias("hub_core"), F.col("part").alias("hub_part"))
-            pairs = open_.join(others, "key").where("doc_id < hub")
+            others = open_.select("key", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("core").alias("hub_core"), F.col("part").alias("hub_part"), F.col("keys").alias("hub_keys"), F.col("pivot").alias("hub_pivot"), F.col("share").alias("hub_share"))
+            # 1 - similarity is a metric: what differs too much in its distance from a common pivot isn't similar
+            far = F.coalesce((F.col("pivot") == F.col("hub_pivot")) & (F.abs(F.col("share") - F.col("hub_share")) > 1 - percent / 100 + 1e-9), F.lit(False))
+            pairs = open_.join(others, "key").where("doc_id < hub").where(~far)
+            # a pair is formed in the first of the buckets that both are in: who can reach the similarity has left none of them
+            pairs = pairs.where(F.array_min(F.array_intersect("keys", "hub_keys")) == F.col("key"))
         pairs = pairs.where("part != hub_part").where(hundred * F.least("core", "hub_core") >= percent * (F.col("n") + F.col("hub_n")))
+        if k == 0:  # a document of many buckets first meets the best hub of all of them; the others come later, if it isn't linked then
+            pairs = cut(pairs.groupBy("doc_id").agg(F.min(F.struct("hub_rank", "hub")).alias("h")).select("doc_id", "h.hub"), "first-hubs")
+            best = pairs.select("doc_id", F.col("hub").alias("pivot"))
         pairs = pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -256,10 +257,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, hub_rounds: int = 3) ->
                 break
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = cut(verified(likely(pairs, own), sets, percent), "links")
+        found = cut(compared(pairs, sets, percent, whole=k == 0), "links")
+        if k == 0:  # the hubs are pivots: the distances from them are known exactly
+            apart_by = best.join(found, (F.least("doc_id", "pivot") == F.col("a")) & (F.greatest("doc_id", "pivot") == F.col("b"))).select("doc_id", "pivot", "share")
+            pivots = apart_by.unionByName(best.select(F.col("pivot").alias("doc_id"), "pivot", F.lit(1.0).alias("share"))).groupBy("doc_id").agg(F.max(F.struct("share", "pivot")).alias("p"))
+            members = cut(members.drop("pivot", "share").join(pivots.select("doc_id", "p.pivot", "p.share"), "doc_id", "left"), "pivoted")
+        found = found.where("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
         parts_of = cut(components(links), "components")
-        parts = members.join(parts_of, "doc_id", "left").select("doc_id", "n", "key", "popular", "core", F.coalesce("component_id", "doc_id").alias("part"))
+        parts = members.join(parts_of, "doc_id", "left").select("doc_id", "n", "key", "popular", "core", "keys", "pivot", "share", F.coalesce("component_id", "doc_id").alias("part"))
     named = classes.withColumnRenamed("doc_id", "class_id")
     if links is not None:
         named = named.join(parts_of.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
