@@ -156,6 +156,22 @@ def test_pages(spark):
     assert html_text.main_text(df.where("false")).count() == 0
 
 
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(k, url, page) for k, (url, page) in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_text.main_text(df).collect()}
+
+
+def test_style_tree_cuts_what_stands_in_every_article_of_a_host(spark):
+    page = lambda k: f"<article><h1>Head {k}</h1><p>This is told only on page {k} of the host.</p><p>Read us daily.</p></article><p>Outside {k}</p>"
+    got = texts_of(spark, [(f"http://many.example/{k}", page(k)) for k in range(12)] + [("http://few.example/", page(50))])
+    assert all("Read us" not in got[k] and f"Head {k} This is told only on page {k} of the host." in got[k] for k in range(12))
+    assert "Read us daily." in got[12]
+    # pages that differ in a line only are copies: what they share is their text
+    same = "".join(f"<p>Paragraph {j} of one long story.</p>" for j in range(9))
+    got = texts_of(spark, [(f"http://copy.example/{k}", f"<article>{same}<p>Seen {k}</p></article>") for k in range(12)])
+    assert all("Paragraph 8 of one long story." in t for t in got.values())
+
+
 def test_pages_of_the_test_table_keep_articles_whole(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     got = {r.page_id: r.text for r in html_text.main_text(spark.read.parquet(f"{SMALL}/pages.parquet")).collect()}

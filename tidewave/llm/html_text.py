@@ -7,10 +7,11 @@ mean entropy of its texts over the pages (a text on every page tells nothing), b
 the logarithm; together they are its importance. Branches of low importance are cut from each page. Counts of one text on many
 pages are summed on each machine first, so a host with a third of all pages is no heavier than its different texts.
 
-A host with few pages has no such evidence, and on any host the prose of one article may repeat on pages that copy it. So what
-HTML itself says comes first: elements that never are main text (navigation, footers, forms, scripts ...) and blocks whose class or
-id names such a part are cut; paragraphs and headings that stand directly in an article stay. Style trees decide about all other
-blocks of hosts with LEAST_PAGES pages or more.
+All blocks of all pages are counted, whatever their names. On hosts with LEAST_PAGES pages or more, a block is cut if its text
+stands on nearly all pages that have its node (importance under LEAST_TEXT), or if its node is of low importance; paragraphs and
+headings directly in an article are cut by the first only. Texts on nearly all pages stay where they are most of a page's text:
+then the pages are copies of one another. What the trees keep is checked by names, which alone decide on hosts with fewer pages:
+elements that never are main text (navigation, footers, forms, scripts ...) and blocks whose class or id names such a part are cut.
 
 Texts: character references decoded, white space inside a block to one space, trimmed, blocks in page order joined by one space.
 Null or empty html, and pages without main text, give an empty text. Pages without a url are one host. Repeated rows give
@@ -24,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,8 @@ from tidewave.llm.common import cut
 LEAST_PAGES = 8
 #: Nodes of lower importance are cut; CONTENT is the weight of content against presentation.
 LEAST_IMPORTANCE, CONTENT = 0.35, 0.9
+#: Texts of lower importance (1 - ln pages with it / ln pages with its node) are cut.
+LEAST_TEXT = 0.05
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a line of text; all others part blocks.
@@ -69,16 +73,17 @@ class Element:
 
 @dataclass
 class Block:
-    """A run of text: its node, whether the style tree decides about it, and the text."""
+    """A run of text: its node, whether it is prose directly in an article, whether it is in one, whether names cut it, and the text."""
 
     path: str
-    open_: bool
+    prose: bool
     article: bool
+    cut: bool
     text: str
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
-    """The blocks of a page that HTML itself doesn't cut, and the style (child elements) of each element that is not inline."""
+    """The blocks of a page, and the style (child elements) of each element that is not inline."""
     stack = [Element("", "", False, False, False)]
     blocks: list[Block] = []
     styles: list[tuple[str, str]] = []
@@ -89,8 +94,8 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         if pending:
             text = " ".join(html.unescape("".join(pending)).split())
             pending.clear()
-            if text and not place.cut:
-                blocks.append(Block(place.path, not (place.article and place.prose), place.article, text))
+            if text:
+                blocks.append(Block(place.path, place.article and place.prose, place.article, place.cut, text))
 
     def close(to: int) -> None:
         nonlocal place
@@ -152,57 +157,78 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url.cast("string"), r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, path, importance, pages) of the nodes about which style trees decide."""
+def key(what: str) -> int:
+    """A 64-bit hash: nodes and texts are counted by it, however long they are."""
+    return int.from_bytes(blake2b(what.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def style_trees(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, node, importance, pages) of the nodes on LEAST_PAGES pages or more, and (host, node, what, importance) of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 blocks, styles = parse(page or "")
-                nodes = {b.path for b in blocks if b.open_}
-                seen.update({(host, b.path, 0, b.text) for b in blocks if b.open_})
-                seen.update({(host, path, 1, style) for path, style in styles if path in nodes})
-                seen.update({(host, path, 2, "") for path in nodes})
+                nodes = {b.path: key(b.path) for b in blocks}
+                seen.update({(host, nodes[b.path], 0, key(b.text)) for b in blocks})
+                seen.update({(host, nodes[path], 1, key(style)) for path, style in styles if path in nodes})
+                seen.update({(host, node, 2, 0) for node in nodes.values()})
             if seen:
-                host, path, kind, what = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(kind, pa.int32()), pa.array(what, pa.string()), pa.array(list(seen.values()), pa.int64())], ["host", "path", "kind", "what", "n"])
+                host, node, kind, what = zip(*seen, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int64()), pa.array(kind, pa.int32()), pa.array(what, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "node", "kind", "what", "n"])
 
-    rows = pages.select("host", "html").mapInArrow(run, "host string, path string, kind int, what string, n long")
-    # texts of a node are keyed by their hash: groups stay small, however long the texts are
-    counts = rows.groupBy("host", "path", "kind", F.xxhash64("what").alias("what")).agg(F.sum("n").alias("n"))
+    rows = pages.select("host", "html").mapInArrow(run, "host string, node long, kind int, what long, n long")
+    counts = cut(rows.groupBy("host", "node", "kind", "what").agg(F.sum("n").alias("n")), "style-counts")
     x = F.col("n").cast("double")
-    nodes = counts.groupBy("host", "path").agg(
+    nodes = counts.groupBy("host", "node").agg(
         F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("pages"),
         F.avg(F.when(F.col("kind") == 0, F.log(x))).alias("mean_log"),
         F.sum(F.when(F.col("kind") == 1, x * F.log(x))).alias("style_log"),
         F.sum(F.when(F.col("kind") == 1, x)).alias("style_n"),
     )
+    nodes = nodes.where(F.col("pages") >= LEAST_PAGES)
     base = F.log(F.col("pages").cast("double"))
     content = F.lit(1.0) - F.least(F.col("mean_log") / base, F.lit(1.0))
     look = (F.log("style_n") - F.col("style_log") / F.col("style_n")) / base
     both = F.lit(CONTENT) * F.coalesce(content, F.lit(0.0)) + F.lit(1 - CONTENT) * F.coalesce(look, F.lit(0.0))
-    return nodes.where(F.col("pages") >= LEAST_PAGES).select("host", "path", both.alias("importance"), "pages")
+    # only a text on at least this many pages can be under LEAST_TEXT: few rows meet the nodes
+    often = counts.where((F.col("kind") == 0) & (x >= LEAST_PAGES ** (1 - LEAST_TEXT)))
+    texts = often.join(nodes.select("host", "node", "pages"), ["host", "node"]).select("host", "node", "what", (F.lit(1.0) - F.log(x) / base).alias("importance"))
+    return nodes.select("host", "node", both.alias("importance"), "pages"), texts
+
+
+def kept_blocks(blocks: list[Block], low: set[int], everywhere: set[tuple[int, int]]) -> list[Block]:
+    """The main text of a page: what its host's tree keeps, checked by names."""
+    if low or everywhere:
+        nodes = [key(b.path) for b in blocks]
+        stay = [(b, n) for b, n in zip(blocks, nodes, strict=True) if b.prose or n not in low]
+        rare = [b for b, n in stay if (n, key(b.text)) not in everywhere]
+        named = sum(len(b.text) for b, _ in stay if not b.cut)
+        copies = 2 * sum(len(b.text) for b in rare if not b.cut) < named
+        blocks = [b for b, _ in stay] if copies else rare
+    return [b for b in blocks if not b.cut]
 
 
 def main_text(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host_of(F.col("url")))
-    noise = style_trees(pages).where(F.col("importance") < least_importance).groupBy("host").agg(F.collect_list("path").alias("noise"))
+    nodes, texts = style_trees(pages)
+    noise = nodes.where(F.col("importance") < least_importance).select("host", "node", F.lit(None).cast("long").alias("what"))
+    noise = noise.unionByName(texts.where(F.col("importance") < LEAST_TEXT).select("host", "node", "what"))
+    noise = noise.groupBy("host").agg(F.collect_list(F.when(F.col("what").isNull(), F.col("node"))).alias("noise"), F.collect_list(F.when(F.col("what").isNotNull(), F.struct("node", "what"))).alias("everywhere"))
     noise = cut(noise, "style-trees")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, low in zip(batch.column("html").to_pylist(), batch.column("noise").to_pylist(), strict=True):
+            for page, low, everywhere in zip(*(batch.column(k).to_pylist() for k in ("html", "noise", "everywhere")), strict=True):
                 blocks, _ = parse(page)
-                low = set(low or ())
-                if any(b.article for b in blocks):
+                if any(b.article and not b.cut for b in blocks):
                     blocks = [b for b in blocks if b.article]
-                texts.append(" ".join(b.text for b in blocks if not (b.open_ and b.path in low)))
+                kept = kept_blocks(blocks, set(low or ()), {(e["node"], e["what"]) for e in everywhere or ()})
+                texts.append(" ".join(b.text for b in kept))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = pages.join(noise, "host", "left").select("page_id", "url", "html", "noise")
+    joined = pages.join(noise, "host", "left").select("page_id", "url", "html", "noise", "everywhere")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
-
-
