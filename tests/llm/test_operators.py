@@ -172,6 +172,26 @@ def test_style_tree_cuts_what_stands_in_every_article_of_a_host(spark):
     assert all("Paragraph 8 of one long story." in t for t in got.values())
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class='content-sidebar-wrap'><main><p>All of it</p></main></div>", "All of it"),
+        ("<div class='layout has-sidebar'><article><p>All of it</p></article><div class='sidebar'>More</div></div>", "All of it"),
+        ("<div id='page' class='no-comments'><p>All of it</p></div>", "All of it"),
+        ("<div class='banner'><article><p>All of it</p></article></div>", "All of it"),
+        ("<div class='header'><p>All of it, at length</p><div class='share'>Share</div></div>", "All of it, at length"),
+        ("<form action='/'><div><p>All of it</p></div></form>", "All of it"),
+        ("<div id='content'><p>All of it</p></div><article class='card'><p>Teaser</p></article>", "All of it Teaser"),
+        ("<article><p>All of it</p></article><div class='comments'><p>Much more talk than text</p></div><form><p>Mail</p></form>", "All of it"),
+        ("<main><p>All of it</p></main><div id='comments'><article class='comment'><p>Much more talk than text</p></article></div>", "All of it"),
+        ("<article><p>All of it</p></article><nav class='x'><a>More links than text on this page</a></nav><div class='ad-banner'>Buy</div>", "All of it"),
+        ("<nav>Only links</nav><footer>us</footer>", ""),
+    ],
+)
+def test_names_cut_no_main_text(page, want):
+    assert " ".join(b.text for b in html_text.kept_blocks(html_text.parse(f"<html><body>{page}</body></html>")[0], set(), set())) == want
+
+
 def test_pages_of_the_test_table_keep_articles_whole(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     got = {r.page_id: r.text for r in html_text.main_text(spark.read.parquet(f"{SMALL}/pages.parquet")).collect()}

@@ -11,7 +11,10 @@ All blocks of all pages are counted, whatever their names. On hosts with LEAST_P
 stands on nearly all pages that have its node (importance under LEAST_TEXT), or if its node is of low importance; paragraphs and
 headings directly in an article are cut by the first only. Texts on nearly all pages stay where they are most of a page's text:
 then the pages are copies of one another. What the trees keep is checked by names, which alone decide on hosts with fewer pages:
-elements that never are main text (navigation, footers, forms, scripts ...) and blocks whose class or id names such a part are cut.
+elements that never are main text (navigation, footers, scripts ...) and those with a class, id or role that names such a part are
+cut. A name is a whole token with no other words (comments, ad-banner; not has-sidebar). It cuts no element that holds an article or
+main, unless the articles outside such elements have more text, and without articles outside none that holds most of the page's text.
+Forms go by the same rule. Text outside articles is text like other text.
 
 Texts: character references decoded, white space inside a block to one space, trimmed, blocks in page order joined by one space.
 Null or empty html, and pages without main text, give an empty text. Pages without a url are one host. Repeated rows give
@@ -43,7 +46,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements inside a line of text; all others part blocks.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that never hold main text.
-NEVER = frozenset("head script style noscript template nav footer aside form button select option textarea iframe object svg canvas audio video dialog menu".split())
+NEVER = frozenset("head script style noscript template nav footer aside button select option textarea iframe object svg canvas audio video dialog menu".split())
 #: Words in a class, id or role that name a part beside the main text.
 ASIDE_WORDS = frozenset(
     "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
@@ -51,7 +54,7 @@ ASIDE_WORDS = frozenset(
 #: Elements whose text is prose where they stand directly in an article.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption br hr".split())
 #: Elements that a class can't make a side part: their classes describe the page.
-WHOLE = frozenset(["html", "body", "article", "main"])
+WHOLE = frozenset(["html", "body", "main"])
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript)\b(?P<rest>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
@@ -61,31 +64,58 @@ WORD = re.compile(r"[a-z]+")
 
 @dataclass
 class Element:
-    """An open element: its name, its step in the path, and whether it is cut, in an article, or directly prose there."""
+    """An element: its name, its step in the path, its parent, whether its tag or its class names a side part, whether it is in an
+    article, or directly prose there; characters of text in it, and of those in articles no class names."""
 
     name: str
     path: str
-    cut: bool
+    parent: Element | None
+    part: bool
+    named: bool
     article: bool
     prose: bool
     children: list[str] = field(default_factory=list)
+    size: int = 0
+    told: int = 0
+    cut: bool = False
 
 
 @dataclass
 class Block:
-    """A run of text: its node, whether it is prose directly in an article, whether it is in one, whether names cut it, and the text."""
+    """A run of text: its node, whether it is prose directly in an article, whether names cut it, and the text."""
 
     path: str
     prose: bool
-    article: bool
     cut: bool
     text: str
 
 
+def rule(elements: list[Element]) -> None:
+    """Settle which elements names cut: elements are in page order, the first is the page."""
+    clean = 0
+    for e in elements[1:]:
+        e.part = e.part or e.parent.part
+    for e in reversed(elements[1:]):
+        if not e.part:
+            if e.name in ("article", "main") and not e.named:
+                e.told = e.size
+            e.parent.size += e.size
+            e.parent.told += e.told
+    boxed = {id(elements[0]): False}
+    for e in elements[1:]:
+        boxed[id(e)] = inside = boxed[id(e.parent)] or e.named
+        if e.name in ("article", "main") and not e.part and not inside and not (e.parent.article):
+            clean += e.told
+    for e in elements[1:]:
+        holds = clean < e.told or (not clean and (2 * e.size > elements[0].size or e.name == "article"))
+        e.cut = e.parent.cut or e.part or (e.named and not holds)
+
+
 def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
     """The blocks of a page, and the style (child elements) of each element that is not inline."""
-    stack = [Element("", "", False, False, False)]
-    blocks: list[Block] = []
+    stack = [Element("", "", None, False, False, False, False)]
+    elements = [stack[0]]
+    runs: list[tuple[Element, str]] = []
     styles: list[tuple[str, str]] = []
     pending: list[str] = []
     place = stack[0]
@@ -95,7 +125,8 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             text = " ".join(html.unescape("".join(pending)).split())
             pending.clear()
             if text:
-                blocks.append(Block(place.path, place.article and place.prose, place.article, place.cut, text))
+                runs.append((place, text))
+                place.size += len(text)
 
     def close(to: int) -> None:
         nonlocal place
@@ -122,7 +153,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             continue
         if name in INLINE:
             if name not in VOID:
-                stack.append(Element(name, place.path, place.cut, place.article, place.prose))
+                stack.append(Element(name, place.path, place, place.part, False, place.article, place.prose))
             continue
         if name in VOID:
             if name in ("br", "hr"):
@@ -140,17 +171,18 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         words = set(WORD.findall(marks))
         step = name + ("." + ".".join(sorted(words)) if words else "")
         place.children.append(step)
-        article = place.article or name in ("article", "main")
-        gone = place.cut or name in NEVER or (bool(words & ASIDE_WORDS) and name not in WHOLE) or (name == "header" and not place.article)
+        named = name == "form" or (name not in WHOLE and not words.isdisjoint(ASIDE_WORDS) and any(t and ASIDE_WORDS.issuperset(t) for t in map(WORD.findall, marks.split())))
         prose = name in ("article", "main") or (place.prose and name in PROSE and not words)
-        place = Element(name, f"{place.path}/{step}", gone, article, prose)
+        place = Element(name, f"{place.path}/{step}", place, name in NEVER or (name == "header" and not place.article), named, place.article or name in ("article", "main"), prose)
+        elements.append(place)
         stack.append(place)
         if token["attributes"].endswith("/") and name == "svg":
             close(len(stack) - 1)
     pending.append(page[at:])
     flush()
     close(1)
-    return blocks, styles
+    rule(elements)
+    return [Block(e.path, e.article and e.prose, e.cut, text) for e, text in runs], styles
 
 
 def host_of(url: Column) -> Column:
@@ -224,8 +256,6 @@ def main_text(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE) -> D
             texts = []
             for page, low, everywhere in zip(*(batch.column(k).to_pylist() for k in ("html", "noise", "everywhere")), strict=True):
                 blocks, _ = parse(page)
-                if any(b.article and not b.cut for b in blocks):
-                    blocks = [b for b in blocks if b.article]
                 kept = kept_blocks(blocks, set(low or ()), {(e["node"], e["what"]) for e in everywhere or ()})
                 texts.append(" ".join(b.text for b in kept))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
