@@ -172,6 +172,14 @@ def test_style_tree_cuts_what_stands_in_every_article_of_a_host(spark):
     assert all("Paragraph 8 of one long story." in t for t in got.values())
 
 
+def test_mirrored_pages_keep_their_text(spark):
+    """8 articles under 64 addresses each: every text is on 64 of 512 pages, but on one of 8 bodies."""
+    story = lambda k: f"<div class='entry'><p>Story {k} is told at such length that it can be told apart from a date or a count.</p></div>"
+    pages = [(f"http://mirror.example/{k}/{j}", f"<div class='menu'>Menu {j}</div>{story(k)}<div class='box'><p>Read us daily.</p><i>{j} views</i></div>") for k in range(8) for j in range(64)]
+    got = texts_of(spark, pages)
+    assert len(got) == 512 and all(f"Story {n // 64} is told" in t and "Read us" not in t and "Menu" not in t for n, t in got.items())
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [

@@ -4,10 +4,13 @@ Operator 8. The pages of a host are merged into one style tree: its nodes are pa
 knows on how many pages it is, which styles (sequences of child elements) it has there, and on how many pages each text
 directly in it appears. A node's presentation importance is the entropy of its styles, its content importance is 1 minus the
 mean entropy of its texts over the pages (a text on every page tells nothing), both with the number of pages as the base of
-the logarithm; together they are its importance. Branches of low importance are cut from each page. Counts of one text on many
-pages are summed on each machine first, so a host with a third of all pages is no heavier than its different texts.
+the logarithm; together they are its importance. Branches of low importance are cut from each page. Pages of one host with the same
+body count once, so mirrored pages don't make their text look like a frame: the body is the set of texts of at least LONG characters
+that names don't cut, or of all texts that names don't cut where none is as long. Of pages with one body, the one whose blocks come
+first in order counts. Counts of one text on many bodies are summed on each machine first, so a host with a third of all pages is no
+heavier than its different texts.
 
-All blocks of all pages are counted, whatever their names. On hosts with LEAST_PAGES pages or more, a block is cut if its text
+All blocks of all pages are counted, whatever their names. On hosts with LEAST_PAGES different bodies or more, a block is cut if its text
 stands on nearly all pages that have its node (importance under LEAST_TEXT), or if its node is of low importance; paragraphs and
 headings directly in an article are cut by the first only. Texts on nearly all pages stay where they are most of a page's text:
 then the pages are copies of one another. What the trees keep is checked by names, which alone decide on hosts with fewer pages:
@@ -25,10 +28,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from tidewave.llm.common import cut
 
 LEAST_PAGES = 8
+#: Characters of a text by which bodies are told apart: dates, counters and the like are shorter.
+LONG = 80
 #: Nodes of lower importance are cut; CONTENT is the weight of content against presentation.
 LEAST_IMPORTANCE, CONTENT = 0.35, 0.9
 #: Texts of lower importance (1 - ln pages with it / ln pages with its node) are cut.
@@ -197,21 +202,35 @@ def key(what: str) -> int:
 def style_trees(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(host, node, importance, pages) of the nodes on LEAST_PAGES pages or more, and (host, node, what, importance) of their texts."""
 
+    kind = pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("what", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
+            best: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 blocks, styles = parse(page or "")
+                if not blocks:
+                    continue
                 nodes = {b.path: key(b.path) for b in blocks}
-                seen.update({(host, nodes[b.path], 0, key(b.text)) for b in blocks})
-                seen.update({(host, nodes[path], 1, key(style)) for path, style in styles if path in nodes})
-                seen.update({(host, node, 2, 0) for node in nodes.values()})
-            if seen:
-                host, node, kind, what = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int64()), pa.array(kind, pa.int32()), pa.array(what, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "node", "kind", "what", "n"])
-
-    rows = pages.select("host", "html").mapInArrow(run, "host string, node long, kind int, what long, n long")
-    counts = cut(rows.groupBy("host", "node", "kind", "what").agg(F.sum("n").alias("n")), "style-counts")
+                whats = {b.text: key(b.text) for b in blocks}
+                seen = {(nodes[b.path], 0, whats[b.text]) for b in blocks}
+                seen.update((nodes[path], 1, key(style)) for path, style in styles if path in nodes)
+                seen.update((node, 2, 0) for node in nodes.values())
+                mine = {whats[b.text] for b in blocks if not b.cut and len(b.text) >= LONG} or {whats[b.text] for b in blocks if not b.cut}
+                at, rows = (host, key(",".join(map(str, sorted(mine))))), sorted(seen)
+                if at not in best or rows < best[at]:
+                    best[at] = rows
+            if best:
+                flat = [r for rows in best.values() for r in rows]
+                offsets = list(accumulate((len(rows) for rows in best.values()), initial=0))
+                node, sort, what = zip(*flat, strict=True)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(sort, pa.int32()), pa.array(what, pa.int64())], fields=list(kind)))
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in best], pa.string()), pa.array([k for _, k in best], pa.int64()), lists], ["host", "body", "seen"])
+
+    rows = pages.select("host", "html").mapInArrow(run, "host string, body long, seen array<struct<node: long, kind: int, what: long>>")
+    bodies = rows.groupBy("host", "body").agg(F.min("seen").alias("seen"))
+    counts = bodies.select("host", F.explode("seen").alias("s")).groupBy("host", "s.node", "s.kind", "s.what").agg(F.count("*").alias("n"))
+    counts = cut(counts, "style-counts")
     x = F.col("n").cast("double")
     nodes = counts.groupBy("host", "node").agg(
         F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("pages"),
