@@ -250,6 +250,26 @@ def test_divergence_rejects_noise_and_keeps_prose(spark):
     assert good > 0.97
 
 
+def test_small_languages_have_their_own_reference(spark):
+    """Clean Russian at under 0.5 % of all words, and a language with too few words for a reference."""
+    rng = np.random.default_rng(3)
+    russian = "который потому человек сказала только время когда больше этого очень между перед".split() + [f"слово{chr(1072 + k)}{chr(1072 + j)}" for k in range(20) for j in range(5)]
+    weight = np.concatenate([np.full(12, 1 / 20), np.full(100, 0.4 / 100)])
+    rows = [(k, " ".join(rng.choice(russian, 120, p=weight)), "ru") for k in range(30)]
+    rows += [(100, "#$ 9x] {|} @@ 77 ;; %% " * 60 + "".join(f" q{k}%" for k in range(400)), "ru")]
+    rows += [(200, " ".join(chr(945 + k // 10) * 3 + chr(945 + k % 10) for k in range(80)), "el")]
+    english = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    rows += [(1000 + k, " ".join(rng.choice(english, 2000)), "en") for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    assert all(got[k].kept and 0 < got[k].word_distance < 0.4 for k in range(30))
+    assert not got[100].kept and got[200].kept and got[200].char_distance == 0
+    assert len([k for k in got if k >= 1000 and got[k].kept]) == 500
+    few = df.where("doc_id < 1000").withColumn("lang", F.lit(None).cast("string")).where("doc_id < 200")
+    again = {r.doc_id for r in quality_rules.good_documents(few.unionByName(df.where("doc_id < 100 OR doc_id >= 1000"))).where("lang IS NULL").collect()}
+    assert again == set(range(30))
+
+
 def leaks(docs, items, percent=80, window=20):
     """Contaminated pairs, each item laid over each document at every place where a seed fits."""
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
