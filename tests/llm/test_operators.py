@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import re
 import zlib
 
@@ -303,3 +304,39 @@ def test_decontamination_equals_brute_force(spark, bound):
     kept = {r.doc_id for r in decontamination.clean_documents(df, bench).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in got}
     assert decontamination.contaminated(df.where("false"), bench).count() == 0 == decontamination.contaminated(df, bench.where("false")).count()
+
+
+def overlaps(docs, items, percent=80, window=20):
+    """Contaminated pairs, each item laid over each document at every place, without seeds."""
+    out = set()
+    for d, text in docs:
+        w = text.lower().split()
+        for i, item in items:
+            b = item.lower().split()
+            size = min(window, len(b))
+            for shift in range(-len(b) + 1, len(w)):
+                same = [0 <= k + shift < len(w) and w[k + shift] == x for k, x in enumerate(b)]
+                if 100 * sum(same) >= percent * len(b) or any(100 * sum(same[p : p + size]) >= percent * size for p in range(len(b) - size + 1)):
+                    out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("bound", [decontamination.BROADCAST_WORDS, 0])
+def test_no_permitted_substitution_is_without_a_seed(spark, bound):
+    sizes = [1, 2, 3, 4, 5, 6, 7, 8, 10]
+    items = [(n, " ".join(f"s{n}w{k}" for k in range(n))) for n in [*sizes, 15, 16, 17]]
+    gaps = [(n, c) for n in sizes for r in (0, 1, 2) for c in itertools.combinations(range(n), r)]
+    gaps += [(15, (2, 7, 12)), (15, (3, 7, 12)), (15, (4, 7, 12)), (16, (3, 8, 13)), (16, (4, 8, 12)), (17, (4, 8, 12))]
+    docs = []
+    for n, gap in gaps:
+        text = " ".join("z" if k in gap else f"s{n}w{k}" for k in range(n))
+        docs += [(2 * len(docs), text), (2 * len(docs) + 1, f"before {text} after")]
+    docs += [(-1, "s7w0 s7w1 s7w2 s7w3 s7w4 s7w5"), (-2, "s5w1 s5w2 s5w3 s5w4 x"), (-3, "x s6w0 s6w1 s6w2 s6w3 s6w4")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (99, " ")], "item_id long, text string")
+    want = overlaps(docs, items)
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench, broadcast_words=bound, short=True).collect()}
+    assert got == want
+    if bound:
+        kept = {r.doc_id for r in decontamination.clean_documents(df, bench, short=True).collect()}
+        assert kept == {d for d, _ in docs} - {d for d, _ in want}

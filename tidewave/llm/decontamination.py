@@ -1,12 +1,16 @@
 """Benchmark decontamination with spaced seeds, in DataFrame operations only.
 
-Operator 2. A mask of 1s and 0s over SPAN following words makes a seed: the hash of the words under the 1s; words under the 0s may
+Operator 2. A mask of 1s and 0s over following words makes a seed: the hash of the words under the 1s; words under the 0s may
 differ. Seeds of all places of the documents join the seeds of all places of the benchmark items; a hit fixes how an item lies
 over a document, and there the words are compared one by one. A document is contaminated by an item if at least PERCENT of the
 item's words, or of WINDOW of them that follow one another, are equal in place. So substituted words are tolerated.
 
-Words are in lower case and parted by space and U+0009 to U+000D. Null texts count as empty. Items of fewer than SPAN words have
-no seed and are not looked for. Rows without an id are compared like others. Repeated rows count once. Other columns are
+The MASKS leave no permitted pattern of substitutions of an item of SPAN words or more without a seed at 80 percent (enumerated up to
+400 words); at a lower percentage they may. Items of fewer than SPAN words are looked for only if `short` is set, as the registered
+query and the pipeline do: up to four words as exact copies, five and six words with each one of them left out (80 percent allow one).
+A short item of common words contaminates all documents that have it; ORACLE_SQL knows neither short items nor the later two masks.
+
+Words are in lower case and parted by space and U+0009 to U+000D. Null texts count as empty, and items without words are not looked for. Rows without an id are compared like others. Repeated rows count once. Other columns are
 ignored, whatever their names.
 
 The items' seeds and words are broadcast only if their counted size is within BROADCAST_WORDS; then nothing of the documents is
@@ -15,11 +19,13 @@ shuffled but contaminated pairs. Beyond it, seeds are joined by a shuffle, and t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed patterns: five words of seven; what they leave out differs, so that regular substitutions can't avoid both.
-MASKS = ("1110011", "1101011")
+#: Fixed patterns of five words; what they leave out differs, so that permitted substitutions can't avoid all of them.
+MASKS = ("1110011", "1101011", "1011011", "11111")
 SPAN = 7
 PERCENT = 80
 WINDOW = 20
@@ -31,14 +37,21 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def seeds(words: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per place and mask: the kept columns, pos (from 0) and seed."""
-    used = sorted({i for m in MASKS for i, c in enumerate(m) if c == "1"})
-    n = F.greatest(F.size("words") - (SPAN - 1), F.lit(0))
-    zipped = F.arrays_zip(*(F.slice("words", i + 1, n).alias(f"w{i}") for i in used))
+def seeds(words: DataFrame, keep: list[str], masks: Sequence[str] = MASKS, kind: str = "") -> DataFrame:
+    """One row per place and mask that lies inside the words: the kept columns, pos (from 0) and seed."""
+    # arrays_zip fills with nulls behind the last word
+    zipped = F.arrays_zip(*(F.slice("words", i + 1, F.greatest(F.size("words") - i, F.lit(0))).alias(f"w{i}") for i in range(max(map(len, masks)))))
     placed = words.select(*keep, F.posexplode(zipped).alias("pos", "w"))
-    hashed = [F.xxhash64(*(F.col(f"w.w{i}") for i, c in enumerate(m) if c == "1"), F.lit(k)) for k, m in enumerate(MASKS)]
-    return placed.select(*keep, "pos", F.explode(F.array(*hashed)).alias("seed"))
+    hashed = [F.when(F.col(f"w.w{len(m) - 1}").isNotNull(), F.xxhash64(*(F.col(f"w.w{i}") for i, c in enumerate(m) if c == "1"), F.lit(kind + m))) for m in masks]
+    return placed.select(*keep, "pos", F.explode(F.array(*hashed)).alias("seed")).where("seed IS NOT NULL")
+
+
+def short_masks(size: int) -> list[tuple[int, str]]:
+    """(offset, mask) of an item of fewer than SPAN words: the whole item, or each of its words left out where PERCENT allow that."""
+    if 100 * (size - 1) < PERCENT * size:
+        return [(0, "1" * size)]
+    rows = ("1" * k + "0" + "1" * (size - 1 - k) for k in range(size))
+    return [(m.index("1"), m.strip("0")) for m in rows]
 
 
 def compared(percent: int, window: int) -> dict[str, Column]:
@@ -65,30 +78,45 @@ def _verified(hits: DataFrame, percent: int, window: int) -> DataFrame:
     return out.select("doc_id", "item_id", F.col("n_words").cast("long").alias("n_words"), F.col("best.n_match").cast("long").alias("n_match"), (-F.col("best.back")).cast("long").alias("start_word"), F.col("window").cast("long").alias("best_window"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS, short: bool = False) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, n_words (of the item), n_match (most words equal in place),
-    start_word (where the item lies, may be negative), best_window (most equal words of `window` that follow one another)."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("item_words")).where(F.size("item_words") >= SPAN).distinct()
+    start_word (where the item lies, may be negative), best_window (most equal words of `window` that follow one another).
+    short: look for items of fewer than SPAN words too."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("item_words")).where(F.size("item_words") >= (1 if short else SPAN)).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
-    size = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
-    small = size <= broadcast_words
+    sizes = {r["short"]: r["words"] or 0 for r in items.groupBy(F.when(F.size("item_words") < SPAN, F.size("item_words")).alias("short")).agg(F.sum(F.size("item_words")).alias("words")).collect()}
+    small = sum(sizes.values()) <= broadcast_words
     marked = items.withColumn("item", F.xxhash64("item_id", "item_words"))
-    item_seeds = seeds(marked.withColumnRenamed("item_words", "words"), ["item"]).select("seed", "item", F.col("pos").alias("item_pos")).distinct()
+    whole = marked.withColumnRenamed("item_words", "words")
+    item_seeds = seeds(whole.where(F.size("words") >= SPAN), ["item"]).select("seed", "item", F.col("pos").alias("item_pos"))
+    used = set()
+    for n in sorted(n for n in sizes if n):
+        masks = short_masks(n)
+        used |= {m for _, m in masks}
+        mine = whole.where(F.size("words") == n)
+        for at, mask in masks:
+            item_seeds = item_seeds.unionByName(seeds(mine, ["item"], [mask], "short").where(F.col("pos") == at).select("seed", "item", F.col("pos").alias("item_pos")))
+    item_seeds = item_seeds.distinct()
+
+    def all_seeds(keep: list[str]) -> DataFrame:
+        found = seeds(texts, keep)
+        return found.unionByName(seeds(texts, keep, sorted(used), "short")) if used else found
+
     shift = (F.col("pos") - F.col("item_pos")).alias("shift")
     if small:
         # its size was counted: at most broadcast_words words, and a row of three numbers for each and each mask
-        hits = seeds(texts, ["doc_id", "words"]).join(F.broadcast(item_seeds), "seed").select("doc_id", "words", "item", shift)
+        hits = all_seeds(["doc_id", "words"]).join(F.broadcast(item_seeds), "seed").select("doc_id", "words", "item", shift)
         hits = hits.join(F.broadcast(marked), "item")
         return _verified(hits, percent, window)
-    hits = seeds(texts, ["doc_id"]).join(item_seeds, "seed").select("doc_id", "item", shift).distinct()
+    hits = all_seeds(["doc_id"]).join(item_seeds, "seed").select("doc_id", "item", shift).distinct()
     # <=>: a document without an id meets its own text again
     hits = hits.alias("h").join(texts.alias("t"), F.expr("h.doc_id <=> t.doc_id")).select("h.doc_id", "words", "item", "shift")
     return _verified(hits.join(marked, "item"), percent, window)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, window: int = WINDOW) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, window: int = WINDOW, short: bool = False) -> DataFrame:
     """The documents that no item contaminates, with all their columns. Documents without an id stay."""
-    bad = contaminated(docs, benchmark, percent, window).select("doc_id").distinct()
+    bad = contaminated(docs, benchmark, percent, window, short=short).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti")
 
 
