@@ -112,6 +112,14 @@ def test_zone_lists_equal_brute_force(spark, options):
         assert got == brute_zones(waves, up, **full)
 
 
+def test_zone_lists_without_a_bound_keep_the_oldest_waves(spark):
+    table = wv.waves(wv.segment(frame(spark, walk(2500, 5)).withColumn("atr", F.lit(1.5))))
+    waves = [(r.wave_id, r.is_up) for r in wv.confirmed(table).orderBy(F.desc("k")).collect()]
+    assert len(waves) > accessors.MAX_WAVES
+    found = accessors.zones(table, "support", only_newest=False, max_waves=None).orderBy("place").collect()
+    assert [r.anchor_wave_id for r in found] == [w for w, up in waves if not up]
+
+
 def test_lifecycle_of_a_support(spark):
     closes = [(9, 10.5), (9, 9.5), (10.5, 11.5), (9, 9.5), (9, 9.0), (12, 12.5), (12, 13)]  # close, high of a zone 10 to 11
     rows = [("a", n, 10.0, 11.0, None, None, float(h), 5.0, float(c)) for n, (c, h) in enumerate(closes)]

@@ -14,8 +14,10 @@ MAX_WAVES = 200
 ZONE_SCHEMA = "symbol string, place int, side string, anchor_wave_id string, low double, high double, wick_low double, wick_high double, is_double boolean, overlap_low_ids array<string>, overlap_high_ids array<string>"
 
 
-def retained(table: DataFrame, max_waves: int = MAX_WAVES) -> DataFrame:
-    """Confirmed waves that are still in the registry: the newest max_waves of each symbol."""
+def retained(table: DataFrame, max_waves: int | None = MAX_WAVES) -> DataFrame:
+    """Confirmed waves that are still in the registry: the newest max_waves of each symbol, or all with None."""
+    if max_waves is None:
+        return wv.confirmed(table)
     last = F.max("k").over(Window.partitionBy("symbol"))
     return wv.confirmed(table).withColumn("_last", last).where(F.col("_last") - F.col("k") < max_waves).drop("_last")
 
@@ -82,6 +84,7 @@ def _zone_list(waves: list[dict], up: bool, include_forming: bool, proximity: in
     other = ("bottom_low", "bottom_high") if up else ("top_low", "top_high")
     same = [w for w in waves if w["is_up"] == up and (include_forming or not w["is_forming"])][::-1]
     rest = [w for w in waves if w["is_up"] != up and not w["is_forming"]]
+    place = {w["k"]: n for n, w in enumerate(waves)}
     emitted: list[tuple[float, float]] = []
     for n, anchor in enumerate(same):
         low, high = anchor[body[0]], anchor[body[1]]
@@ -90,7 +93,7 @@ def _zone_list(waves: list[dict], up: bool, include_forming: bool, proximity: in
         older = same[n + 1 :]
         between: list[float | None] = []
         for w in older[:proximity]:  # the registry has no forming wave, so one as anchor is never vetoed
-            inside = [x["high"] if up else x["low"] for x in waves if w["k"] < x["k"] < anchor["k"]]
+            inside = [x["high"] if up else x["low"] for x in waves[place[w["k"]] + 1 : place[anchor["k"]]]]
             between.append(None if anchor["is_forming"] or not inside else (max(inside) if up else min(inside)))
         z = wv.zone_of(anchor, older, between, proximity, multiple, share)
         ids = [w["wave_id"] for w in z["near"]] + [w["wave_id"] for w in older[proximity:] if w[body[0]] <= z["high"] and w[body[1]] >= z["low"]]
@@ -100,9 +103,9 @@ def _zone_list(waves: list[dict], up: bool, include_forming: bool, proximity: in
             yield {"side": "resistance" if up else "support", "anchor_wave_id": anchor["wave_id"], "low": z["low"], "high": z["high"], "wick_low": z["wick_low"], "wick_high": z["wick_high"], "is_double": z["double"], "overlap_low_ids": against if up else ids, "overlap_high_ids": ids if up else against}
 
 
-def zones(table: DataFrame, side: str, *, include_forming: bool = False, proximity: int = 2, only_overlapping: bool = False, only_newest: bool = True, max_waves: int = MAX_WAVES, multiple: float = 0.3, share: float = 0.004) -> DataFrame:
+def zones(table: DataFrame, side: str, *, include_forming: bool = False, proximity: int = 2, only_overlapping: bool = False, only_newest: bool = True, max_waves: int | None = MAX_WAVES, multiple: float = 0.3, share: float = 0.004) -> DataFrame:
     """All zones of a side as of the last bar, newest first (place). Whether an anchor is passed over depends on the zones before
-    it, one after another; a symbol's registry has at most max_waves waves, so a group is bounded by a parameter."""
+    it, one after another; a symbol's registry has at most max_waves waves, so a group is bounded by a parameter; with None it is all of a symbol's waves."""
     up = side == "resistance"
     if side not in ("support", "resistance"):
         raise ValueError(f"no side: {side}")

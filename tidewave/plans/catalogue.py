@@ -155,7 +155,7 @@ c AS (SELECT wv.*, since.since, row_number() OVER (PARTITION BY wv.symbol ORDER
 SELECT c.symbol, wave_id, CAST(k AS BIGINT) AS k, CAST(e - {at} AS BIGINT) AS age, CAST(since AS BIGINT) AS since, round({h}, 6) AS price FROM c JOIN n USING (symbol) WHERE c.n = 1 AND (k = newest OR e - end_i <= 150)""")
     for side in ("support", "resistance"):
         names = ["low", "high", "wick_low", "wick_high"]
-        query(f"{side}_zone_list", lambda s, d, side=side: accessors.zones(table(s, d), side, only_newest=False, max_waves=100_000).select("symbol", "place", "anchor_wave_id", *names, "is_double", F.size("overlap_high_ids" if side == "resistance" else "overlap_low_ids").alias("n_same")), f"""{oracle.upto('zones')}
+        query(f"{side}_zone_list", lambda s, d, side=side: accessors.zones(table(s, d), side, only_newest=False, max_waves=None).select("symbol", "place", "anchor_wave_id", *names, "is_double", F.size("overlap_high_ids" if side == "resistance" else "overlap_low_ids").alias("n_same")), f"""{oracle.upto('zones')}
 SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY k DESC) - 1 AS place, 'w-' || k AS anchor_wave_id, {', '.join(f'round({a}, 6) AS {b}' for a, b in zip(('zlow', 'zhigh', 'wlow', 'whigh'), names, strict=True))}, dbl AS is_double, CAST(n_over AS BIGINT) AS n_same
 FROM anchor WHERE is_up = {str(side == 'resistance').lower()}""")
         query(f"{side}_zones_distinct", lambda s, d, side=side: accessors.zones(table(s, d), side, include_forming=True).select("symbol", "place", "side", "anchor_wave_id", *names, "is_double", F.size("overlap_low_ids").alias("n_low"), F.size("overlap_high_ids").alias("n_high")))
