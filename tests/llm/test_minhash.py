@@ -4,7 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from tidewave.llm import common as common_module
 from tidewave.llm import minhash
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +81,46 @@ def test_sketches_merge_and_estimate():
     x, y, z = (minhash.registers(np.sort(p), np.array([0, len(p)])) for p in parts)
     assert (minhash.merge(x, y) == z).all()
     assert abs(minhash.estimate(x, y, np.array([925.0]), np.array([925.0]))[0] - 0.85) < 0.12
+
+
+def test_rows_that_share_an_id(spark):
+    """(5, W) and (5, V) are two documents of one id; each links with its own near copy, in any order of rows."""
+    random.seed(8)
+    one, two = ([f"{c}{random.randrange(10**6)}" for _ in range(200)] for c in "wv")
+    near = lambda words: " ".join([*words[:-1], "x"])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (6, near(two)), (7, near(one)), (8, " ".join(one[:40]))]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = sorted(run(spark, rows))
+        assert [(d, c, k) for d, _, c, k in got] == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 8, True)]
+
+
+def test_without_near_copies_keeps_unique_rows_of_an_id(spark):
+    random.seed(9)
+    one, two = (" ".join(f"{c}{random.randrange(10**6)}" for _ in range(80)) for c in "wv")
+    rows = [(5, one, "en"), (5, two, "en"), (3, two, "de"), (9, one, "b"), (9, one, "a"), (None, one, "x"), (None, None, "y"), (4, "", "z"), (6, None, None), (11, "lone text", "q"), (11, "lone text", "p")]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"n": F.lit("clash"), "tie": F.lit(1), "node": F.lit(2), "first": F.lit(3)})
+        got = minhash.without_near_copies(df)
+        assert got.columns == df.columns
+        assert sorted((tuple(r)[:3] for r in got.collect()), key=str) == sorted([(3, two, "de"), (5, one, "en"), (None, one, "x"), (None, None, "y"), (4, "", "z"), (6, None, None), (11, "lone text", "p")], key=str)
+
+
+def test_words_that_fool_hashes_modulo_powers_of_two(spark):
+    letters = lambda n: "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    turned = str.maketrans("ab", "ba")
+    rows = [(k, t) for k, t in enumerate(t for n in (1024, 4096, 16384) for t in (letters(n), letters(n).translate(turned)))]
+    rows += [(20 + k, " ".join([*(f"w{j}" for j in range(30)), t])) for k, (_, t) in enumerate(rows)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_links_are_confirmed_on_words(spark, monkeypatch):
+    """Sets of equal numbers by hash, but of different words, aren't linked."""
+    texts = ["Apple banana cherry date elder fig", "apple BANANA cherry date elder fig", "apple banana cherry date elder gap"]
+    common, union = minhash.shared_sizes(pa.array(texts), np.array([0, 0]), np.array([1, 2]))
+    assert common.tolist() == [2, 1] and union.tolist() == [2, 3]
+    monkeypatch.setattr(common_module.Spans, "__call__", lambda self, a, b: np.zeros(len(a), np.uint64))
+    long = [" ".join(f"{c}longer-than-seven-{k}" for k in range(9)) for c in "ab"]
+    common, union = minhash.shared_sizes(pa.array([*long, long[0]]), np.array([0, 0]), np.array([1, 2]))
+    assert common.tolist() == [0, 5] and union.tolist() == [10, 5]

@@ -4,7 +4,8 @@ Operator 6. Texts are split as the published pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`` does, by character classes on flat
 buffers. Every different piece of a step is merged once: a segment tree holds (rank, position) of each adjacent pair, its
 root is the leftmost pair of lowest rank, and a merge updates three leaves and their ancestors. Trees of many pieces of
-like length are the rows of one matrix, so that a merge step is a few numpy calls for thousands of pieces.
+like length are the rows of one matrix, so that a merge step is a few numpy calls for thousands of pieces; where few pieces are as
+long, each has a tree of plain numbers. Pieces are kept with their ids between steps and are found by a hash and then by their bytes.
 
 Null texts count as empty (no ids). Strings of added tokens become their one id, as the tokenizers library has it unless
 told otherwise. Texts and pieces of any length are taken whole.
@@ -23,15 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewave.llm.common import Spans, byte_table, documents, ragged, steps
+from tidewave.llm.common import Spans, byte_table, documents, ragged, same_bytes, short_keys, steps
 
 L, N, S, O = 1, 2, 3, 0  # noqa: E741  letters, numbers, white space, all else
 #: What \\s of the published pattern takes beside the ASCII ones.
 WIDE_SPACE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: The contractions of the published pattern, after the apostrophe.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
-#: Different pieces a worker keeps with their ids between steps.
-KEPT_PIECES = 1_000_000
+#: Different pieces a worker keeps with their ids between steps, and bytes of them.
+KEPT_PIECES, KEPT_BYTES = 1_000_000, 1 << 26
+#: Rows of a matrix of trees below which each piece has a tree of its own.
+FEW = 48
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _BASE = 0x5851F42D4C957F2D
 
@@ -211,6 +214,12 @@ class Vocabulary:
             rows = max(1, 2_000_000 // size)
             for k in range(0, len(mine), rows):
                 some = mine[k : k + rows]
+                if size > 16 and len(some) < FEW:
+                    for i in some.tolist():
+                        own = self._tree(raw[start[i] : start[i] + length[i]])
+                        count[i] = len(own)
+                        parts.append((np.full(len(own), i), own))
+                    continue
                 ids, alive = self._forest(raw, start[some], length[some], size)
                 count[some] = alive.sum(1)
                 parts.append((np.repeat(some, count[some]), ids[alive]))
@@ -220,6 +229,61 @@ class Vocabulary:
         ids = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
         return ids[np.argsort(where, kind="stable")], count
 
+    @functools.cached_property
+    def ranks(self) -> dict[int, tuple[int, int]]:
+        """Rank and id of each pair, by left << 20 | right."""
+        full = self.key >= 0
+        return dict(zip(self.key[full].tolist(), zip(self.rank[full].tolist(), self.made[full].tolist(), strict=True), strict=True))
+
+    def _tree(self, piece: np.ndarray) -> np.ndarray:
+        """Ids of one piece, by a segment tree of plain numbers: leaf i holds rank << 32 | i, node 1 is the root."""
+        ids: list[int] = self.of_byte[piece].tolist()
+        n = len(ids)
+        size = 1 << max(1, (n - 1).bit_length())
+        never = 1 << 62
+        ranks = self.ranks.get
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        tree = [never] * (2 * size)
+        for i in range(n - 1):
+            got = ranks(ids[i] << 20 | ids[i + 1])
+            if got:
+                tree[size + i] = got[0] << 32 | i
+        for node in range(size - 1, 0, -1):
+            a, b = tree[2 * node], tree[2 * node + 1]
+            tree[node] = a if a < b else b
+
+        def put(i: int, value: int) -> None:
+            node = size + i
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                low = a if a < b else b
+                if tree[node] == low:  # the nodes above don't change either
+                    return
+                tree[node] = low
+
+        def rank(i: int, j: int) -> int:
+            got = ranks(ids[i] << 20 | ids[j])
+            return got[0] << 32 | i if got else never
+
+        while tree[1] != never:
+            i = tree[1] & 0xFFFFFFFF
+            j = after[i]
+            ids[i] = ranks(ids[i] << 20 | ids[j])[1]
+            k = after[i] = after[j]
+            ids[j] = -1
+            put(j, never)
+            if k >= 0:
+                before[k] = i
+                put(i, rank(i, k))
+            else:
+                put(i, never)
+            h = before[i]
+            if h >= 0:
+                put(h, rank(h, i))
+        return np.array([x for x in ids if x >= 0], np.int64)
+
     def _forest(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """One segment tree a row. Leaf i holds rank << 32 | i of the pair that begins at i; node 1 is the root."""
         rows = len(start)
@@ -288,10 +352,11 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Pieces:
-    """Ids of pieces by 64-bit hash, kept between steps in an open-addressing table; new pieces go to `encode` once a step."""
+    """Ids of pieces, kept between steps in an open-addressing table; new pieces go to `encode` once a step. Pieces of up to seven
+    bytes are their own keys; longer ones have a hash as key, and one whose bytes differ from those kept under it is encoded anew."""
 
-    def __init__(self, encode, most: int = KEPT_PIECES):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = KEPT_PIECES, most_bytes: int = KEPT_BYTES):
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         bits = (2 * most).bit_length()
         self.shift, self.slots = np.uint64(64 - bits), 1 << bits
         self._clear()
@@ -299,9 +364,8 @@ class Pieces:
     def _clear(self) -> None:
         self.keys = np.zeros(self.slots, np.uint64)
         self.row = np.zeros(self.slots, np.int32)
-        self.where = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.where, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.held, self.held_at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _find(self, key: np.ndarray) -> np.ndarray:
         """The slot of each key, or the empty one where its search ends."""
@@ -314,26 +378,44 @@ class Pieces:
             miss = miss[(found != key[miss]) & (found != 0)]
         return slot
 
-    def look_up(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _keys_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        key = short_keys(raw, start, end)
+        long = np.flatnonzero(end - start > 7)
+        if len(long):
+            # the highest bit is never set in the key of a short piece
+            key[long] = Spans(raw, byte_table(11), _BASE)(start[long], end[long]) | np.uint64(1 << 63)
+        return key
+
+    def _add(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Encode these pieces and keep them. Returns their rows."""
+        ids, count = self.encode(raw, start, length)
+        rows = np.arange(len(self.count), len(self.count) + len(start), dtype=np.int32)
+        self.where = np.concatenate([self.where, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.held_at = np.concatenate([self.held_at, len(self.held) + np.cumsum(length) - length])
+        self.size = np.concatenate([self.size, length])
+        self.held = np.concatenate([self.held, raw[ragged(start, length)]])
+        return rows
+
+    def look_up(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
         """Rows of self.where and self.count for the pieces."""
-        key = np.maximum(Spans(raw, byte_table(11), _BASE)(start, end), np.uint64(1))
+        key = self._keys_of(raw, start, end) if keys is None else keys
+        size = end - start
         slot = self._find(key)
         out = self.row[slot]
         miss = np.flatnonzero(self.keys[slot] == 0)
         if len(miss):
             new, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
-            if len(self.count) + len(new) > self.most and len(self.count):
+            some = miss[first]
+            if len(self.count) and (len(self.count) + len(new) > self.most or len(self.held) + size[some].sum() > self.most_bytes):
                 self._clear()
-                return self.look_up(raw, start, end)
+                return self.look_up(raw, start, end, key)
             if len(new) > self.most:  # one huge document: a table of its own size
-                self.__init__(self.encode, 2 * len(new))
-                return self.look_up(raw, start, end)
-            some = miss[first]
-            ids, count = self.encode(raw, start[some], end[some] - start[some])
-            rows = np.arange(len(self.count), len(self.count) + len(new), dtype=np.int32)
-            self.where = np.concatenate([self.where, len(self.ids) + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+                self.__init__(self.encode, 2 * len(new), self.most_bytes)
+                return self.look_up(raw, start, end, key)
+            rows = self._add(raw, start[some], size[some])
             todo = np.arange(len(new))
             while len(todo):
                 slot = self._find(new[todo])
@@ -342,6 +424,12 @@ class Pieces:
                 self.row[slot[won]] = rows[todo[won]]
                 todo = np.delete(todo, won)
             out[miss] = rows[back.reshape(-1)]
+        long = np.flatnonzero(size > 7)
+        same = self.size[out[long]] == size[long]
+        same[same] = same_bytes(raw, start[long[same]], self.held, self.held_at[out[long[same]]], size[long[same]])
+        other = long[~same]
+        if len(other):  # another piece under the same hash: it is not kept under it
+            out[other] = self._add(raw, start[other], size[other])
         return out
 
 

@@ -6,6 +6,8 @@ hundreds of documents. A null text counts as an empty one everywhere.
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,15 +21,19 @@ STEP_BYTES = 1 << 20
 #: The white space that ends a word: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_MASK = (1 << 64) - 1
+#: Span hashes are polynomials modulo this prime (2 ** 31 - 1): arithmetic modulo a power of two has texts that agree for any base.
+PRIME = (1 << 31) - 1
+#: Bytes that one table of powers covers (longer buffers use it block by block), and how many numpy works on at once, in cache.
+BLOCK, CHUNK = 1 << 20, 1 << 17
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share (spark.checkpoint.dir); a local one is set only where the session has none."""
+    """The folder all machines share (spark.checkpoint.dir). Only a session on one machine may do without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/tidewave-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = f"{tempfile.gettempdir()}/tidewave-checkpoints"
     return folder.rstrip("/")
 
 
@@ -36,12 +42,55 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewave/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._cut_path = path
+    return again
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table that cut() wrote for df; nothing that is still to run may read it."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns that operators read, under fixed names; a null text becomes an empty one."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """The two columns that operators read, under fixed names (and __tie, see with_tie); a null text becomes an empty one."""
+    tie = ["__tie"] if "__tie" in df.columns else []
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *tie)
+
+
+def with_tie(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with the column __tie, and whether any is not 0. Rows of one doc_id and one text have the same pair (doc_id, __tie),
+    others have different ones: it is a hash of the text where a doc_id stands in several rows, or is null, and 0 elsewhere."""
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    several = docs.groupBy(F.col("doc_id").cast("long").alias("__several")).agg(F.count("*").alias("__many")).where("__many > 1 OR __several IS NULL")
+    several = cut(several, "repeated-ids")
+    if several.isEmpty():
+        return docs.withColumn("__tie", F.lit(0).cast("long")), False
+    joined = docs.join(several, F.col("doc_id").cast("long").eqNullSafe(F.col("__several")), "left")
+    return joined.select(*(docs[c] for c in docs.columns), F.when(F.col("__many").isNotNull(), text).otherwise(F.lit(0).cast("long")).alias("__tie")), True
+
+
+def exact_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number from 1 on for each span: equal spans have equal numbers, and different ones different numbers."""
+    size = end - start
+    key = short_keys(raw, start, end)
+    long = np.flatnonzero(size > 7)
+    if len(long):
+        key[long] = Spans(raw, byte_table(51), 0x5851F42D4C957F2D)(start[long], end[long]) | np.uint64(1 << 63)
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    back = back.reshape(-1)
+    model = first[back[long]]
+    same = size[model] == size[long]
+    same[same] = same_bytes(raw, start[long[same]], raw, start[model[same]], size[long[same]])
+    out = back + 1
+    others: dict[bytes, int] = {}
+    for at in long[~same].tolist():  # one hash, other bytes
+        out[at] = others.setdefault(raw[start[at] : end[at]].tobytes(), len(first) + 1 + len(others))
+    return out
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,50 +131,111 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def byte_table(seed: int, lower: bool = False) -> np.ndarray:
-    """A random 64-bit number for each byte value; lower: A to Z count as a to z."""
+    """Two random numbers under PRIME for each byte value; lower: A to Z count as a to z."""
     with np.errstate(over="ignore"):
-        table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        table = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)).reshape(2, 256) % np.uint64(PRIME)
     if lower:
-        table[65:91] = table[97:123]
+        table[:, 65:91] = table[:, 97:123]
     return table
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def fold(x: np.ndarray, times: int = 1) -> np.ndarray:
+    """Make x smaller, in place, without changing its remainder modulo PRIME: three times, and it is PRIME at most."""
+    for _ in range(times):
+        high = x >> np.uint64(31)
+        x &= np.uint64(PRIME)
+        x += high
+    return x
+
+
+def reduce(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, in place."""
+    fold(x, 3)
+    x[x == PRIME] = 0
+    return x
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i modulo 2 ** 64 for i < n; base is odd."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, STEP_BYTES + 4096)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            row = np.ones(size, np.uint64)
-            filled = 1
-            while filled < size:
-                take = min(filled, size - filled)
-                row[filled : filled + take] = row[:take] * np.uint64(pow(b, filled, 1 << 64))
-                filled += take
-            out.append(row)
-        have = _powers[base] = (out[0], out[1])
-    return have[0][:n], have[1][:n]
+@functools.cache
+def powers(base: int) -> np.ndarray:
+    """base ** i modulo PRIME for i < BLOCK."""
+    row = np.ones(BLOCK, np.uint64)
+    filled = 1
+    while filled < BLOCK:
+        take = min(filled, BLOCK - filled)
+        row[filled : filled + take] = row[:take] * np.uint64(pow(base, filled, PRIME)) % np.uint64(PRIME)
+        filled += take
+    return row.astype(np.uint32)
 
 
 class Spans:
-    """Hashes of any byte spans of one buffer, in constant time each, from prefix sums of a polynomial."""
+    """Hashes of any byte spans of one buffer, in constant time each, from prefix sums of two polynomials modulo a prime. Two
+    different spans of n bytes agree with a chance of at most (n / PRIME) ** 2."""
 
     def __init__(self, raw: np.ndarray, table: np.ndarray, base: int):
-        up, self.down = powers(base, len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(table[raw] * up[: len(raw)], out=self.sums[1:])
+        self.bases = [mix(np.array([base + k], np.uint64))[0] % np.uint64(PRIME - 2) + np.uint64(2) for k in (0, 1)]
+        self.sums = np.zeros((2, len(raw) + 1), np.uint64)
+        for sums, values, b in zip(self.sums, table, map(int, self.bases), strict=True):
+            up = powers(b)
+            for at in range(0, len(raw), CHUNK):
+                part = raw[at : at + CHUNK]
+                value = values[part]
+                value *= up[at % BLOCK : at % BLOCK + len(part)]
+                if at >= BLOCK:
+                    value = reduce(value) * np.uint64(pow(b, at // BLOCK * BLOCK, PRIME))
+                fold(value)[0] += sums[at]
+                np.cumsum(value, out=sums[at + 1 : at + 1 + len(part)])
+
+    def _lane(self, k: int, start: np.ndarray | slice, total: np.ndarray) -> np.ndarray:
+        """Sums of spans, moved to the front of the buffer."""
+        inverse = pow(int(self.bases[k]), -1, PRIME)
+        down = powers(inverse)
+        fold(total, 2)
+        if self.sums.shape[1] <= BLOCK:
+            total *= down[start]
+            return reduce(total)
+        if isinstance(start, slice):
+            start = np.arange(start.start, start.stop)
+        blocks = np.array([pow(inverse, at, PRIME) for at in range(0, self.sums.shape[1], BLOCK)], np.uint64)
+        total *= down[start % BLOCK]
+        return reduce(reduce(total) * blocks[start // BLOCK])
+
+    @staticmethod
+    def _joined(one: np.ndarray, two: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
+        return mix((one << np.uint64(31) | two) ^ np.multiply(size, np.uint64(0x9E3779B97F4A7C15)))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        out = np.empty(len(start), np.uint64)
+        for at in range(0, len(start), CHUNK):
+            a, b = start[at : at + CHUNK], end[at : at + CHUNK]
+            out[at : at + CHUNK] = self._joined(*(self._lane(k, a, s[b] - s[a]) for k, s in enumerate(self.sums)), (b - a).astype(np.uint64))
+        return out
 
     def sliding(self, size: int) -> np.ndarray:
         """Hashes of all spans of one size."""
-        n = len(self.sums) - size
-        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n] + np.uint64(size))
+        out = np.empty(max(0, self.sums.shape[1] - size), np.uint64)
+        for at in range(0, len(out), CHUNK):
+            to = min(at + CHUNK, len(out))
+            out[at:to] = self._joined(*(self._lane(k, slice(at, to), s[at + size : to + size] - s[at:to]) for k, s in enumerate(self.sums)), np.uint64(size))
+        return out
+
+
+def short_keys(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Spans of up to seven bytes as numbers: their bytes, and their length in the highest byte."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    size = (end - start).astype(np.uint64)
+    word = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))[start]
+    return word & ((np.uint64(1) << np.uint64(8) * size) - np.uint64(1)) | size << np.uint64(56)
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[a_start : a_start + size] equals b[b_start : b_start + size], for each row."""
+    full = np.flatnonzero(size)
+    out = np.ones(len(size), bool)
+    if len(full):
+        size = size[full]
+        equal = a[ragged(a_start[full], size)] == b[ragged(b_start[full], size)]
+        out[full] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+    return out
 
 
 def word_bounds(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
