@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewave.llm import suffix_dedup as sd
 
@@ -72,6 +73,37 @@ def test_empty_table_and_missing_id(spark):
     assert sorted(rows, key=str) == sorted([(None, 300, 0), (1, 300, 201 - 1 + 99), (1, 300, 201 - 1 + 99)], key=str)
 
 
+def test_rows_that_share_an_id(spark):
+    """Different texts of an id are documents of their own: no byte goes that doesn't repeat, in any order of rows."""
+    random.seed(4)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(random.randint(1, 7)))
+    one, two = (" ".join(word() for _ in range(n)) for n in (400, 330))
+    rows = [(5, one), (2, two), (5, "hi"), (5, two + " and " + two), (7, one), (7, one)]
+    results = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        results.append(sorted(run(spark, rows)))
+    assert results[0] == results[1] == results[2]
+    got = {(d, n): removed for d, n, removed, _, _ in results[0]}
+    size = len(one)
+    assert got[2, len(two)] == 0 and got[5, 2] == 0 and got[5, size] == 0 and got[7, size] == size
+    assert got[5, 2 * len(two) + 5] == 2 * len(two)
+
+
+def test_columns_of_any_name_and_very_long_texts(spark):
+    random.seed(6)
+    body = "".join(random.choice("abcdefgh ") for _ in range(150_000))
+    rows = [(1, body), (2, "x" * 10 + body[70_000:140_000] + "y"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("_ranges", "tie", "from", "to", "start", "anchor", "wanted", "bytes", "windows", "later"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = sd.without_repeats(df)
+    assert got.columns == df.columns
+    left = {r.doc_id: r.text for r in got.collect()}
+    assert left == {1: body, 2: "x" * 10 + "y", 3: ""}
+    assert sorted(tuple(r) for r in sd.remove_repeats(df).collect()) == brute(rows)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_transform_equals_sorting(seed):
     random.seed(seed)

@@ -17,8 +17,9 @@ earlier in the same one). The work is cut into collections that are small and in
 * A collection of more than HOT classes (a line that a large part of all documents have) is split further, by the windows
   themselves; each then is one string with its occurrences.
 
-Null texts count as empty. Rows without an id are returned whole and aren't compared. Rows that share an id count as one document.
-Texts shorter than LENGTH bytes lose nothing. Other columns are ignored.
+Null texts count as empty. Rows without an id are returned whole and aren't compared. Rows that share an id and a text are one
+document, and each is returned; rows that share only an id are documents of their own, in the order of a hash of their texts, so
+the result doesn't depend on the order of rows. Texts shorter than LENGTH bytes lose nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import Spans, byte_table, cut, documents, flat, ragged, steps
+from tidewave.llm.common import Spans, byte_table, cut, documents, flat, ragged, steps, with_tie
 
 LENGTH, GRAM = 100, 32
 #: Classes of an anchor beyond which it is split by windows.
@@ -49,16 +50,15 @@ def segments(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     if n < length:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     hashes = Spans(raw, byte_table(31), _ANCHOR).sliding(gram)
-    bits = np.uint64(int(n).bit_length())
-    # the place breaks ties and says where the lowest one is; equal windows order their k-grams alike
-    low = hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64)
+    # the lowest hash of each window, and the leftmost place that has it
+    low, anchor = hashes, np.arange(len(hashes))
     size = 1
-    while 2 * size <= wide:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    if size < wide:
-        low = np.minimum(low[: len(low) - (wide - size)], low[wide - size :])
-    anchor = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    while size < wide:
+        step = min(size, wide - size)
+        right = low[step:] < low[: len(low) - step]
+        low = np.where(right, low[step:], low[: len(low) - step])
+        anchor = np.where(right, anchor[step:], anchor[: len(anchor) - step])
+        size += step
     valid = np.zeros(n + 1, np.int32)
     doc_len = np.diff(offs)
     fits = np.flatnonzero(doc_len >= length)
@@ -75,6 +75,18 @@ def segments(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     return doc, begin - offs[doc], last - begin + 1, hashes[anchor[begin]], text
 
 
+def in_order(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Numbers in the order of (doc, tie): doc itself where no id stands for several texts."""
+    if not tie.any():
+        return doc
+    by = np.lexsort((tie, doc))
+    new = np.ones(len(by), bool)
+    new[1:] = (doc[by][1:] != doc[by][:-1]) | (tie[by][1:] != tie[by][:-1])
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(new)
+    return out
+
+
 def repeated_rows(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Which rows have an earlier row with equal keys."""
     order = np.lexsort((start, doc, *keys))
@@ -185,7 +197,7 @@ def runs(string: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def _segment_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, text, doc_id, start, windows, later. later: an earlier segment of the batch has the same text; such rows need no
+    """anchor, text, doc_id, tie, start, windows, later. later: an earlier segment of the batch has the same text; such rows need no
     meeting, and their anchor is replaced by a number of their own, so that they spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,19 +205,19 @@ def _segment_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
             parts = []
             for rows, raw, offs in steps(iter([batch])):
                 doc, start, windows, anchor, text = segments(raw, offs, length, gram)
-                parts.append((rows.column("doc_id").to_numpy()[doc], start, windows, anchor, text))
+                parts.append((rows.column("doc_id").to_numpy()[doc], rows.column("__tie").to_numpy()[doc], start, windows, anchor, text))
             if not parts:
                 continue
-            doc, start, windows, anchor, text = (np.concatenate(p) for p in zip(*parts, strict=True))
-            later = repeated_rows([text, anchor], doc, start)
-            anchor = np.where(later, text ^ doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64), anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(text.view(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(later)], ["anchor", "text", "doc_id", "start", "windows", "later"])
+            doc, tie, start, windows, anchor, text = (np.concatenate(p) for p in zip(*parts, strict=True))
+            later = repeated_rows([text, anchor], in_order(doc, tie), start)
+            anchor = np.where(later, text ^ (doc ^ tie).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64), anchor)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(text.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(later)], ["anchor", "text", "doc_id", "tie", "start", "windows", "later"])
 
-    return docs.mapInArrow(run, "anchor long, text long, doc_id long, start int, windows int, later boolean")
+    return docs.mapInArrow(run, "anchor long, text long, doc_id long, tie long, start int, windows int, later boolean")
 
 
 def _with_text(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The segments (anchor, doc_id, start, windows) with their bytes."""
+    """The segments (anchor, doc_id, tie, start, windows) with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,23 +230,23 @@ def _with_text(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             cuts = np.append(0, np.cumsum(size)).astype(np.int32)
             data = raw[ragged(offs[owner] + start, size)]
             column = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(batch.column("doc_id").to_numpy()[owner]), pa.array(start), column], ["anchor", "doc_id", "start", "bytes"])
+            ids = (batch.column(k).take(pa.array(owner)) for k in ("doc_id", "tie"))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), *ids, pa.array(start), column], ["anchor", "doc_id", "tie", "start", "bytes"])
 
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("wanted"))
-    # rows that share an id are one document: one of them has the text
-    joined = by_doc.join(docs, "doc_id").select("doc_id", "text", "wanted")
-    return joined.mapInArrow(run, "anchor long, doc_id long, start long, bytes binary")
+    by_doc = wanted.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("wanted"))
+    joined = by_doc.join(docs.withColumnRenamed("__tie", "tie"), ["doc_id", "tie"]).select("doc_id", "tie", "text", "wanted")
+    return joined.mapInArrow(run, "anchor long, doc_id long, tie long, start long, bytes binary")
 
 
 def _sorted_collections(pieces: DataFrame, length: int) -> DataFrame:
-    """Byte ranges (doc_id, from, to) that later windows of the collections cover."""
+    """Byte ranges (doc_id, tie, from, to) that later windows of the collections cover."""
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
         raw, offs = flat(table.column("bytes"))
-        doc, start = (table.column(k).to_numpy() for k in ("doc_id", "start"))
-        s, a, b = runs(*later_windows(raw, np.diff(offs), doc, start, length), length)
-        return pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(start[s] + a), pa.array(start[s] + b)], ["doc_id", "from", "to"])
+        doc, tie, start = (table.column(k).to_numpy() for k in ("doc_id", "tie", "start"))
+        s, a, b = runs(*later_windows(raw, np.diff(offs), in_order(doc, tie), start, length), length)
+        return pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(tie[s]), pa.array(start[s] + a), pa.array(start[s] + b)], ["doc_id", "tie", "from", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -259,7 +271,7 @@ def _sorted_collections(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, from long, to long")
+    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, tie long, from long, to long")
 
 
 def _split_by_window(pieces: DataFrame, length: int) -> DataFrame:
@@ -272,31 +284,30 @@ def _split_by_window(pieces: DataFrame, length: int) -> DataFrame:
                 raw, offs = flat(some.column("bytes"))
                 windows = np.diff(offs) - length + 1
                 at = ragged(offs[:-1], windows)
-                doc = np.repeat(some.column("doc_id").to_numpy(), windows)
-                start = np.repeat(some.column("start").to_numpy(), windows) + at - np.repeat(offs[:-1], windows)
+                doc, tie, start = (np.repeat(some.column(c).to_numpy(), windows) for c in ("doc_id", "tie", "start"))
+                start = start + at - np.repeat(offs[:-1], windows)
                 one, two = (Spans(raw, byte_table(seed), base)(at, at + length) for seed, base in ((41, _ANCHOR), (42, _OTHER)))
-                later = repeated_rows([one, two], doc, start)
-                one = np.where(later, one ^ (doc.astype(np.uint64) << np.uint64(20)) + start.astype(np.uint64), one)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(doc), pa.array(start), pa.array(later)], ["one", "two", "doc_id", "start", "later"])
+                later = repeated_rows([one, two], in_order(doc, tie), start)
+                one = np.where(later, one ^ ((doc ^ tie).astype(np.uint64) << np.uint64(20)) + start.astype(np.uint64), one)
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(start), pa.array(later)], ["one", "two", "doc_id", "tie", "start", "later"])
 
-    rows = pieces.mapInArrow(run, "one long, two long, doc_id long, start long, later boolean")
-    earliest = Window.partitionBy("one", "two").orderBy("doc_id", "start")
+    rows = pieces.mapInArrow(run, "one long, two long, doc_id long, tie long, start long, later boolean")
+    earliest = Window.partitionBy("one", "two").orderBy("doc_id", "tie", "start")
     rows = rows.withColumn("place", F.rank().over(earliest)).where("later OR place > 1")
-    return rows.select("doc_id", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
+    return rows.select("doc_id", "tie", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Byte ranges (doc_id, from, to) to remove; they may overlap."""
-    docs = docs.where("doc_id IS NOT NULL")
+    """Byte ranges (doc_id, tie, from, to) to remove; they may overlap. docs: doc_id, text, __tie, and no row twice."""
     rows = _segment_table(docs, length, gram)
     of_anchor = Window.partitionBy("anchor")
-    of_class = Window.partitionBy("anchor", "text").orderBy("doc_id", "start")
+    of_class = Window.partitionBy("anchor", "text").orderBy("doc_id", "tie", "start")
     rows = rows.withColumn("place", F.rank().over(of_class)).withColumn("n", F.count("*").over(of_anchor)).where("later OR n > 1")
     rows = rows.withColumn("classes", F.count(F.when(F.col("place") == 1, 1)).over(of_anchor))
-    found = cut(rows.select("anchor", "doc_id", "start", "windows", (F.col("later") | (F.col("place") > 1)).alias("gone"), "classes"), "segments")
-    whole = found.where("gone").select("doc_id", F.col("start").cast("long").alias("from"), (F.col("start") + F.col("windows") + (length - 1)).cast("long").alias("to"))
-    first = found.where("NOT gone AND classes > 1").select("anchor", "doc_id", "start", "windows", "classes")
-    texts = cut(_with_text(docs, first.select("anchor", "doc_id", "start", "windows"), length), "segment-texts")
+    found = cut(rows.select("anchor", "doc_id", "tie", "start", "windows", (F.col("later") | (F.col("place") > 1)).alias("gone"), "classes"), "segments")
+    whole = found.where("gone").select("doc_id", "tie", F.col("start").cast("long").alias("from"), (F.col("start") + F.col("windows") + (length - 1)).cast("long").alias("to"))
+    first = found.where("NOT gone AND classes > 1").select("anchor", "doc_id", "tie", "start", "windows", "classes")
+    texts = cut(_with_text(docs, first.drop("classes"), length), "segment-texts")
     crowded = cut(first.where(F.col("classes") > hot).select("anchor").distinct(), "crowded")
     few = texts.join(crowded, "anchor", "left_anti")
     many = texts.join(crowded, "anchor", "left_semi")
@@ -304,10 +315,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
 
 
 def _with_ranges(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """docs with the column _ranges of what to remove."""
-    ranges = repeated_ranges(documents(docs), length, gram, hot)
-    by_doc = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("_ranges"))
-    return docs.join(by_doc, "doc_id", "left")
+    """docs with the column __ranges of what to remove."""
+    tied, repeated = with_tie(docs)
+    texts = documents(tied).where("doc_id IS NOT NULL")
+    if repeated:  # a document that stands in many rows is looked at once
+        texts = texts.where("__tie = 0").unionByName(texts.where("__tie <> 0").groupBy("doc_id", "__tie").agg(F.min("text").alias("text")))
+    ranges = repeated_ranges(texts, length, gram, hot)
+    by_doc = ranges.groupBy(F.col("doc_id").alias("__doc"), F.col("tie").alias("__of_tie")).agg(F.collect_set(F.struct("from", "to")).alias("__ranges"))
+    return tied.join(by_doc, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.col("__tie") == F.col("__of_tie")), "left")
 
 
 def kept_bytes(raw: np.ndarray, offs: np.ndarray, lists: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -336,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offs in steps(batches):
-            own, removed, spans = kept_bytes(raw, offs, rows.column("_ranges"))
+            own, removed, spans = kept_bytes(raw, offs, rows.column("__ranges"))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(offs)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(x).hexdigest() for x in own])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return _with_ranges(documents(docs), length, gram, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -348,7 +363,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offs in steps(batches):
-            own, _, _ = kept_bytes(raw, offs, rows.column("_ranges"))
+            own, _, _ = kept_bytes(raw, offs, rows.column("__ranges"))
             texts = [x.decode("utf-8", "ignore") for x in own]
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in columns], columns)
@@ -356,4 +371,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     schema = docs.withColumn("text", F.lit("")).schema if "n_chars" not in columns else docs.withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
     for f in schema.fields:
         f.nullable = True
-    return _with_ranges(docs, length, gram, hot).select(*columns, "_ranges").mapInArrow(run, schema)
+    return _with_ranges(docs, length, gram, hot).select(*columns, "__ranges").mapInArrow(run, schema)
