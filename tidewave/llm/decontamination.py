@@ -8,10 +8,11 @@ item's words, or of WINDOW of them that follow one another, are equal in place.
 The MASKS leave no permitted pattern of substitutions of an item of SPAN words or more without a seed at 80 percent (enumerated up to
 400 words); at a lower percentage they may. Items of fewer than SPAN words are looked for only if `short` is set, as the registered
 query and the pipeline do: up to four words as exact copies, five and six words with each one of them left out (80 percent allow one).
-A short item of common words contaminates all documents that have it; ORACLE_SQL knows neither short items nor the later two masks.
+A short item of common words contaminates all documents that have it. ORACLE_SQL has no masks: it lays items over documents wherever
+any two or three words that follow one another agree, so it sees a pair that the masks would miss.
 
-Words are in lower case and parted by space and U+0009 to U+000D. Null texts count as empty, and items without words are not looked for. Rows without an id are compared like others. Repeated rows count once. Other columns are
-ignored, whatever their names.
+Words are in lower case and parted by space and U+0009 to U+000D. Null texts count as empty, and items without words are not looked
+for. Rows without an id are compared like others. Repeated rows count once. Other columns are ignored, whatever their names.
 
 The items' seeds and words are broadcast only if their counted size is within BROADCAST_WORDS; then nothing of the documents is
 shuffled but contaminated pairs. Beyond it, seeds are joined by a shuffle, and texts by the documents that have hits.
@@ -24,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewave.llm.common import with_tie
+
 #: Fixed patterns of five words; what they leave out differs, so that permitted substitutions can't avoid all of them.
 MASKS = ("1110011", "1101011", "1011011", "11111")
 SPAN = 7
@@ -54,27 +57,26 @@ def short_masks(size: int) -> list[tuple[int, str]]:
     return [(m.index("1"), m.strip("0")) for m in rows]
 
 
-def compared(percent: int, window: int) -> dict[str, Column]:
-    """Of an item (item_words) at a place (shift) of a document (words): equal words, and the most in a window."""
-    n = F.size("item_words")
+def placed_items(hits: DataFrame) -> DataFrame:
+    """hits: doc_id, words, item, item_words, item_id, shift. One row per document, item and shift: which of the item's words that
+    lie over the document are equal to it (same), without the document's other words."""
     first = F.greatest(-F.col("shift"), F.lit(0))  # the item's first word that lies over the document
-    over = F.least(n, F.size("words") - F.col("shift")) - first
+    over = F.least(F.size("item_words"), F.size("words") - F.col("shift")) - first
     same = F.zip_with(F.slice("words", F.col("shift") + first + 1, over), F.slice("item_words", first + 1, over), lambda a, b: F.when(a == b, 1).otherwise(0))
-    sums = F.aggregate(same, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    width = F.least(F.lit(window), n)
-    most = F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(over - width, F.lit(0))), lambda i: F.get(F.col("sums"), F.least(i + width, over)) - F.get(F.col("sums"), i)))
-    return {"sums": sums, "over": over, "most": most}
+    return hits.select("doc_id", "item_id", F.size("item_words").alias("n_words"), "shift", same.alias("same")).distinct()
 
 
 def _verified(hits: DataFrame, percent: int, window: int) -> DataFrame:
-    """hits: doc_id, words, item_id, item_words, shift. One row per contaminated document and item."""
-    parts = compared(percent, window)
-    n = F.size("item_words")
-    rows = hits.withColumn("sums", parts["sums"]).withColumn("n_match", F.element_at("sums", -1))
-    rows = rows.withColumn("best_window", F.when(F.lit(100) * F.col("n_match") >= percent * F.least(n, F.lit(window)), parts["most"]).otherwise(0))
-    rows = rows.where((F.lit(100) * F.col("n_match") >= percent * n) | (F.lit(100) * F.col("best_window") >= percent * F.least(n, F.lit(window))))
-    best = F.max(F.struct("n_match", (-F.col("shift")).alias("back"), "best_window"))
-    out = rows.select("doc_id", "item_id", n.alias("n_words"), "n_match", "shift", "best_window").groupBy("doc_id", "item_id", "n_words").agg(best.alias("best"), F.max("best_window").alias("window"))
+    """hits as in placed_items. One row per contaminated document and item."""
+    n, over = F.col("n_words"), F.size("same")
+    width = F.least(F.lit(window), n)
+    rows = placed_items(hits).withColumn("n_match", F.aggregate("same", F.lit(0), lambda acc, x: acc + x))
+    # a window of a fixed number of words at each place: its cost grows with the item, not with the square of it
+    sums = F.transform(F.sequence(F.lit(0), F.greatest(over - width, F.lit(0))), lambda i: F.aggregate(F.slice("same", i + 1, width), F.lit(0), lambda acc, x: acc + x))
+    rows = rows.withColumn("best_window", F.when(F.lit(100) * F.col("n_match") >= percent * width, F.array_max(sums)).otherwise(0))
+    rows = rows.where((F.lit(100) * F.col("n_match") >= percent * n) | (F.lit(100) * F.col("best_window") >= percent * width))
+    best = F.max(F.struct("n_match", (-F.col("shift")).alias("back")))
+    out = rows.groupBy("doc_id", "item_id", "n_words").agg(best.alias("best"), F.max("best_window").alias("window"))
     return out.select("doc_id", "item_id", F.col("n_words").cast("long").alias("n_words"), F.col("best.n_match").cast("long").alias("n_match"), (-F.col("best.back")).cast("long").alias("start_word"), F.col("window").cast("long").alias("best_window"))
 
 
@@ -83,7 +85,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     start_word (where the item lies, may be negative), best_window (most equal words of `window` that follow one another).
     short: look for items of fewer than SPAN words too."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("item_words")).where(F.size("item_words") >= (1 if short else SPAN)).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
+    id_ = F.col("doc_id") if dict(docs.dtypes)["doc_id"].startswith("struct") else F.col("doc_id").cast("long")
+    texts = docs.select(id_.alias("doc_id"), words_of(F.col("text")).alias("words"))
     sizes = {r["short"]: r["words"] or 0 for r in items.groupBy(F.when(F.size("item_words") < SPAN, F.size("item_words")).alias("short")).agg(F.sum(F.size("item_words")).alias("words")).collect()}
     small = sum(sizes.values()) <= broadcast_words
     marked = items.withColumn("item", F.xxhash64("item_id", "item_words"))
@@ -115,27 +118,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, window: int = WINDOW, short: bool = False) -> DataFrame:
-    """The documents that no item contaminates, with all their columns. Documents without an id stay."""
-    bad = contaminated(docs, benchmark, percent, window, short=short).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The documents that no item contaminates, with all their columns. Rows that share an id, or have none, are judged each by its
+    own text."""
+    tied, _ = with_tie(docs)
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("__tie").alias("tie"))
+    bad = contaminated(tied.select(key.alias("doc_id"), "text"), benchmark, percent, window, short=short).select(F.col("doc_id").alias("__bad")).distinct()
+    return tied.join(bad, key == F.col("__bad"), "left_anti").select(*docs.columns)
 
 
+#: Runs of equal words that a permitted pattern always leaves: all of an item of up to 4 words, 2 of 5, 3 of more.
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
-dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 5)) AS p FROM d WHERE len(w) >= 7),
-bp AS (SELECT item_id, w, unnest(range(1, len(w) - 5)) AS p FROM b WHERE len(w) >= 7),
-ds AS (SELECT doc_id, p, w[p] || chr(10) || w[p+1] || chr(10) || w[p+2] || chr(10) || w[p+5] || chr(10) || w[p+6] AS s FROM dp
-  UNION ALL SELECT doc_id, p, 'B' || chr(10) || w[p] || chr(10) || w[p+1] || chr(10) || w[p+3] || chr(10) || w[p+5] || chr(10) || w[p+6] FROM dp),
-bs AS (SELECT item_id, p, w[p] || chr(10) || w[p+1] || chr(10) || w[p+2] || chr(10) || w[p+5] || chr(10) || w[p+6] AS s FROM bp
-  UNION ALL SELECT item_id, p, 'B' || chr(10) || w[p] || chr(10) || w[p+1] || chr(10) || w[p+3] || chr(10) || w[p+5] || chr(10) || w[p+6] FROM bp),
-h AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS shift FROM ds JOIN bs USING (s)),
-e AS (SELECT h.doc_id, h.item_id, h.shift, len(b.w) AS n, unnest(range(1, len(b.w) + 1)) AS i, b.w AS bw, d.w AS dw FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
-m AS (SELECT doc_id, item_id, shift, n, i, CASE WHEN i + shift BETWEEN 1 AND len(dw) AND bw[i] = dw[i + shift] THEN 1 ELSE 0 END AS same FROM e),
-s AS (SELECT doc_id, item_id, shift, n, sum(same) OVER (PARTITION BY doc_id, item_id, shift) AS n_match,
-  sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS win FROM m),
-g AS (SELECT doc_id, item_id, shift, n, max(n_match) AS n_match, max(win) AS win FROM s GROUP BY ALL),
-k AS (SELECT *, CASE WHEN 100 * n_match >= 80 * least(n, 20) THEN win ELSE 0 END AS w2 FROM g)
+k AS (SELECT *, CASE WHEN len(w) <= 4 THEN len(w) WHEN len(w) = 5 THEN 2 ELSE 3 END AS run FROM b WHERE len(w) > 0),
+bp AS (SELECT item_id, w, run, unnest(range(1, CAST(len(w) - run + 2 AS BIGINT))) AS p FROM k),
+bs AS (SELECT item_id, w, p, run, list_aggregate(w[p:p + run - 1], 'string_agg', chr(10)) AS s FROM bp),
+dp AS (SELECT doc_id, w, r.run, unnest(range(1, CAST(len(w) - r.run + 2 AS BIGINT))) AS p FROM d, (SELECT DISTINCT run FROM k) r WHERE len(w) >= r.run),
+ds AS (SELECT doc_id, p, run, list_aggregate(w[p:p + run - 1], 'string_agg', chr(10)) AS s FROM dp),
+h AS (SELECT DISTINCT ds.doc_id, bs.item_id, bs.w AS bw, ds.p - bs.p AS shift FROM ds JOIN bs USING (s, run)),
+e AS (SELECT h.doc_id, h.item_id, h.shift, len(bw) AS n, unnest(range(1, len(bw) + 1)) AS i, bw, d.w AS dw FROM h JOIN d USING (doc_id)),
+m AS (SELECT doc_id, item_id, bw, shift, n, i, CASE WHEN i + shift BETWEEN 1 AND len(dw) AND bw[i] = dw[i + shift] THEN 1 ELSE 0 END AS same FROM e),
+s AS (SELECT doc_id, item_id, bw, shift, n, sum(same) OVER (PARTITION BY doc_id, item_id, bw, shift) AS n_match,
+  sum(same) OVER (PARTITION BY doc_id, item_id, bw, shift ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS win FROM m),
+g AS (SELECT doc_id, item_id, bw, shift, n, max(n_match) AS n_match, max(win) AS win FROM s GROUP BY ALL),
+k2 AS (SELECT *, CASE WHEN 100 * n_match >= 80 * least(n, 20) THEN win ELSE 0 END AS w2 FROM g)
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_words, CAST(max(n_match) AS BIGINT) AS n_match, CAST(arg_max(shift, struct_pack(a := n_match, b := -shift)) AS BIGINT) AS start_word, CAST(max(w2) AS BIGINT) AS best_window
-FROM k WHERE 100 * n_match >= 80 * n OR 100 * w2 >= 80 * least(n, 20) GROUP BY doc_id, item_id, n
+FROM k2 WHERE 100 * n_match >= 80 * n OR 100 * w2 >= 80 * least(n, 20) GROUP BY doc_id, item_id, n
 """
