@@ -57,7 +57,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewave.llm.quality_rules import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents"))
+    rules = quality_rules(table(spark, sf_dir, "documents"))
+    return rules.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewave.llm import chat, decontamination
+    from tidewave.llm import chat, decontamination, quality_rules
 
-    return {"op2_decontamination": decontamination.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL}
+    return {"op2_decontamination": decontamination.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL, "op10_rules": quality_rules.ORACLE_SQL}
