@@ -358,3 +358,19 @@ def labelled(docs: DataFrame, percent: int, hub_rounds: int = 3) -> DataFrame:
     out = sketch.select("doc_id", "tie", *prints).join(named, prints, "left")
     real = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return out.select("doc_id", "tie", "n", F.when(real, F.col("first")).alias("first"))
+
+
+#: All shingles of all documents, all pairs that share one, and all that can be reached over links.
+ORACLE_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT r, list_aggregate(w[p:p + 4], 'string_agg', ' ') AS sh FROM p),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+q AS (SELECT s.* FROM s JOIN d USING (r) WHERE d.doc_id IS NOT NULL),
+i AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM q a JOIN q b ON a.sh = b.sh AND a.r < b.r GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+m AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, coalesce(d.doc_id = m.component_id, true) AS kept FROM d LEFT JOIN n USING (r) JOIN m USING (r)
+"""

@@ -86,6 +86,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewave.llm import chat, decontamination, quality_rules
+    from tidewave.llm import chat, decontamination, minhash, quality_rules, suffix_dedup
 
-    return {"op2_decontamination": decontamination.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL, "op10_rules": quality_rules.ORACLE_SQL}
+    return {"op1_suffix_dedup": suffix_dedup.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL, "op2_decontamination": decontamination.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL, "op10_rules": quality_rules.ORACLE_SQL}

@@ -372,3 +372,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     for f in schema.fields:
         f.nullable = True
     return _with_ranges(docs, length, gram, hot).select(*columns, "__ranges").mapInArrow(run, schema)
+
+
+#: Each window of each document is compared with all; a missing id has no windows. Of different texts of one id, the lesser is earlier.
+ORACLE_SQL = f"""
+WITH k AS (SELECT *, row_number() OVER (ORDER BY doc_id, text) AS r, encode(text) AS b, octet_length(encode(text)) AS n FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+w AS (SELECT r, p, b[p:p + {LENGTH - 1}] AS x FROM (SELECT r, b, unnest(range(1, n - {LENGTH - 2})) AS p FROM k WHERE n >= {LENGTH} AND doc_id IS NOT NULL)),
+g AS (SELECT r, p FROM (SELECT r, p, row_number() OVER (PARTITION BY x ORDER BY r, p) AS place FROM w) WHERE place > 1),
+i AS (SELECT r, p, sum(CASE WHEN p > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS island FROM (SELECT r, p, lag(p, 1, p) OVER (PARTITION BY r ORDER BY p) AS before FROM g)),
+s AS (SELECT r, min(p) AS a, max(p) + {LENGTH - 1} AS z FROM i GROUP BY r, island),
+t AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS last FROM s),
+u AS (SELECT t.r, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) AS z, string_agg(CASE WHEN a - 1 > last THEN hex(k.b[last + 1:a - 1]) ELSE '' END, '' ORDER BY a) AS kept FROM t JOIN k USING (r) GROUP BY t.r),
+f AS (SELECT k.doc_id, k.text, k.n AS n_bytes, coalesce(u.n_removed, 0) AS n_removed, coalesce(u.n_spans, 0) AS n_spans,
+  sha256(CASE WHEN u.r IS NULL THEN k.b ELSE unhex(u.kept || CASE WHEN k.n > u.z THEN hex(k.b[u.z + 1:k.n]) ELSE '' END) END) AS kept_sha256 FROM k LEFT JOIN u USING (r))
+SELECT d.doc_id, CAST(f.n_bytes AS BIGINT) AS n_bytes, CAST(f.n_removed AS BIGINT) AS n_removed, CAST(f.n_spans AS BIGINT) AS n_spans, f.kept_sha256
+FROM documents d JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id AND coalesce(d.text, '') = f.text
+"""
