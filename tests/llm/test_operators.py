@@ -3,8 +3,11 @@
 import hashlib
 import html
 import itertools
+import math
+import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -195,12 +198,70 @@ def test_mirrored_pages_keep_their_text(spark):
         ("<main><p>All of it</p></main><div id='comments'><article class='comment'><p>Much more talk than text</p></article></div>", "All of it"),
         ("<article><p>All of it</p></article><nav class='x'><a>More links than text on this page</a></nav><div class='ad-banner'>Buy</div>", "All of it"),
         ("<nav>Only links</nav><footer>us</footer>", ""),
+        ("<article><p>One <img alt=\"5\" wide\"> two</p></article>", "One two"),
+        ("<article><p title='a > b' data-x=\"c > d\">One 3 < 4 & 5</p></ article></article>", "One 3 < 4 & 5"),
+        ("<article><p title=don't>One</p><p class='x'>two</p></article>", "One two"),
+        ("<article><script data-x=\"a>b\">var a = '<p>no</p>';</script><p>One</p><iframe><p>no</p></iframe></article>", "One"),
+        ("<article><p>One</p><p title=\"cut off here <b>", "One"),
+        ("<article><div class='post-header'><h1>Title</h1></div><div class='social-studies'><p>Text</p></div></article>", "Title Text"),
     ],
 )
 def test_names_cut_no_main_text(page, want):
     assert " ".join(b.text for b in html_text.kept_blocks(html_text.parse(f"<html><body>{page}</body></html>")[0], set(), set())) == want
 
 
+def style_trees(pages):
+    """What trees of a host say, counted one page after another: importance of each node and of each text at it."""
+    bodies = {}
+    for page in pages:
+        blocks, styles = html_text.parse(page)
+        body = frozenset(b.text for b in blocks if not b.cut and len(b.text) >= html_text.LONG) or frozenset(b.text for b in blocks if not b.cut)
+        nodes = {b.path for b in blocks}
+        bodies.setdefault(body, ({(b.path, b.text) for b in blocks}, {(p, s) for p, s in styles if p in nodes}))
+    nodes = {p for texts, _ in bodies.values() for p, _ in texts}
+    out = {}
+    for node in nodes:
+        mine = [(texts, styles) for texts, styles in bodies.values() if any(p == node for p, _ in texts)]
+        n = len(mine)
+        if n < html_text.LEAST_PAGES:
+            continue
+        times = lambda k: Counter(x for pair in mine for p, x in pair[k] if p == node)  # noqa: B023, E731
+        texts, looks = times(0), times(1)
+        content = 1 - min(1, sum(math.log(c) for c in texts.values()) / len(texts) / math.log(n))
+        total = sum(looks.values())
+        look = -sum(c / total * math.log(c / total) for c in looks.values()) / math.log(n) if total else 0
+        out[node] = (html_text.CONTENT * content + (1 - html_text.CONTENT) * look, {t: 1 - math.log(c) / math.log(n) for t, c in texts.items()})
+    return out
+
+
+def test_style_trees_equal_brute_force(spark):
+    """Hosts without articles, whose frame no name tells: only the trees can cut it, and the result changes without them."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    frame = [prose(6) for _ in range(4)]
+    page = lambda k: f"<div class='x1'><p>{frame[0]}</p><ul><li>{frame[1]}</li><li>{rng.choice(frame)}</li></ul></div><div class='x2'>" + "".join(f"<p>{prose(30)}</p>" for _ in range(rng.randint(1, 4))) + f"<b>{prose(3)}</b></div><div class='x3'>{frame[2]}<hr>{k % 3} stars</div>"
+    pages = [page(k) for k in range(40)]
+    pages += pages[:5] + [page(99).replace("x2", "z9")]
+    tree = style_trees(pages)
+    low = {n for n, (importance, _) in tree.items() if importance < html_text.LEAST_IMPORTANCE}
+    everywhere = {(n, t) for n, (_, texts) in tree.items() for t, i in texts.items() if i < html_text.LEAST_TEXT}
+    assert low or everywhere
+    want = []
+    for html_page in pages:
+        blocks = [b for b in html_text.parse(html_page)[0] if not b.cut]
+        stay = [b for b in blocks if b.prose or b.path not in low]
+        rare = [b for b in stay if (b.path, b.text) not in everywhere]
+        size = lambda bs: sum(len(b.text) for b in bs)
+        want.append(" ".join(b.text for b in (stay if 2 * size(rare) < size(stay) else rare)))
+    got = texts_of(spark, [("http://frame.example/x", p) for p in pages])
+    assert [got[k] for k in range(len(pages))] == want
+    assert all(frame[0] not in t and frame[2] not in t for t in want)
+    whole = [" ".join(b.text for b in html_text.kept_blocks(html_text.parse(p)[0], set(), set())) for p in pages]
+    assert all(a != b and frame[0] in b for a, b in zip(want, whole))
+    assert html_text.main_text(spark.createDataFrame([(1, None, p) for p in [pages[0]] * 3], "page_id long, url string, html string")).count() == 3
+
+
 def test_pages_of_the_test_table_keep_articles_whole(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     got = {r.page_id: r.text for r in html_text.main_text(spark.read.parquet(f"{SMALL}/pages.parquet")).collect()}

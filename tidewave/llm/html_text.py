@@ -1,6 +1,6 @@
 """Main text of web pages by site style trees.
 
-Operator 8. The pages of a host are merged into one style tree: its nodes are paths of elements with their classes, and each node
+Operator 8. The pages of a host are merged into one style tree: its nodes are paths of elements with their classes (whole tokens), and each node
 knows on how many pages it is, which styles (sequences of child elements) it has there, and on how many pages each text
 directly in it appears. A node's presentation importance is the entropy of its styles, its content importance is 1 minus the
 mean entropy of its texts over the pages (a text on every page tells nothing), both with the number of pages as the base of
@@ -62,7 +62,10 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tb
 WHOLE = frozenset(["html", "body", "main"])
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript)\b(?P<rest>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: Attributes up to the end of a tag: a quote opens a value only behind an equals sign, as browsers read it.
+_REST = r"(?>=\s*+(?>\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=])*+"
+#: Comments, raw text, declarations and odd end tags, tags, and a tag that the page's end cuts off: browsers show none of it.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe)(?=[\s/>])(?P<rest>{_REST})>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>|</[^a-zA-Z][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>{_REST})(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -174,7 +177,9 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         flush()
         marks = " ".join(v for m in ATTRIBUTE.finditer(token["attributes"]) for v in m.groups()[1:] if v).lower() if token["attributes"] else ""
         words = set(WORD.findall(marks))
-        step = name + ("." + ".".join(sorted(words)) if words else "")
+        # classes by whole tokens; ids and the classes of a whole page are often numbers of it
+        classes = {t for m in ATTRIBUTE.finditer(token["attributes"]) if m[1].lower() == "class" for v in m.groups()[1:] if v for t in v.split()} if marks and name not in WHOLE else set()
+        step = name + ("." + ".".join(sorted(classes)) if classes else "")
         place.children.append(step)
         named = name == "form" or (name not in WHOLE and not words.isdisjoint(ASIDE_WORDS) and any(t and ASIDE_WORDS.issuperset(t) for t in map(WORD.findall, marks.split())))
         prose = name in ("article", "main") or (place.prose and name in PROSE and not words)
