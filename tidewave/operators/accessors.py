@@ -41,15 +41,23 @@ def wave_by_id(table: DataFrame, wave_id: str) -> DataFrame:
 
 def broken_between(table: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (symbol, a, b: places of two waves) with lower_low_between and higher_high_between: whether a confirmed wave strictly
-    between them goes beyond either. False where one of them isn't confirmed."""
-    rows = wv.confirmed(table).select("symbol", "k", F.col("low").alias("l"), F.col("high").alias("h"))
+    between them goes beyond either. False where one of them isn't confirmed. Extrema over 1, 2, 4 ... following waves are kept with
+    each wave; two such runs cover what is between a pair, so a pair meets four waves, however far apart its ends are."""
     ends = pairs.select("symbol", "a", "b").distinct()
-    for side in ("a", "b"):
-        ends = ends.join(rows.select("symbol", F.col("k").alias(side), F.col("l").alias(f"l_{side}"), F.col("h").alias(f"h_{side}")), ["symbol", side], "left")
-    inside = ends.join(rows, "symbol", "left").where((F.col("k") > F.least("a", "b")) & (F.col("k") < F.greatest("a", "b")))
-    found = inside.groupBy("symbol", "a", "b").agg(F.max((F.col("l") < F.col("l_a")) | (F.col("l") < F.col("l_b"))).alias("x"), F.max((F.col("h") > F.col("h_a")) | (F.col("h") > F.col("h_b"))).alias("y"))
-    out = ends.join(found, ["symbol", "a", "b"], "left")
-    return out.select("symbol", "a", "b", F.coalesce("x", F.lit(False)).alias("lower_low_between"), F.coalesce("y", F.lit(False)).alias("higher_high_between"))
+    widest = ends.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] or 0
+    levels = max(1, max(int(widest) - 1, 1).bit_length())
+    runs = [wv.by_wave().rowsBetween(0, (1 << j) - 1) for j in range(levels)]
+    rows = wv.confirmed(table).select("symbol", "k", F.col("low").alias("l"), F.col("high").alias("h"), F.array(*(F.min("low").over(w) for w in runs)).alias("lows"), F.array(*(F.max("high").over(w) for w in runs)).alias("highs"))
+    first, last = F.least("a", "b") + 1, F.greatest("a", "b") - 1
+    size = last - first + 1
+    level = F.when(size > 0, F.floor(F.log2(size.cast("double")))).cast("int")
+    ends = ends.withColumns({"_level": level, "_one": F.when(size > 0, first)}).withColumn("_two", F.when(size > 0, last - F.expr("shiftleft(1, _level)") + 1))
+    for side, at in (("a", "a"), ("b", "b"), ("one", "_one"), ("two", "_two")):
+        ends = ends.join(rows.select("symbol", F.col("k").alias(at), *(F.col(c).alias(f"{c}_{side}") for c in ("l", "h", "lows", "highs"))), ["symbol", at], "left")
+    low = F.least(F.get("lows_one", F.col("_level")), F.get("lows_two", F.col("_level")))
+    high = F.greatest(F.get("highs_one", F.col("_level")), F.get("highs_two", F.col("_level")))
+    both = F.col("l_a").isNotNull() & F.col("l_b").isNotNull()
+    return ends.select("symbol", "a", "b", F.coalesce(both & (low < F.greatest("l_a", "l_b")), F.lit(False)).alias("lower_low_between"), F.coalesce(both & (high > F.least("h_a", "h_b")), F.lit(False)).alias("higher_high_between"))
 
 
 def trending(table: DataFrame) -> DataFrame:
@@ -118,3 +126,13 @@ def zones(table: DataFrame, side: str, *, include_forming: bool = False, proximi
         return pd.DataFrame(found, columns=[c.split(" ")[0] for c in ZONE_SCHEMA.split(", ")])
 
     return rows.groupBy("symbol").applyInPandas(run, ZONE_SCHEMA)
+
+
+def anchors(table: DataFrame, side: str) -> DataFrame:
+    """The zone of each confirmed wave of a side, newest first (place), with how many older waves of the side meet it (overlaps). Zones come
+    from the pass over the waves, so no symbol is gathered."""
+    up = side == "resistance"
+    rows = wv.wave_history(table).join(wv.confirmed(table).where(F.col("is_up") == F.lit(up)).select("symbol", "k", "wave_id"), ["symbol", "k"])
+    newest = Window.partitionBy("symbol").orderBy(F.desc("k"))
+    names = {"low": "low", "high": "high", "wick_low": "wick_low", "wick_high": "wick_high", "double": "is_double", "overlaps": "overlaps"}
+    return rows.select("symbol", (F.row_number().over(newest) - 1).alias("place"), F.lit(side).alias("side"), F.col("wave_id").alias("anchor_wave_id"), *(F.col(f"{side}_{a}").alias(b) for a, b in names.items()))

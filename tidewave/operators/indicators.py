@@ -16,15 +16,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("open_time")
 
 
-def along(rows: DataFrame, start: Callable[[], Any], step: Callable[[Any, pd.DataFrame], pd.DataFrame], schema: str, order: list[str], key: str = "symbol") -> DataFrame:
+def along(rows: DataFrame, start: Callable[[], Any], step: Callable[[Any, pd.DataFrame], pd.DataFrame], schema: str, order: list[str], key: str = "symbol", fields: list[str] | None = None) -> DataFrame:
     """Run step(state, part) over each key's rows in order; part is what one Arrow batch has of the key, the state lives on to
-    the next batch. A lost task starts again from its sorted rows."""
+    the next batch. A lost task starts again from its sorted rows. With fields, part has only these, and the columns of schema are
+    put beside all columns of rows, which don't leave Arrow."""
 
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
     arrow = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in schema.split(", "))])
@@ -32,17 +34,25 @@ def along(rows: DataFrame, start: Callable[[], Any], step: Callable[[Any, pd.Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, owner = None, None
         for batch in batches:
-            frame = batch.to_pandas()
-            if not len(frame):
+            if not batch.num_rows:
                 continue
+            frame = (batch.select([key, *fields]) if fields else batch).to_pandas()
             keys = frame[key].to_numpy()
             cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(frame)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if state is None or keys[a] != owner:
                     state, owner = start(), keys[a]
-                yield pa.RecordBatch.from_pandas(step(state, frame.iloc[a:b]), schema=arrow, preserve_index=False)
+                new = pa.RecordBatch.from_pandas(step(state, frame.iloc[a:b]), schema=arrow, preserve_index=False)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new.columns], [*batch.schema.names, *arrow.names]) if fields else new
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    if fields:
+        out = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
+        spark_kinds = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+        for name, kind in (c.split(" ") for c in schema.split(", ")):
+            out = out.add(name, spark_kinds[kind])
+    else:
+        out = schema
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, out)
 
 
 class Ema:
@@ -96,18 +106,57 @@ def with_indicators(bars: DataFrame, r: int = 12, s: int = 8, signal_period: int
     average over a gap has no meaning."""
 
     def step(o: Oscillator, part: pd.DataFrame) -> pd.DataFrame:
-        high, low, close = (part[c].to_numpy(np.float64, na_value=np.nan) for c in ("high", "low", "close"))
-        if np.isnan(high).any() or np.isnan(low).any() or np.isnan(close).any():
-            raise ValueError("a bar has no high, low or close")
-        out = part.copy()
-        for name, values in zip(("tsi", "tsi_signal", "tsi_histogram", "atr"), advance(o, high, low, close), strict=True):
-            out[name] = values  # NaN becomes NULL on the way back
-        return out
-
-    plain = ["symbol", "open_time", "open", "high", "low", "close", "volume"]
-    keep = [*plain, *(["hist"] if "hist" in bars.columns else [])]
-    schema = "symbol string, open_time long, " + ", ".join(f"{c} double" for c in [*keep[2:], "tsi", "tsi_signal", "tsi_histogram", "atr"])
-    return along(bars.select(*keep), lambda: Oscillator(r, s, signal_period, atr_period), step, schema, ["open_time"])
+        return pd.DataFrame(dict(zip(INDICATORS, advance(o, *prices(part)), strict=True)))  # NaN becomes NULL on the way back
+
+    return along(plain(bars), lambda: Oscillator(r, s, signal_period, atr_period), step, ", ".join(f"{c} double" for c in INDICATORS), ["open_time"], fields=["high", "low", "close"])
+
+
+def exported_indicators(bars: DataFrame) -> DataFrame:
+    """bars with the slower TSI 25/13/7 that exported files have; the bars before it can be computed have zeros. ATR is as ever."""
+    rows = with_indicators(bars.drop("tsi", "tsi_signal", "tsi_histogram"), 25, 13, 7)
+    return rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("tsi", "tsi_signal", "tsi_histogram")})
+
+
+INDICATORS = ("tsi", "tsi_signal", "tsi_histogram", "atr")
+
+
+def plain(bars: DataFrame) -> DataFrame:
+    numbers = [c for c in ("open", "high", "low", "close", "volume", "hist") if c in bars.columns]
+    return bars.select(F.col("symbol").cast("string").alias("symbol"), F.col("open_time").cast("long").alias("open_time"), *(F.col(c).cast("double").alias(c) for c in numbers))
+
+
+def prices(part: pd.DataFrame) -> list[np.ndarray]:
+    found = [part[c].to_numpy(np.float64, na_value=np.nan) for c in ("high", "low", "close")]
+    if any(np.isnan(x).any() for x in found):
+        raise ValueError("a bar has no high, low or close")
+    return found
+
+
+class Segmented:
+    """State of indicators and waves at the end of the bars so far."""
+
+    def __init__(self, oscillator: Oscillator):
+        self.osc, self.i, self.k, self.up = oscillator, 0, 0, None
+
+
+def with_structure(bars: DataFrame, own_hist: bool = False, r: int = 12, s: int = 8, signal_period: int = 4, atr_period: int = 14) -> DataFrame:
+    """bars with hist, atr, and the wave of each bar (i, is_up, flip, k, see waves.segment) from one ordered pass. own_hist: waves go by
+    the column hist; otherwise by the TSI histogram."""
+    names = [*INDICATORS, *([] if own_hist else ["hist"])]
+
+    def step(o: Segmented, part: pd.DataFrame) -> pd.DataFrame:
+        found = dict(zip(INDICATORS, advance(o.osc, *prices(part)), strict=True))
+        hist = part["hist"].to_numpy(np.float64, na_value=np.nan) if own_hist else found["tsi_histogram"]
+        up = hist >= 0
+        flip = np.append(o.up is not None and up[0] != o.up, up[1:] != up[:-1])
+        k = o.k + np.cumsum(flip)
+        i = o.i + np.arange(len(up))
+        o.i, o.k, o.up = int(i[-1]) + 1, int(k[-1]), bool(up[-1])
+        return pd.DataFrame(found | ({} if own_hist else {"hist": hist}) | {"i": i.astype(np.int32), "is_up": up, "flip": flip, "k": k})
+
+    rows = plain(bars) if own_hist else plain(bars.drop("hist"))
+    schema = ", ".join(f"{c} double" for c in names) + ", i int, is_up boolean, flip boolean, k long"
+    return along(rows, lambda: Segmented(Oscillator(r, s, signal_period, atr_period)), step, schema, ["open_time"], fields=["high", "low", "close", *(["hist"] if own_hist else [])])
 
 
 def true_range() -> Column:

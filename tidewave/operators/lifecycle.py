@@ -1,7 +1,7 @@
 """Life of a zone: intact, broken, retested, and back to intact by a flip or a failed retest.
 
 One step a bar; a new zone (or none) starts again. The states go in a circle, which windows can't follow, so rows pass a small
-state machine by symbol, in order.
+state machine by symbol, in order, and take its columns along.
 """
 
 from __future__ import annotations
@@ -55,9 +55,8 @@ def with_lifecycle(rows: DataFrame, retest_mode: str = "wick") -> DataFrame:
                 if event:
                     out[f"zone_{event}_{name}"][n] = True
                 out[f"zone_retest_count_{name}"][n] = count
-        return pd.DataFrame({"symbol": part["symbol"].to_numpy(), "i": part["i"].to_numpy()} | out)
+        return pd.DataFrame(out)
 
     names = [f"zone_{e}_{s}" for e in EVENTS for s in ("support", "resistance")]
-    schema = "symbol string, i int, " + ", ".join(f"{n} boolean" for n in names) + ", zone_retest_count_support int, zone_retest_count_resistance int"
-    events = along(rows.select("symbol", "i", *fields), lambda: (Zone(1), Zone(-1)), step, schema, ["i"])
-    return rows.join(events, ["symbol", "i"])
+    schema = ", ".join(f"{n} boolean" for n in names) + ", zone_retest_count_support int, zone_retest_count_resistance int"
+    return along(rows, lambda: (Zone(1), Zone(-1)), step, schema, ["i"], fields=fields)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidewave.operators import lifecycle
 from tidewave.operators import waves as wv
-from tidewave.operators.indicators import by_symbol, with_indicators
+from tidewave.operators.indicators import by_symbol, with_structure
+from tidewave.sources.tables import written
 
 #: The short names of all columns, by group.
 PLAIN = ["wave_side", "wave_id", "forming_wave_high", "forming_wave_low", "wave_count", "atr"]
@@ -42,7 +43,7 @@ def quality(overlaps: Column, double: Column, width: Column, atr: Column, age: C
     return F.least(score, F.lit(10.0))
 
 
-def snapshots(table: DataFrame, zones: bool) -> DataFrame:
+def snapshots(table: DataFrame, zones: bool, max_waves: int | None = None) -> DataFrame:
     """One row per confirmed wave: all that bars of the next wave see."""
     rows = wv.metrics(wv.diverging(wv.pullback(wv.confirmed(table))))
     top, bottom = (lambda n: wv.swing("h", True, n)), (lambda n: wv.swing("l", False, n))
@@ -64,7 +65,7 @@ def snapshots(table: DataFrame, zones: bool) -> DataFrame:
     out = {
         "last_top_price": F.col("t0"), "last_bottom_price": F.col("b0"),
         "made_higher_high": F.col("hh"), "made_higher_low": F.col("hl"), "made_lower_high": F.col("lh"), "made_lower_low": F.col("ll"),
-        "trend_wave_count": F.col("run"), "structure_break_level": F.when(F.col("rises"), F.col("b0")).when(F.col("falls"), F.col("t0")),
+        "trend_wave_count": F.col("run") if max_waves is None else F.least("run", F.lit(max_waves // 2 - 1)), "structure_break_level": F.when(F.col("rises"), F.col("b0")).when(F.col("falls"), F.col("t0")),
         "three_push_up": F.coalesce(F.when(up, F.col("pushes")).otherwise(before), F.lit(False)),
         "three_push_down": F.coalesce(F.when(~up, F.col("pushes")).otherwise(before), F.lit(False)),
         "bearish_divergence": F.when(up, F.col("last_div")).otherwise(F.col("prev_div")), "bullish_divergence": F.when(~up, F.col("last_div")).otherwise(F.col("prev_div")),
@@ -76,12 +77,12 @@ def snapshots(table: DataFrame, zones: bool) -> DataFrame:
         "rises": F.col("rises"), "falls": F.col("falls"), "s_up": up, "s_formation_i": F.col("formation_i"), "s_formation_atr": F.col("formation_atr"),
     }
     snaps = rows.select("symbol", "k", *(c.alias(n) for n, c in out.items()))
-    return with_zones(snaps, table) if zones else snaps
+    return with_zones(snaps, table, max_waves) if zones else snaps
 
 
-def with_zones(snaps: DataFrame, table: DataFrame) -> DataFrame:
+def with_zones(snaps: DataFrame, table: DataFrame, max_waves: int | None = None) -> DataFrame:
     """Snapshots with swing distances and zones (see waves.wave_history)."""
-    past = wv.wave_history(table)
+    past = wv.wave_history(table, max_waves=max_waves)
     rows = snaps.join(past, ["symbol", "k"])
     own, prev = F.col("since"), F.lag("since").over(wv.by_wave())
     rows = rows.withColumns({"high_since": F.when(F.col("s_up"), own).otherwise(prev), "low_since": F.when(~F.col("s_up"), own).otherwise(prev)})
@@ -93,27 +94,31 @@ def with_zones(snaps: DataFrame, table: DataFrame) -> DataFrame:
     return rows
 
 
-def project(bars: DataFrame, columns: Iterable[str] | None = None, *, hist: str | None = None, retest_mode: str = "wick", atr_period: int = 14, r: int = 12, s: int = 8, signal_period: int = 4, prefix: str = "ms_") -> DataFrame:
+def project(bars: DataFrame, columns: Iterable[str] | None = None, *, hist: str | None = None, retest_mode: str = "wick", atr_period: int = 14, r: int = 12, s: int = 8, signal_period: int = 4, prefix: str = "ms_", max_waves: int | None = None) -> DataFrame:
     """bars with the requested columns under prefix. hist: the column whose sign makes waves; None: the TSI histogram of the
-    closes. Any retest_mode but wick is the close mode. Empty input gives the full schema without rows."""
+    closes. Any retest_mode but wick is the close mode. max_waves: only so many confirmed waves are remembered (see waves.evicted).
+    Empty input gives the full schema without rows. Indicators and waves are written once (see written), as several
+    stages read them."""
     wanted = check_columns(columns)
+    if max_waves is not None and max_waves < wv.LEAST_WAVES:
+        raise ValueError(f"max_waves must be {wv.LEAST_WAVES} or more")
     rows = bars.withColumn("hist", F.col(hist)) if hist else bars
-    rows = with_indicators(rows, r, s, signal_period, atr_period)
-    if not hist:
-        rows = rows.withColumn("hist", F.col("tsi_histogram"))
-    rows = wv.segment(rows)
+    rows = written(with_structure(rows, bool(hist), r, s, signal_period, atr_period), "bars-in-waves")
     table = wv.waves(rows)
     zoned = bool(set(wanted) & set(ZONES + LIFE))
-    snaps = snapshots(table, zoned)
+    if zoned:
+        table = written(table, "waves")
+    snaps = snapshots(table, zoned, max_waves)
     last = Window.partitionBy("symbol")
     rows = rows.withColumn("wave_side", F.when(F.col("is_up"), "up").otherwise("down"))
     rows = rows.withColumn("wave_id", F.concat(F.when(F.col("k") == F.max("k").over(last), "forming-").otherwise("w-"), F.col("k").cast("string")))
     own = Window.partitionBy("symbol", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"forming_wave_high": F.max("high").over(own), "forming_wave_low": F.min("low").over(own), "wave_count": F.col("k").cast("int")})
+    rows = rows.withColumns({"forming_wave_high": F.max("high").over(own), "forming_wave_low": F.min("low").over(own), "wave_count": (F.col("k") if max_waves is None else F.least("k", F.lit(max_waves))).cast("int")})
     joined = rows.alias("b").join(snaps.withColumn("k", F.col("k") + 1).alias("s"), ["symbol", "k"], "left")
     joined = per_bar(joined, zoned)
     if set(wanted) & set(LIFE):
-        joined = lifecycle.with_lifecycle(joined, retest_mode)
+        needed = ["symbol", "open_time", "i", "open", "high", "low", "close", "volume", *(f"{z}_zone_{e}" for z in ("support", "resistance") for e in ("low", "high")), *(c for c in wanted if c not in LIFE)]
+        joined = lifecycle.with_lifecycle(joined.select(*(joined[c] for c in dict.fromkeys(needed))), retest_mode)
     kept = ["symbol", "open_time", *(c for c in ("open", "high", "low", "close", "volume"))]
     return joined.select(*kept, *((F.col(c).cast("long") if c in WHOLE else F.col(c)).alias(prefix + c) for c in wanted))
 

@@ -105,35 +105,76 @@ def diverging(table: DataFrame) -> DataFrame:
     return table.withColumn("diverging", F.when(F.lag("k", 2).over(by_wave()).isNotNull(), both))
 
 
+#: The fewest waves a bounded memory can have: three-push looks at three of a side.
+LEAST_WAVES = 6
+
+
+class Side:
+    """The tops (or bottoms) so far: the newest few as rows, and of all that aren't forgotten the body, the extreme and its time."""
+
+    def __init__(self, up: bool, recent: int):
+        self.up, self.keep, self.recent = up, max(recent, 1), []
+        self.n, self.begin, self.rows = 0, 0, np.empty((4, 64))
+        self.starts: list[float] = []
+        self.ends: list[float] = []
+        self.places: list[int] = []
+
+    def add(self, w: dict) -> None:
+        if self.n == self.rows.shape[1]:
+            held = self.rows[:, self.begin : self.n]
+            self.rows, self.n, self.begin = np.concatenate([held, np.empty((4, max(64, held.shape[1])))], 1), held.shape[1], 0
+        body = ("top_low", "top_high") if self.up else ("bottom_low", "bottom_high")
+        self.rows[:, self.n] = [w[body[0]], w[body[1]], w["high" if self.up else "low"], w["high_time" if self.up else "low_time"]]
+        self.n += 1
+        self.places.append(w["k"])
+        self.recent = [*self.recent, w][-self.keep :]
+        bisect.insort(self.starts, w[body[0]])
+        bisect.insort(self.ends, w[body[1]])
+
+    def forget(self, before: int) -> None:
+        """Forget the waves before the one of this number."""
+        while self.places and self.places[0] < before:
+            self.places.pop(0)
+            del self.starts[bisect.bisect_left(self.starts, self.rows[0, self.begin])], self.ends[bisect.bisect_left(self.ends, self.rows[1, self.begin])]
+            self.begin += 1
+            self.recent = [w for w in self.recent if w["k"] >= before]
+
+    def overlapping(self, low: float, high: float) -> int:
+        """How many bodies meet [low, high]."""
+        return len(self.starts) - bisect.bisect_left(self.ends, low) - (len(self.starts) - bisect.bisect_right(self.starts, high))
+
+    def earliest(self, low: float, high: float, but: int) -> float:
+        """The time of the first extreme at or beyond the zone [low, high] of a body that meets it; the newest `but` don't count."""
+        a, b, extreme, time = self.rows[:, self.begin : self.n - but]
+        beyond = extreme >= high if self.up else extreme <= low
+        return float(time[(a <= high) & (b >= low) & beyond].min(initial=np.inf))
+
+
 class History:
-    """What the wave kernel remembers of a symbol: open ranges for `since`, and the bodies of past tops and bottoms."""
-
-    def __init__(self) -> None:
-        self.highs: list[tuple[float, int]] = []
-        self.lows: list[tuple[float, int]] = []
-        self.sides: dict[bool, list[dict]] = {True: [], False: []}
-        self.starts: dict[bool, list[float]] = {True: [], False: []}
-        self.ends: dict[bool, list[float]] = {True: [], False: []}
+    """What the wave kernel remembers of a symbol: open ranges for `since`, and the bodies of past tops and bottoms. With max_waves
+    it forgets older waves, as a registry of so many waves does: then `since` ends at the first bar that is remembered."""
+
+    def __init__(self, recent: int = 2, max_waves: int | None = None) -> None:
+        self.max_waves = max_waves
+        self.highs: list[tuple[float, int, int]] = []
+        self.lows: list[tuple[float, int, int]] = []
+        self.sides = {up: Side(up, recent) for up in (True, False)}
+        self.begins: list[int] = []
         self.zone: dict[bool, dict | None] = {True: None, False: None}
-        self.last: list[dict] = []
 
 
-def since(stack: list[tuple[float, int]], value: float, at: int) -> int:
-    """Bars back to the latest earlier wave beyond value; the stack keeps only waves that can still be the answer."""
+def since(stack: list[tuple[float, int, int]], value: float, at: int, oldest: int, oldest_start: int) -> int:
+    """Bars back to the latest earlier wave beyond value, or to the start of the oldest wave that is remembered; the stack keeps
+    only waves that can still be the answer."""
     while stack and stack[-1][0] <= value:
         stack.pop()
-    return at - stack[-1][1] - 1 if stack else at
+    return at - stack[-1][1] - 1 if stack and stack[-1][2] >= oldest else at - oldest_start
 
 
 def tolerance(atr: float | None, price: float, multiple: float, share: float) -> float:
     return multiple * atr if atr is not None and np.isfinite(atr) and atr > 0 else share * price
 
 
-def overlapping(starts: list[float], ends: list[float], low: float, high: float) -> int:
-    """How many closed ranges (sorted starts, sorted ends) meet [low, high]."""
-    return len(starts) - bisect.bisect_left(ends, low) - (len(starts) - bisect.bisect_right(starts, high))
-
-
 def zone_of(wave: dict, older: list[dict], between: list[float], proximity: int, multiple: float, share: float) -> dict:
     """The zone of an anchor and the older waves of its side, newest first; between[j] is the deepest low (highest high) of the
     waves between the anchor and older[j], None without a veto. Only the first `proximity` older waves can change the range."""
@@ -165,55 +206,82 @@ KERNEL_SCHEMA = "symbol string, k int, since int, " + ", ".join(f"{s}_{c}" for s
 
 def _zone_step(h: History, w: dict, proximity: int, multiple: float, share: float) -> None:
     up = w["is_up"]
-    older = h.sides[up][::-1] if proximity > 8 else h.sides[up][: -proximity - 1 : -1]
+    mine, others = h.sides[up], h.sides[not up]
+    older = mine.recent[::-1][:proximity]
     between: list[float] = []
     deepest = None
     for j in range(len(older)):  # the waves between: one of the other side, then one of this side and one of the other ...
-        for x in [older[j - 1]] * (j > 0) + [h.sides[not up][-1 - j]]:
+        for x in [older[j - 1]] * (j > 0) + [others.recent[-1 - j]]:
             v = x["high"] if up else x["low"]
             deepest = v if deepest is None else (max if up else min)(deepest, v)
         between.append(deepest)
     z = zone_of(w, older, between, proximity, multiple, share)
-    near = len(older)
-    count = overlapping(h.starts[up], h.ends[up], z["low"], z["high"])
+    count = mine.overlapping(z["low"], z["high"])
     keys = ("top_low", "top_high") if up else ("bottom_low", "bottom_high")
     count += len(z["near"]) - sum(1 for x in older if x[keys[0]] <= z["high"] and x[keys[1]] >= z["low"])
     first = min(w["high_time"], w["h_time"]) if up else min(w["low_time"], w["l_time"])
     if z["double"]:
-        past = z["near"] + [x for x in h.sides[up][: len(h.sides[up]) - near] if x[keys[0]] <= z["high"] and x[keys[1]] >= z["low"]]
-        for x in past:
+        for x in z["near"]:
             if x["high"] >= z["high"] if up else x["low"] <= z["low"]:
                 first = min(first, x["high_time"] if up else x["low_time"])
-    h.zone[up] = z | {"overlaps": count, "anchor_time": float(first), "formation_i": w["formation_i"]}
+        first = min(first, mine.earliest(z["low"], z["high"], len(older)))
+    h.zone[up] = {c: z[c] for c in ("low", "high", "wick_low", "wick_high", "double")} | {"overlaps": count, "anchor_time": float(first), "formation_i": w["formation_i"]}
 
 
-def wave_history(table: DataFrame, proximity: int = 2, multiple: float = 0.3, share: float = 0.004) -> DataFrame:
+def wave_step(h: History, w: dict, proximity: int = 2, multiple: float = 0.3, share: float = 0.004) -> dict:
+    """Take one more confirmed wave into the history; returns its row of KERNEL_SCHEMA. The zone of an anchor is fixed when the anchor is
+    confirmed; only touches from the other side are counted anew."""
+    up = w["is_up"]
+    oldest = 0 if h.max_waves is None else max(0, w["k"] - h.max_waves)
+    start = h.begins[0] if h.begins and h.max_waves is not None else 0
+    # a wave's own extreme closes the ranges of smaller ones, on both sides
+    high, low = since(h.highs, w["h"], int(w["h_i"]), oldest, start), since(h.lows, -w["l"], int(w["l_i"]), oldest, start)
+    h.highs.append((w["h"], int(w["h_i"]), w["k"]))
+    h.lows.append((-w["l"], int(w["l_i"]), w["k"]))
+    _zone_step(h, w, proximity, multiple, share)
+    h.sides[up].add(w)
+    if h.max_waves is not None:
+        h.begins = [*h.begins, int(w["start_i"])][-h.max_waves :]
+        for side in h.sides.values():
+            side.forget(w["k"] - h.max_waves + 1)
+        # ranges that began in forgotten waves can't be an answer any more
+        h.highs, h.lows = ([x for x in s if x[2] >= w["k"] - h.max_waves] if s and s[0][2] < w["k"] - h.max_waves else s for s in (h.highs, h.lows))
+    row = {"symbol": w.get("symbol"), "k": w["k"], "since": high if up else low}
+    for side, name in ((False, "support"), (True, "resistance")):
+        z = h.zone[side]
+        for c in ("low", "high", "wick_low", "wick_high", "double", "overlaps", "anchor_time", "formation_i"):
+            row[f"{name}_{c}"] = z[c] if z else None
+        row[f"{name}_touches"] = h.sides[not side].overlapping(z["low"], z["high"]) if z else None
+    return row
+
+
+KERNEL_FIELDS = ["k", "is_up", "start_i", "h", "h_i", "h_time", "l", "l_i", "l_time", "high", "high_time", "high_atr", "low", "low_time", "low_atr", "top_low", "top_high", "bottom_low", "bottom_high", "formation_i"]
+
+
+def wave_history(table: DataFrame, proximity: int = 2, multiple: float = 0.3, share: float = 0.004, max_waves: int | None = None) -> DataFrame:
     """For each confirmed wave: since (bars back to a higher top, or lower bottom, of any wave), and the newest support and
-    resistance zone as of it. History needs all earlier waves, in order; counts of overlaps come from sorted edges, and the
-    search for earlier extremes from a stack, so a wave costs far less than its history is long."""
-    names = ["symbol", "k", "is_up", "h", "h_i", "h_time", "l", "l_i", "l_time", "high", "high_time", "high_atr", "low", "low_time", "low_atr", "top_low", "top_high", "bottom_low", "bottom_high", "formation_i"]
+    resistance zone as of it. History needs all earlier waves, in order: a few numbers of each, or of the newest max_waves only; counts
+    of overlaps come from sorted edges, the search for earlier extremes from a stack, and a double zone looks once through a
+    numpy column for the first touch."""
 
     def step(h: History, part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for w in part.to_dict("records"):
-            up = w["is_up"]
-            # a wave's own extreme closes the ranges of smaller ones, on both sides
-            high, low = since(h.highs, w["h"], int(w["h_i"])), since(h.lows, -w["l"], int(w["l_i"]))
-            h.highs.append((w["h"], int(w["h_i"])))
-            h.lows.append((-w["l"], int(w["l_i"])))
-            _zone_step(h, w, proximity, multiple, share)
-            row = {"symbol": w["symbol"], "k": w["k"], "since": high if up else low}
-            body = ("top_low", "top_high") if up else ("bottom_low", "bottom_high")
-            h.sides[up].append(w)
-            bisect.insort(h.starts[up], w[body[0]])
-            bisect.insort(h.ends[up], w[body[1]])
-            for side, name in ((False, "support"), (True, "resistance")):
-                z = h.zone[side]
-                for c in ("low", "high", "wick_low", "wick_high", "double", "overlaps", "anchor_time", "formation_i"):
-                    row[f"{name}_{c}"] = z[c] if z else None
-                row[f"{name}_touches"] = overlapping(h.starts[not side], h.ends[not side], z["low"], z["high"]) if z else None
-            out.append(row)
-        frame = pd.DataFrame(out, dtype=object)
+        frame = pd.DataFrame([wave_step(h, w, proximity, multiple, share) for w in part.to_dict("records")], dtype=object)
         return frame[[c.split(" ")[0] for c in KERNEL_SCHEMA.split(", ")]]
 
-    return along(confirmed(table).select(*names), History, step, KERNEL_SCHEMA, ["k"])
+    return along(confirmed(table).select("symbol", *KERNEL_FIELDS), lambda: History(proximity, max_waves), step, KERNEL_SCHEMA, ["k"])
+
+
+def evicted(table: DataFrame, max_waves: int) -> DataFrame:
+    """The waves of a bounded registry: the forming one and the newest max_waves confirmed ones of each symbol."""
+    newest = F.max("k").over(Window.partitionBy("symbol"))
+    return table.withColumn("_newest", newest).where(F.col("is_forming") | (F.col("_newest") - F.col("k") <= max_waves)).drop("_newest")
+
+
+def alternation_faults(table: DataFrame) -> DataFrame:
+    """Waves on the same side as the one before them. There are none in a sound table."""
+    return table.withColumn("_before", F.lag("side").over(by_wave())).where("_before = side").drop("_before")
+
+
+def bar_counts(bars: DataFrame) -> DataFrame:
+    """Registered bars of each symbol: different open_times."""
+    return bars.groupBy("symbol").agg(F.countDistinct("open_time").alias("n_bars"))

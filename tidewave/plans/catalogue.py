@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidewave.operators import accessors, spans, strategies, timeframes, trades
 from tidewave.operators import waves as wv
-from tidewave.operators.indicators import true_range, with_indicators
+from tidewave.operators.indicators import exported_indicators, true_range, with_indicators
 from tidewave.operators.projection import ALL_COLUMNS, LIFE, WHOLE, ZONES, project
 from tidewave.plans import oracle
-from tidewave.sources.bars import millis, resample
+from tidewave.sources.bars import millis, resample, time_range
+from tidewave.sources.tables import written
 
 HOUR = 3_600_000
 TEXT = {"wave_side", "wave_id"}
@@ -104,6 +105,11 @@ SELECT symbol, CAST(t - t % 604800000 AS BIGINT) AS open_time, round(min(struct_
 def indicators() -> None:
     query("true_range", lambda s, d: event_bars(s, d).select("symbol", "open_time", true_range().alias("true_range")), f"{oracle.upto('ind')} SELECT symbol, open_time, round(tr, 6) AS true_range FROM ind")
     query("atr_wilder_14", lambda s, d: with_indicators(event_bars(s, d)).select("symbol", "open_time", "atr"), f"{oracle.upto('ind')} SELECT symbol, open_time, round(atr, 6) AS atr FROM ind")
+    slow = {"2::DOUBLE / 13": "2::DOUBLE / 26", "2::DOUBLE / 9": "2::DOUBLE / 14", "2::DOUBLE / 5": "2::DOUBLE / 8"}
+    slow_sql = oracle.upto("ind")
+    for a, b in slow.items():
+        slow_sql = slow_sql.replace(a, b)
+    query("tsi_25_13_7", lambda s, d: exported_indicators(event_bars(s, d)).select("symbol", "open_time", "tsi", "tsi_signal", "tsi_histogram"), f"{slow_sql} SELECT symbol, open_time, round(coalesce(tsi, 0), 6) + 0 AS tsi, round(coalesce(tsi_signal, 0), 6) + 0 AS tsi_signal, round(coalesce(hist, 0), 6) + 0 AS tsi_histogram FROM ind")
     query("tsi_12_8_4", lambda s, d: with_indicators(event_bars(s, d)).select("symbol", "open_time", "tsi", "tsi_signal", "tsi_histogram"), f"{oracle.upto('ind')} SELECT symbol, open_time, round(tsi, 6) AS tsi, round(tsi_signal, 6) AS tsi_signal, round(hist, 6) AS tsi_histogram FROM ind")
 
 
@@ -155,10 +161,20 @@ c AS (SELECT wv.*, since.since, row_number() OVER (PARTITION BY wv.symbol ORDER
 SELECT c.symbol, wave_id, CAST(k AS BIGINT) AS k, CAST(e - {at} AS BIGINT) AS age, CAST(since AS BIGINT) AS since, round({h}, 6) AS price FROM c JOIN n USING (symbol) WHERE c.n = 1 AND (k = newest OR e - end_i <= 150)""")
     for side in ("support", "resistance"):
         names = ["low", "high", "wick_low", "wick_high"]
-        query(f"{side}_zone_list", lambda s, d, side=side: accessors.zones(table(s, d), side, only_newest=False, max_waves=None).select("symbol", "place", "anchor_wave_id", *names, "is_double", F.size("overlap_high_ids" if side == "resistance" else "overlap_low_ids").alias("n_same")), f"""{oracle.upto('zones')}
+        query(f"{side}_zone_list", lambda s, d, side=side: accessors.anchors(table(s, d), side).select("symbol", "place", "anchor_wave_id", *names, "is_double", F.col("overlaps").alias("n_same")), f"""{oracle.upto('zones')}
 SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY k DESC) - 1 AS place, 'w-' || k AS anchor_wave_id, {', '.join(f'round({a}, 6) AS {b}' for a, b in zip(('zlow', 'zhigh', 'wlow', 'whigh'), names, strict=True))}, dbl AS is_double, CAST(n_over AS BIGINT) AS n_same
 FROM anchor WHERE is_up = {str(side == 'resistance').lower()}""")
-        query(f"{side}_zones_distinct", lambda s, d, side=side: accessors.zones(table(s, d), side, include_forming=True).select("symbol", "place", "side", "anchor_wave_id", *names, "is_double", F.size("overlap_low_ids").alias("n_low"), F.size("overlap_high_ids").alias("n_high")))
+        query(f"{side}_zones_distinct", lambda s, d, side=side: accessors.zones(table(s, d), side, include_forming=True).select("symbol", "place", "side", "anchor_wave_id", *names, "is_double", F.size("overlap_low_ids").alias("n_low"), F.size("overlap_high_ids").alias("n_high")), f"{oracle.upto('wv')},{oracle.distinct_zones(side, accessors.MAX_WAVES)}")
+    query("wave_by_id", lambda s, d: accessors.wave_by_id(table(s, d), "w-5").select("symbol", "wave_id", "side", *extrema, *places), f"{oracle.upto('wv')} SELECT symbol, wave_id, side, {r6(*extrema)}, {whole(*places)} FROM wv WHERE wave_id = 'w-5'")
+    query("wave_registry", lambda s, d: wv.evicted(table(s, d), 20).select("symbol", "wave_id", "side", *extrema), f"{oracle.upto('wv')} SELECT symbol, wave_id, side, {r6(*extrema)} FROM (SELECT *, max(k) OVER (PARTITION BY symbol) AS newest FROM wall) WHERE newest - k <= 20")
+    query("registered_bars", lambda s, d: wv.bar_counts(event_bars(s, d)), f"WITH {oracle.bars_sql()} SELECT symbol, CAST(count(DISTINCT open_time) AS BIGINT) AS n_bars FROM bars GROUP BY symbol")
+
+    def faults(s: SparkSession, d: str) -> DataFrame:
+        t = table(s, d)
+        found = wv.alternation_faults(t).groupBy("symbol").agg(F.count("*").alias("n_faults"))
+        return t.groupBy("symbol").agg(F.count("*").alias("n_waves")).join(found, "symbol", "left").select("symbol", "n_waves", F.coalesce("n_faults", F.lit(0)).alias("n_faults"))
+
+    query("alternation_check", faults, f"{oracle.upto('wv')} SELECT symbol, CAST(count(*) AS BIGINT) AS n_waves, CAST(count(*) FILTER (side = before) AS BIGINT) AS n_faults FROM (SELECT *, lag(side) OVER (PARTITION BY symbol ORDER BY k) AS before FROM wall) GROUP BY symbol")
 
 
 def columns() -> None:
@@ -182,6 +198,20 @@ def columns() -> None:
     projected("zone_lifecycle_wick", list(LIFE))
     projected("zone_lifecycle_close", list(LIFE), retest_mode="close")
     projected("project_all_columns", list(ALL_COLUMNS))
+    few = ["wave_count", "trend_wave_count", "high_since", "low_since"]
+    sql = oracle.upto("zproj").replace(oracle.SINCE, oracle.bounded_since(20))
+    query("bounded_registry", lambda s, d: project(event_bars(s, d), few, max_waves=20).select("symbol", "open_time", *(f"ms_{c}" for c in few)), f"""{sql}
+SELECT symbol, open_time, least(ms_wave_count, 20) AS ms_wave_count, least(ms_trend_wave_count, 9) AS ms_trend_wave_count, ms_high_since, ms_low_since FROM zproj""")
+    own = ["wave_id", "wave_side", "last_top_price", "is_trending_up"]
+    sql = oracle.upto("proj").replace("tsi - sig AS hist", "close - open AS hist")
+    query("hist_column", lambda s, d: project(event_bars(s, d).withColumn("body", F.col("close") - F.col("open")), own, hist="body").select("symbol", "open_time", *(f"ms_{c}" for c in own)), f"{sql} SELECT symbol, open_time, {sql_columns(own)} FROM proj")
+
+    def ranged(s: SparkSession, d: str) -> DataFrame:
+        rows = project(event_bars(s, d), ["wave_id", "support_zone_low", "atr"]).select("symbol", "open_time", "ms_wave_id", "ms_support_zone_low", "ms_atr")
+        return time_range(rows, F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))
+
+    query("time_range", ranged, f"""{oracle.upto('zproj')} SELECT symbol, open_time, ms_wave_id, round(ms_support_zone_low, 6) AS ms_support_zone_low, round(ms_atr, 6) AS ms_atr FROM zproj
+WHERE open_time >= epoch_ms(TIMESTAMP '2024-01-05') AND open_time <= epoch_ms(TIMESTAMP '2024-01-20')""")
 
 
 def higher_timeframe() -> None:
@@ -224,6 +254,13 @@ u AS (SELECT *, lag(a) OVER w AS a1, lag(b) OVER w AS b1 FROM t {w}) SELECT symb
     union = " UNION ALL ".join(f"SELECT symbol, open_time AS time, '{f}' AS pattern_type FROM proj WHERE ms_{f}" for f in spans.FLAGS)
     query("pattern_markers", lambda s, d: spans.pattern_markers(project(event_bars(s, d), spans.FLAGS)), f"{oracle.upto('proj')} {union}")
 
+    zone_marks = " UNION ALL ".join(f"SELECT symbol, open_time AS time, 'zone' AS kind, '{e}_{s}' AS label FROM lproj WHERE ms_zone_{e}_{s}" for s in ("support", "resistance") for e in spans.LIFE_EVENTS)
+    pattern_marks = " UNION ALL ".join(f"SELECT symbol, open_time, 'pattern', '{f}' FROM lproj WHERE ms_{f}" for f in spans.FLAGS)
+    need = ["wave_id", "wave_side", "bearish_divergence", "bullish_divergence", *LIFE, *spans.FLAGS]
+    query("all_markers", lambda s, d: spans.markers(written(project(event_bars(s, d), need), "marked-bars")), f"""{oracle.upto('lproj')}, u AS (SELECT symbol, open_time, ms_wave_id AS id, lag(ms_wave_id) OVER w AS id1, coalesce(ms_bearish_divergence, false) AS a, coalesce(ms_bullish_divergence, false) AS b,
+lag(coalesce(ms_bearish_divergence, false)) OVER w AS a1, lag(coalesce(ms_bullish_divergence, false)) OVER w AS b1 FROM lproj {w})
+{zone_marks} UNION ALL {pattern_marks} UNION ALL SELECT symbol, open_time, 'wave', id FROM u WHERE id1 <> id UNION ALL SELECT symbol, open_time, 'divergence', 'bearish' FROM u WHERE a AND NOT a1 UNION ALL SELECT symbol, open_time, 'divergence', 'bullish' FROM u WHERE b AND NOT b1""")
+
     def grades(s: SparkSession, d: str) -> DataFrame:
         rows = project(event_bars(s, d), ["zone_quality_support", *LIFE])
         return rows.select("symbol", "open_time", spans.zone_grade(F.round("ms_zone_quality_support", 6)).alias("grade"), spans.has_lifecycle_event().alias("has_event"))

@@ -150,6 +150,31 @@ lproj AS (SELECT z.*, {', '.join(f"coalesce({s[0]}.event = '{e}', false) AS ms_z
   FROM zproj z JOIN life s ON s.symbol = z.symbol AND s.i = z.i AND s.side = 'support' JOIN life r ON r.symbol = z.symbol AND r.i = z.i AND r.side = 'resistance')"""
 
 
+def bounded_since(n: int) -> str:
+    """SINCE where only the n waves before each are remembered."""
+    few = SINCE.replace("b.k < a.k GROUP", f"b.k < a.k AND b.k >= a.k - {n} GROUP")
+    few = few.replace("THEN a.h_i ELSE", "THEN a.h_i - o.start_i ELSE").replace("THEN a.l_i ELSE", "THEN a.l_i - o.start_i ELSE")
+    return few.rstrip().removesuffix(")") + f" LEFT JOIN wv o ON o.symbol = a.symbol AND o.k = greatest(0, a.k - {n}))"
+
+
+def distinct_zones(side: str, n: int) -> str:
+    """Zones of a side in a registry of n waves and the forming one, newest first; an anchor whose body meets a zone taken before is
+    passed over. The fold keeps the zones taken so far as a list."""
+    up = side == "resistance"
+    body = ("top_low", "top_high") if up else ("bottom_low", "bottom_high")
+    other = ("bottom_low", "bottom_high") if up else ("top_low", "top_high")
+    zones = ZONES.split("zsnap AS")[0].rstrip().rstrip(",").replace("FROM wv", "FROM zw").replace("z0 AS (SELECT symbol, k, is_up,", "z0 AS (SELECT symbol, k, is_up, is_forming,")
+    zones = zones.replace("coalesce(NOT (", "coalesce((is_forming OR NOT (").replace("x1 < ext1)", "x1 < ext1))").replace("least(x1, ext1, x3) < ext2)", "least(x1, ext1, x3) < ext2))")
+    return f"""
+zw AS (SELECT * FROM (SELECT *, max(CASE WHEN NOT is_forming THEN k END) OVER (PARTITION BY symbol) AS newest FROM wall) WHERE is_forming OR newest - k < {n}),{zones},
+cand AS (SELECT a.*, w.wave_id, w.{body[0]} AS body_low, w.{body[1]} AS body_high, row_number() OVER (PARTITION BY a.symbol ORDER BY a.k DESC) AS n,
+  (SELECT count(*) FROM zw o WHERE o.symbol = a.symbol AND o.is_up <> a.is_up AND NOT o.is_forming AND o.{other[0]} <= a.zhigh AND o.{other[1]} >= a.zlow) AS n_against
+  FROM anchor a JOIN zw w ON w.symbol = a.symbol AND w.k = a.k WHERE a.is_up = {str(up).lower()}),
+fold AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(a DOUBLE, z DOUBLE)[]) AS held, false AS took, CAST(0 AS BIGINT) AS place FROM cand
+  UNION ALL SELECT c.symbol, c.n, CASE WHEN skip THEN held ELSE list_append(held, struct_pack(a := zlow, z := zhigh)) END, NOT skip, len(held) FROM (
+    SELECT c.*, f.held, len(list_filter(f.held, lambda x: x.a <= c.body_high AND x.z >= c.body_low)) > 0 AS skip FROM fold f JOIN cand c ON c.symbol = f.symbol AND c.n = f.n + 1) c)
+SELECT c.symbol, CAST(f.place AS BIGINT) AS place, '{side}' AS side, wave_id AS anchor_wave_id, round(zlow, 6) AS low, round(zhigh, 6) AS high, round(wlow, 6) AS wick_low, round(whigh, 6) AS wick_high, dbl AS is_double,
+  CAST({'n_against' if up else 'n_over'} AS BIGINT) AS n_low, CAST({'n_over' if up else 'n_against'} AS BIGINT) AS n_high FROM cand c JOIN fold f ON f.symbol = c.symbol AND f.n = c.n WHERE f.took"""
 
 
 def upto(level: str, hours: int = 4, wick: bool = True) -> str:

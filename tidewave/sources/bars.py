@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewave.operators.indicators import exported_indicators
+
 PRICES = ("open", "high", "low", "close", "volume")
 TRADE_FIELDS = "pair string, open_date string, close_date string, is_short boolean, open_rate double, close_rate double, profit_ratio double, profit_abs double, exit_reason string, enter_tag string, stake_amount double"
 
@@ -40,10 +42,22 @@ def normalise(bars: DataFrame, hist: str | None = None, symbol: str | None = Non
 
 
 def read_ohlcv_json(spark: SparkSession, path: str, symbol: Column | None = None) -> DataFrame:
-    """Files of one array of bars each, with ISO openTime. Without a symbol the file's name (before .json) is it."""
-    raw = spark.read.option("multiLine", True).schema("openTime string, open double, high double, low double, close double, volume double, tsi double, tsi_signal double, tsi_histogram double").json(path)
+    """Files of one array of bars each, with ISO openTime. Without a symbol the file's name (before .json) is it. hist is the histogram
+    of a TSI 25/13/7 of the closes, 0 where it can't be computed yet; a file's own tsi_histogram goes before it."""
+    raw = spark.read.option("multiLine", True).schema("openTime string, open double, high double, low double, close double, volume double, tsi_histogram double").json(path)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json[^/]*$", 1)
-    return raw.select((symbol if symbol is not None else name).alias("symbol"), F.unix_millis(F.to_timestamp("openTime")).alias("open_time"), *PRICES, F.coalesce("tsi_histogram", F.lit(0.0)).alias("hist"))
+    rows = raw.select((symbol if symbol is not None else name).alias("symbol"), F.unix_millis(F.to_timestamp("openTime")).alias("open_time"), *PRICES, F.col("tsi_histogram").alias("hist"))
+    return exported_indicators(rows).withColumn("hist", F.coalesce("hist", "tsi_histogram")).select("symbol", "open_time", *PRICES, "hist")
+
+
+def time_range(bars: DataFrame, begin: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Bars from begin to end, both included (timestamps); a missing end is open. The filter reaches the scan of a bar table."""
+    rows = bars
+    if begin is not None:
+        rows = rows.where(F.col("open_time") >= millis(begin))
+    if end is not None:
+        rows = rows.where(F.col("open_time") <= millis(end))
+    return rows
 
 
 def iso_seconds(text: Column) -> Column:
