@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_structure import walk
-from tidewave.operators.projection import project
+from tidewave.operators.projection import check_columns, project
 from tidewave.sources import bars as src
 from tidewave.streaming.bars import closed_bars
-from tidewave.streaming.structure import LateBarError, NAMES, Symbol, stream_structure
+from tidewave.streaming.structure import LateBarError, Symbol, stream_structure
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,26 +31,43 @@ def test_closed_bars_equal_the_batch_bars(spark, tmp_path):
     assert got and all(want[k] == v for k, v in got.items()) and len(want) - len(got) <= 10
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    columns = "symbol string, open_time long, open double, high double, low double, close double, volume double"
+def cells(rows, names):
+    """Rows as text; floats to nine digits, and wave ids by their number."""
+    cell = lambda v: round(v, 9) + 0.0 if isinstance(v, float) else v.rsplit("-", 1)[1] if isinstance(v, str) and "-" in v else v
+    return sorted(str((r.symbol, r.open_time, *(cell(r[f"ms_{n}"]) for n in names))) for r in rows)
+
+
+@pytest.mark.parametrize(("name", "columns", "options"), [("whole", None, {"max_waves": None}), ("bounded", None, {"max_waves": 8, "retest_mode": "close"}), ("few", ["last_top_price", "is_trending_up", "atr", "wave_id"], {"max_waves": None})])
+def test_stream_equals_batch(spark, tmp_path, name, columns, options):
+    schema = "symbol string, open_time long, open double, high double, low double, close double, volume double"
     for part in range(3):  # the second file repeats bars of the first one
-        rows = [(s, t, o, h, lo, c, 1.0) for s, seed in (("a", 1), ("b", 2)) for t, o, h, lo, c, _ in walk(90, seed)[max(0, part * 30 - 5) : part * 30 + 30]]
-        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run(stream_structure(stream), "structure", tmp_path / "c")
-    batch = spark.createDataFrame([(s, t, o, h, lo, c, 1.0) for s, seed in (("a", 1), ("b", 2)) for t, o, h, lo, c, _ in walk(90, seed)], columns)
-    names = [n.removeprefix("ms_") for n in NAMES if n.startswith("ms_")]
-    want = sorted(map(str, project(batch, names).select("symbol", "open_time", "close", *(f"ms_{n}" for n in names)).collect()))
-    got = sorted(map(str, spark.table("structure").select("symbol", "open_time", "close", *(f"ms_{n}" for n in names)).collect()))
-    assert got == want
+        rows = [(s, t, o, h, lo, c, 1.0 + t % 7) for s, seed in (("a", 1), ("b", 2)) for t, o, h, lo, c, _ in walk(240, seed)[max(0, part * 80 - 5) : part * 80 + 80]]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run(stream_structure(stream, columns, **options), f"structure_{name}", tmp_path / "c")
+    batch = spark.createDataFrame([(s, t, o, h, lo, c, 1.0 + t % 7) for s, seed in (("a", 1), ("b", 2)) for t, o, h, lo, c, _ in walk(240, seed)], schema)
+    names = check_columns(columns)
+    want, got = cells(project(batch, columns, **options).collect(), names), cells(spark.table(f"structure_{name}").collect(), names)
+    assert len(want) == 480 and got == want
+
+
+def test_a_registry_of_all_waves_forgets_nothing(spark):
+    bars = spark.createDataFrame([("a", t, o, h, lo, c, 1.0) for t, o, h, lo, c, _ in walk(200, 4)], "symbol string, open_time long, open double, high double, low double, close double, volume double")
+    assert cells(project(bars, None, max_waves=1000).collect(), check_columns(None)) == cells(project(bars, None).collect(), check_columns(None))
+    with pytest.raises(ValueError, match="max_waves"):
+        project(bars, None, max_waves=2)
 
 
 def test_state_survives_as_text():
-    one = Symbol(12, 8, 4, 14, None)
-    bar = {"open_time": 1, "open": 1.0, "high": 2.0, "low": 0.5, "close": 1.5}
-    one.bar(bar, float("nan"), float("nan"))
-    two = Symbol(12, 8, 4, 14, one.saved())
-    assert two.bar(bar, 0.0, 1.0) == one.bar(bar, 0.0, 1.0)
+    make = lambda saved: Symbol(None, 12, 8, 4, 14, 20, "wick", saved)
+    one = make(None)
+    out = []
+    for t, o, h, lo, c, x in walk(80, 6):
+        bar = {"open_time": t, "open": o, "high": h, "low": lo, "close": c, "volume": 1.0}
+        two = make(one.saved())
+        out.append(one.bar(bar, float(x), 1.0))
+        assert two.bar(bar, float(x), 1.0) == out[-1]
+    assert len({str(x[2:]) for x in out}) > 40
     assert issubclass(LateBarError, ValueError)
 
 

@@ -1,38 +1,132 @@
-"""Structure of a stream of bars, bar by bar, with the results of the batch query.
+"""Structure of a stream of bars, bar by bar: the columns of project(), as the batch query gives them for closed bars.
 
-State of a symbol is a few dozen numbers, whatever its history: the averages, the forming wave, and the last two tops and bottoms.
-It is kept as JSON text, which holds floats exactly. Bars of a micro-batch are sorted before they are folded in.
+State of a symbol: averages, the forming wave, the newest few confirmed waves, the columns as of the last one, the lifecycle of both
+zones, and of older waves the few numbers that zones and distances look back at, of the newest max_waves only. It is
+kept as JSON text, which holds floats exactly. Bars of a micro-batch are sorted before they are folded in.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidewave.operators import lifecycle
+from tidewave.operators import waves as wv
 from tidewave.operators.indicators import Ema, Oscillator, advance
+from tidewave.operators.projection import LIFE, WHOLE, ZONES, check_columns
 
-OUTPUT = "symbol string, open_time long, close double, ms_atr double, tsi_histogram double, ms_wave_side string, ms_wave_count long, ms_forming_wave_high double, ms_forming_wave_low double, ms_last_top_price double, ms_last_bottom_price double, ms_is_trending_up boolean, ms_is_trending_down boolean, ms_bars_since_last_top long, ms_bars_since_last_bottom long"
-NAMES = [c.split(" ")[0] for c in OUTPUT.split(", ")]
 EMAS = ("up", "up2", "size", "size2", "signal")
+TEXTS = ("wave_side", "wave_id")
+SIDES = ("support", "resistance")
+#: Confirmed waves that ratios, divergences and pushes look at.
+NEWEST = 5
 
 
 class LateBarError(ValueError):
     """A bar came that is older than one already taken."""
 
 
-def clean(x: float) -> float | None:
+def kind_of(column: str) -> str:
+    if column in TEXTS:
+        return "string"
+    if column in WHOLE:
+        return "long"
+    flags = ("made_", "is_", "three_", "sfp_")
+    return "boolean" if column.startswith(flags) or column.endswith(("_divergence", "_confirmed", "_is_double")) or column in LIFE else "double"
+
+
+def output_schema(columns: Iterable[str] | None, prefix: str = "ms_") -> str:
+    return "symbol string, open_time long, close double, " + ", ".join(f"{prefix}{c} {kind_of(c)}" for c in check_columns(columns))
+
+
+def clean(x: float | None) -> float | None:
     return None if x is None or np.isnan(x) else float(x)
 
 
+def less(a: float | None, b: float | None) -> bool | None:
+    return None if a is None or b is None else a < b
+
+
+def ratio(a: float | None, b: float | None) -> float | None:
+    """a / b where b is above 0."""
+    return a / b if a is not None and b is not None and b > 0 else None
+
+
+class Forming:
+    """The wave that is not over: what waves() aggregates, bar by bar. Of equal extremes the earlier bar counts."""
+
+    def __init__(self, saved: dict | None = None):
+        self.w = saved or {}
+
+    def add(self, b: dict, i: int, up: bool, hist: float | None, atr: float | None) -> None:
+        w, t = self.w, b["open_time"]
+        if not w:
+            w.update(is_up=up, start_i=i, n_bars=0, volume=None, hist_max=None, hist_min=None)
+        first = w["n_bars"] == 0
+        w["n_bars"] += 1
+        if b["volume"] is not None:
+            w["volume"] = (w["volume"] or 0.0) + b["volume"]
+        if hist is not None:
+            w["hist_max"] = hist if w["hist_max"] is None else max(w["hist_max"], hist)
+            w["hist_min"] = hist if w["hist_min"] is None else min(w["hist_min"], hist)
+        top, bottom = max(b["open"], b["close"]), min(b["open"], b["close"])
+        if first or b["high"] > w["high"]:
+            w.update(high=b["high"], high_i=i, high_time=t, high_atr=atr)
+        if first or b["low"] < w["low"]:
+            w.update(low=b["low"], low_i=i, low_time=t, low_atr=atr)
+        if first or b["close"] > w["high_close"]:
+            w.update(high_close=b["close"], top_high=top, top_low=bottom)
+        if first or b["close"] < w["low_close"]:
+            w.update(low_close=b["close"], bottom_high=top, bottom_low=bottom)
+        if first or top > w["h"]:
+            w.update(h=top, h_i=i, h_time=t)
+        if first or bottom < w["l"]:
+            w.update(l=bottom, l_i=i, l_time=t)
+
+
+def facts(w: dict, waves: list[dict]) -> dict:
+    """Pullback, metrics and divergence of a wave; waves: those before it, oldest first."""
+    one, two = (waves[-1] if waves else None), (waves[-2] if len(waves) > 1 else None)
+    up, out = w["is_up"], {"pullback_length": None, "pullback_breakout_level": None, "pullback_price_diff": None, "pullback_correction_factor": None}
+    if one:
+        out["pullback_length"] = w["h_i"] - one["l_i"] - 1 if up else w["l_i"] - one["h_i"] - 1
+        level = out["pullback_breakout_level"] = one["l"] if up else one["h"]
+        out["pullback_price_diff"] = w["h"] - level if up else w["l"] - level
+        if two and (run := two["h"] - one["l"] if up else one["h"] - two["l"]) != 0:
+            out["pullback_correction_factor"] = (w["h"] - one["l"] if up else one["h"] - w["l"]) / run
+    amplitude = ratio(w["high"] - w["low"], w["formation_atr"])
+    out |= {"amplitude": amplitude, "slope": None if amplitude is None else amplitude / w["n_bars"], "volume_ratio": ratio(w["volume"], two["volume"]) if two else None, "amplitude_ratio": ratio(amplitude, two["amplitude"]) if two else None}
+    out["diverging"] = None
+    if two:
+        price = two["high_close"] < w["high_close"] if up else w["low_close"] < two["low_close"]
+        out["diverging"] = price and bool(less(w["hist_max"], two["hist_max"]) if up else less(two["hist_min"], w["hist_min"]))
+    four = waves[-4] if len(waves) > 3 else None
+    out["pushes"] = False
+    if four:
+        size = [x["high"] - x["low"] for x in (w, two, four)]
+        price = [x["h"] if up else -x["l"] for x in (w, two, four)]
+        out["pushes"] = size[0] < size[1] < size[2] and price[0] > price[1] > price[2] and price[0] - price[1] < price[1] - price[2]
+    return out
+
+
+def quality(overlaps: int, double: bool, width: float, atr: float | None, age: int, touches: int) -> float:
+    """As projection.quality."""
+    narrow = max(0.0, 2.0 - width / atr * 2) if atr is not None and atr > 0 else 0.0
+    return min(min(overlaps, 5) * 0.8 + (2.0 if double else 0.0) + narrow + 2.0 * math.exp(-age / 100) + min(touches, 3) * 0.7, 10.0)
+
+
 class Symbol:
     """The state of one symbol."""
 
-    def __init__(self, r: int, s: int, signal: int, period: int, saved: str | None):
+    def __init__(self, columns: Iterable[str] | None, r: int, s: int, signal: int, period: int, max_waves: int | None, retest_mode: str, saved: str | None):
+        self.columns, self.max_waves, self.wick = check_columns(columns), max_waves, retest_mode == "wick"
+        self.zoned = bool(set(self.columns) & set(ZONES + LIFE))
         self.osc = Oscillator(r, s, signal, period)
         d = json.loads(saved) if saved else {}
         for name, last in d.get("emas", {}).items():
@@ -42,54 +136,139 @@ class Symbol:
             setattr(self.osc, name, d[name] if d.get(name) is not None else np.nan)
         self.osc.first = d.get("first", [])
         self.last_time, self.i, self.k, self.up = d.get("last_time"), d.get("i", -1), d.get("k", 0), d.get("up")
-        self.high, self.low, self.top, self.bottom = d.get("high"), d.get("low"), d.get("top"), d.get("bottom")
-        self.tops, self.bottoms = d.get("tops", []), d.get("bottoms", [])
-        self.top_i, self.bottom_i = d.get("top_i"), d.get("bottom_i")
+        self.forming, self.waves, self.snap = Forming(d.get("forming")), d.get("waves", []), d.get("snap", {})
+        self.before, self.runs = d.get("before", {}), d.get("runs", [0, 0])
+        self.top_i, self.bottom_i, self.calm = d.get("top_i"), d.get("bottom_i"), d.get("calm", -1)
+        self.zones = {"support": lifecycle.Zone(1), "resistance": lifecycle.Zone(-1)}
+        for name, (state, count, bounds) in d.get("zones", {}).items():
+            z = self.zones[name]
+            z.state, z.count, z.bounds = state, count, tuple(bounds) if bounds else None
+        self.history = wv.History(2, max_waves)
+        if "history" in d:
+            self._remember(d["history"])
+
+    def _remember(self, d: dict) -> None:
+        h = self.history
+        h.highs, h.lows, h.begins = [tuple(x) for x in d["highs"]], [tuple(x) for x in d["lows"]], d["begins"]
+        for up, (recent, rows, places) in zip((True, False), d["sides"], strict=True):
+            side = h.sides[up]
+            side.recent, side.places, side.n = recent, places, len(places)
+            side.rows = np.concatenate([np.array(rows, float).reshape(4, -1), np.empty((4, 64))], 1)
+            side.starts, side.ends = sorted(rows[0]), sorted(rows[1])
+            h.zone[up] = d["zone"][0 if up else 1]
 
     def saved(self) -> str:
-        o = self.osc
-        plain = {n: getattr(self, n) for n in ("last_time", "i", "k", "up", "high", "low", "top", "bottom", "tops", "bottoms", "top_i", "bottom_i")}
-        return json.dumps(plain | {"emas": {n: clean(getattr(o, n).last) for n in EMAS}, "close": clean(o.close), "atr": clean(o.atr), "first": [float(x) for x in o.first]})
+        o, h = self.osc, self.history
+        plain = {n: getattr(self, n) for n in ("last_time", "i", "k", "up", "waves", "snap", "before", "runs", "top_i", "bottom_i", "calm")}
+        sides = [(s.recent, s.rows[:, s.begin : s.n].tolist(), s.places) for s in (h.sides[True], h.sides[False])]
+        held = {"history": {"highs": h.highs, "lows": h.lows, "begins": h.begins, "sides": sides, "zone": [h.zone[True], h.zone[False]]}} if self.zoned else {}
+        emas = {n: clean(getattr(o, n).last) for n in EMAS}
+        zones = {n: (z.state, z.count, z.bounds) for n, z in self.zones.items()}
+        return json.dumps(plain | held | {"forming": self.forming.w, "zones": zones, "emas": emas, "close": clean(o.close), "atr": clean(o.atr), "first": [float(x) for x in o.first]})
+
+    def confirm(self, atr: float | None) -> None:
+        """The forming wave is over: this bar is the first of the next one."""
+        w = self.forming.w | {"k": self.k, "formation_i": self.i, "formation_atr": atr}
+        w |= facts(w, self.waves)
+        up = w["is_up"]
+        last = self.waves[-1] if self.waves else None
+        same = [*[x for x in self.waves if x["is_up"] == up], w]
+        other = [x for x in self.waves if x["is_up"] != up]
+        tops, bottoms = ([x["h"] for x in (same if up else other)][-2:], [x["l"] for x in (other if up else same)][-2:])
+        t0, t1 = (tops[-1] if tops else None), (tops[-2] if len(tops) > 1 else None)
+        b0, b1 = (bottoms[-1] if bottoms else None), (bottoms[-2] if len(bottoms) > 1 else None)
+        hh, hl, lh, ll = less(t1, t0), less(b1, b0), less(t0, t1), less(b0, b1)
+        rises, falls = bool(hh and hl), bool(lh and ll)
+        self.runs[self.k % 2] = self.runs[self.k % 2] + 1 if rises or falls else 0
+        run = self.runs[self.k % 2] if self.max_waves is None else min(self.runs[self.k % 2], self.max_waves // 2 - 1)
+        pushed = bool(last and last["pushes"])
+        div = last["diverging"] if last else None
+        diff = w["pullback_price_diff"]
+        self.snap = {
+            "last_top_price": t0, "last_bottom_price": b0, "made_higher_high": hh, "made_higher_low": hl, "made_lower_high": lh, "made_lower_low": ll,
+            "trend_wave_count": run, "structure_break_level": b0 if rises else t0 if falls else None,
+            "three_push_up": w["pushes"] if up else pushed, "three_push_down": pushed if up else w["pushes"],
+            "bearish_divergence": w["diverging"] if up else div, "bullish_divergence": div if up else w["diverging"],
+            "wave_length": w["n_bars"], "wave_amplitude": w["amplitude"], "wave_slope": w["slope"], "wave_volume": w["volume"],
+            "wave_volume_ratio": w["volume_ratio"], "wave_amplitude_ratio": w["amplitude_ratio"],
+            "pullback_length": w["pullback_length"], "pullback_correction_factor": w["pullback_correction_factor"],
+            "pullback_breakout_level": w["pullback_breakout_level"], "pullback_price_diff": diff,
+            "pullback_atr_factor": ratio(None if diff is None else abs(diff), atr), "rises": rises, "falls": falls,
+        }
+        if self.zoned:
+            found = wv.wave_step(self.history, {c: w[c] for c in wv.KERNEL_FIELDS})
+            w["since"] = found["since"]
+            own, prev = w["since"], last["since"] if last else None
+            self.snap |= {"high_since": own if up else prev, "low_since": prev if up else own}
+            for s in SIDES:
+                z = {c: found[f"{s}_{c}"] for c in ("low", "high", "wick_low", "wick_high", "double", "overlaps", "anchor_time", "formation_i", "touches")}
+                self.snap |= {f"{s}_zone_low": z["low"], f"{s}_zone_high": z["high"], f"{s}_zone_wick_low": z["wick_low"], f"{s}_zone_wick_high": z["wick_high"], f"{s}_is_double": z["double"], f"{s}_overlap_count": z["overlaps"], f"{s}_zone_anchor_time": z["anchor_time"]}
+                self.snap[f"zone_quality_{s}"] = None if z["low"] is None else quality(z["overlaps"], z["double"], z["high"] - z["low"], atr, self.i - z["formation_i"], z["touches"])
+        self.waves = [*self.waves, w][-NEWEST:]
+        if up:
+            self.top_i = self.i
+        else:
+            self.bottom_i = self.i
+        self.k, self.forming = self.k + 1, Forming()
 
     def bar(self, b: dict, hist: float, atr: float) -> list:
-        up = bool(hist >= 0)
+        """Take one more bar; returns its wanted columns."""
+        up, hist, atr = bool(hist >= 0), clean(hist), clean(atr)
         self.i += 1
-        if self.up is not None and up != self.up:  # this bar confirms the wave before
-            if self.up:
-                self.tops, self.top_i = [*self.tops[-1:], self.top], self.i
-            else:
-                self.bottoms, self.bottom_i = [*self.bottoms[-1:], self.bottom], self.i
-            self.k, self.high = self.k + 1, None
+        if self.up is not None and up != self.up:
+            self.confirm(atr)
         self.up = up
-        body = (max(b["open"], b["close"]), min(b["open"], b["close"]))
-        if self.high is None:
-            self.high, self.low, self.top, self.bottom = b["high"], b["low"], *body
-        else:
-            self.high, self.low, self.top, self.bottom = max(self.high, b["high"]), min(self.low, b["low"]), max(self.top, body[0]), min(self.bottom, body[1])
-        two = len(self.tops) == 2 and len(self.bottoms) == 2
-        rises = two and self.tops[1] > self.tops[0] and self.bottoms[1] > self.bottoms[0]
-        falls = two and self.tops[1] < self.tops[0] and self.bottoms[1] < self.bottoms[0]
-        return [
-            b["open_time"], b["close"], clean(atr), clean(hist), "up" if up else "down", self.k, self.high, self.low,
-            self.tops[-1] if self.tops else None, self.bottoms[-1] if self.bottoms else None,
-            rises and not (not up and self.low <= self.bottoms[1]), falls and not (up and self.high >= self.tops[1]),
-            None if self.top_i is None else self.i - self.top_i, None if self.bottom_i is None else self.i - self.bottom_i,
-        ]
+        self.forming.add(b, self.i, up, hist, atr)
+        w, s, close = self.forming.w, self.snap, b["close"]
+        top, bottom, level = s.get("last_top_price"), s.get("last_bottom_price"), s.get("structure_break_level")
+        rises, falls = s.get("rises", False), s.get("falls", False)
+        rising = rises and not (not up and w["low"] <= bottom)
+        falling = falls and not (up and w["high"] >= top)
+        if not (rising or falling):
+            self.calm = self.i
+        now = {
+            "broken": (close < level if rises else close > level) if level is not None else False, "level": level, "top": top, "bottom": bottom,
+            "sfp_high": top is not None and b["high"] > top > close, "sfp_low": bottom is not None and b["low"] < bottom < close,
+            "up": s.get("three_push_up", False), "down": s.get("three_push_down", False),
+        }
+        was, self.before = self.before, now
+
+        def edge(flag: str, at: str | None = None) -> bool:
+            return now[flag] and (not was.get(flag, False) or (at is not None and now[at] != was.get(at)))
+
+        out = s | {
+            "wave_side": "up" if up else "down", "wave_id": f"forming-{self.k}", "wave_count": self.k if self.max_waves is None else min(self.k, self.max_waves),
+            "forming_wave_high": w["high"], "forming_wave_low": w["low"], "atr": atr, "trend_wave_count": s.get("trend_wave_count", 0),
+            "is_trending_up": rising, "is_trending_down": falling, "trend_duration": self.i - self.calm - 1 if rising or falling else None,
+            "structure_break_confirmed": edge("broken", "level"), "sfp_high": edge("sfp_high", "top"), "sfp_low": edge("sfp_low", "bottom"),
+            "three_push_up": edge("up"), "three_push_down": edge("down"),
+            "bars_since_last_top": None if self.top_i is None else self.i - self.top_i, "bars_since_last_bottom": None if self.bottom_i is None else self.i - self.bottom_i,
+        }
+        if self.zoned:
+            low, high, near, far = (s.get(c) for c in ("support_zone_low", "support_zone_high", "resistance_zone_low", "resistance_zone_high"))
+            out |= {"distance_to_support": (close - high) / atr if high is not None and atr else None, "distance_to_resistance": (near - close) / atr if near is not None and atr else None}
+            nan = math.nan
+            turned = {"support": (nan if high is None else high, nan if low is None else low, close, b["high"]), "resistance": (nan if near is None else -near, nan if far is None else -far, -close, -b["low"])}
+            for name, args in turned.items():
+                event, count = self.zones[name].bar(*args, self.wick)
+                out |= {f"zone_{e}_{name}": e == event for e in lifecycle.EVENTS} | {f"zone_retest_count_{name}": count}
+        return [b["open_time"], close, *(out.get(c) for c in self.columns)]
 
 
 class BarProcessor(StatefulProcessor):
     """Folds new bars of a symbol into its state. A repeated open_time keeps its first version; an older one is dropped, or an
     error in strict mode."""
 
-    def __init__(self, r: int, s: int, signal: int, period: int, strict: bool):
-        self.options, self.strict = (r, s, signal, period), strict
+    def __init__(self, columns: Iterable[str] | None, options: tuple, strict: bool, prefix: str):
+        self.columns, self.options, self.strict = check_columns(columns), options, strict
+        self.kinds = {f"{prefix}{c}": {"string": "object", "long": "Int64", "boolean": "boolean", "double": "float64"}[kind_of(c)] for c in self.columns}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("symbol", "saved string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         saved = self.state.get()
-        symbol = Symbol(*self.options, saved[0] if saved else None)
+        symbol = Symbol(self.columns, *self.options, saved[0] if saved else None)
         bars = pd.concat(list(rows)).sort_values("open_time", kind="stable").drop_duplicates("open_time")
         if symbol.last_time is not None:
             if self.strict and (bars["open_time"] < symbol.last_time).any():
@@ -98,17 +277,19 @@ class BarProcessor(StatefulProcessor):
         if len(bars):
             high, low, close = (bars[c].to_numpy(np.float64) for c in ("high", "low", "close"))
             _, _, hist, atr = advance(symbol.osc, high, low, close)
-            out = [[key[0], *symbol.bar(b, h, a)] for b, h, a in zip(bars.to_dict("records"), hist, atr, strict=True)]
-            symbol.last_time = int(bars["open_time"].iloc[-1])
+            records = [{"open_time": int(b["open_time"]), "volume": clean(b["volume"])} | {c: float(b[c]) for c in ("open", "high", "low", "close")} for b in bars.to_dict("records")]
+            out = [[key[0], *symbol.bar(b, h, a)] for b, h, a in zip(records, hist, atr, strict=True)]
+            symbol.last_time = records[-1]["open_time"]
             self.state.update((symbol.saved(),))
-            frame = pd.DataFrame(out, columns=NAMES)
-            yield frame.astype({"ms_bars_since_last_top": "Int64", "ms_bars_since_last_bottom": "Int64", "ms_last_top_price": "float64", "ms_last_bottom_price": "float64", "ms_atr": "float64", "tsi_histogram": "float64"})
+            yield pd.DataFrame(out, columns=["symbol", "open_time", "close", *self.kinds]).astype(self.kinds)
 
     def close(self) -> None:
         pass
 
 
-def stream_structure(bars: DataFrame, r: int = 12, s: int = 8, signal_period: int = 4, atr_period: int = 14, strict: bool = False) -> DataFrame:
-    """A row for each new bar of a streaming bar table, as project() gives it for closed bars. Needs the RocksDB state store
-    (spark.sql.streaming.stateStore.providerClass)."""
-    return bars.groupBy("symbol").transformWithStateInPandas(BarProcessor(r, s, signal_period, atr_period, strict), OUTPUT, "Append", "None")
+def stream_structure(bars: DataFrame, columns: Iterable[str] | None = None, r: int = 12, s: int = 8, signal_period: int = 4, atr_period: int = 14, strict: bool = False, max_waves: int | None = 200, retest_mode: str = "wick", prefix: str = "ms_") -> DataFrame:
+    """A row for each new bar of a streaming bar table: the wanted columns (None: all 67), as project() with the same max_waves gives
+    them for closed bars; wave_id names the wave that is forming at the bar. With max_waves None nothing is forgotten, and state grows by some
+    numbers a wave. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
+    options = (r, s, signal_period, atr_period, max_waves, retest_mode)
+    return bars.groupBy("symbol").transformWithStateInPandas(BarProcessor(columns, options, strict, prefix), output_schema(columns, prefix), "Append", "None")
