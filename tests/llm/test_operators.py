@@ -133,6 +133,23 @@ def test_chat_events_fold(spark):
     assert chat.fold(df.where("false")).count() == 0
 
 
+def test_chats_with_ties_repeats_and_long_texts(spark):
+    """Rows of one turn number follow each other by role and text, repeated rows too; other columns don't matter."""
+    long = "long [text] <|im_end|> &amp; " * 40_000
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", long), (1, 1, None, "x"), (2, 0, "assistant", None), (None, 0, "user", "lost"), (3, None, "assistant", ""), (4, 0, "a&<[\nb", "t")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumns({c: F.lit("clash") for c in ("seq", "kind", "since", "parts", "head", "body", "piece", "start", "pieces", "turns")})
+    by = {}
+    for c, t, r, x in rows:
+        by.setdefault(c, []).append(((t is not None, t or 0), r or "", x or ""))
+    for log in (chat.events_of_rows(df), chat.streamed(chat.events_of_rows(df))):
+        got = {r.conv_id: r for r in chat.digests(chat.render(chat.fold(log))).collect()}
+        assert set(got) == set(by)
+        for k, turns in by.items():
+            turns.sort()
+            whole, loss = "".join(f"{r}\n{t}\n" for _, r, t in turns), "".join(t for _, r, t in turns if r == "assistant")
+            assert (got[k].n_turns, got[k].turns_sha256, got[k].loss_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest(), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_chat_query_equals_brute_force(spark):
     rows = spark.read.parquet(f"{SMALL}/conversations.parquet").collect()
     by = {-7: [(0, "user", chat.HARD), (1, "assistant", chat.HARD)]}

@@ -35,6 +35,22 @@ def events_of_rows(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.row_number().over(order).cast("long").alias("seq"), "role", "text").select("conv_id", "seq", F.col("seq").alias("turn"), F.lit("message").alias("kind"), "role", "text")
 
 
+def streamed(events: DataFrame) -> DataFrame:
+    """The log that a chat service writes for these messages: a user's turn is opened and then edited to its text; an assistant's text
+    comes in deltas, is thrown away half-way, and is generated again. Folding it gives the messages back."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    begins, rest = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+
+    def step(n: int, kind: str, text: Column, role: Column) -> Column:
+        return F.struct((F.col("seq") * 4 + n).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    none = F.lit(None).cast("string")
+    reply = F.array(step(0, "delta", begins, F.col("role")), step(1, "regenerate", none, none), step(2, "delta", begins, none), step(3, "delta", rest, none))
+    other = F.array(step(0, "message", F.lit(""), F.col("role")), step(1, "edit", F.col("text"), none))
+    rows = events.select("conv_id", "turn", F.explode(F.when(F.col("role") == "assistant", reply).otherwise(other)).alias("e"))
+    return rows.select("conv_id", "e.seq", "turn", "e.kind", "e.role", "e.text")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """The final messages: conv_id, turn, role, text."""
     starts = F.col("kind").isin("message", "edit", "regenerate")

@@ -78,7 +78,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.HARD).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
-    return chat.digests(chat.render(chat.fold(chat.events_of_rows(rows))))
+    return chat.digests(chat.render(chat.fold(chat.streamed(chat.events_of_rows(rows)))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
