@@ -418,3 +418,167 @@ def test_no_permitted_substitution_is_without_a_seed(spark, bound):
     if bound:
         kept = {r.doc_id for r in decontamination.clean_documents(df, bench, short=True).collect()}
         assert kept == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def labelled(spark, label, folds, held):
+    """Labelled texts outside the held-out fold, in order of their ids."""
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if r[label] is not None and zlib.crc32(str(r.doc_id).encode()) % folds != held}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    return [(d, texts[d] or "", labels[d]) for d in sorted(labels) if d in texts], texts
+
+
+def newton(gradient_and_curve, width):
+    """The lowest place of a convex loss."""
+    w = np.zeros(width)
+    for _ in range(60):
+        g, h = gradient_and_curve(w)
+        step = np.linalg.solve(h, g)
+        w -= step
+        if np.abs(step).max() < 1e-10:
+            return w
+    raise AssertionError("no convergence")
+
+
+def plain_features(text):
+    """The features of op3, word by word."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n = max(len(words), 1)
+    classes = [0] * 8
+    for c in text:
+        kind = 7 if ord(c) > 127 else 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in " \t\n\v\f\r" else 4 if c in ".,;:?'\"()-" else 5 if c in "#*$%&|<>" else 6
+        classes[kind] += 1
+    _, chars, symbols, dup, repeated, _ = base_counts(text)
+    marks = [sum(text.count(c) for c in m) / n for m in ("!", "|", "@/\\_=+~^", "{}[]()", "\"'")]
+    sizes = [len(w.encode()) for w in words]
+    different = len(set(words)) / n
+    return [
+        math.log1p(len(words)), *(k / max(sum(classes), 1) for k in classes), *(min(m, 1) for m in marks), min(symbols / n, 2), repeated / n, math.log1p(dup), chars / n / 10,
+        sum(a == b for a, b in itertools.pairwise(words)) / n, sum(s <= 3 for s in sizes) / n, sum(s == 1 for s in sizes) / n, sum(s > 25 for s in sizes) / n,
+        different * math.log1p(len(words)) / 5, different, min(symbols / n, 0.05) * 20, min(marks[1], 0.05) * 20, min(marks[0], 0.05) * 20, min(repeated / n, 0.2) * 5,
+    ]
+
+
+def test_quality_scores_equal_a_plain_fit(spark):
+    """Features word by word, and the lowest loss over the same preference pairs."""
+    rows, texts = labelled(spark, "quality", 3, 1)
+    x, y = np.array([plain_features(t) for _, t, _ in rows]), np.array([label for _, _, label in rows])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = np.clip((x - mean) / scale, -6, 6)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    rng, many = np.random.default_rng(17), max(len(good), len(bad)) * quality_model.PAIRS_EACH
+    better, worse = (np.concatenate([rng.permutation(side) for _ in range(-(-many // len(side)))])[:many] for side in (good, bad))
+    pairs = z[better] - z[worse]
+
+    def loss(w):
+        p = 1 / (1 + np.exp(-pairs @ w))
+        return pairs.T @ (p - 1) / many + quality_model.RIDGE * w, (pairs * (p * (1 - p))[:, None]).T @ pairs / many + quality_model.RIDGE * np.eye(len(w))
+
+    w = newton(loss, x.shape[1])
+    s = np.sort(z @ w)
+    split = lambda q: ((z[good] @ w > np.quantile(s, q)).mean() + (z[bad] @ w <= np.quantile(s, q)).mean(), -abs(q - len(bad) / len(y)))
+    at = np.quantile(s, max(np.linspace(0.002, 0.998, 499), key=split))
+    at = (s[s > at][0] + s[s <= at][-1]) / 2
+    got = {r.doc_id: r for r in queries.op3_quality(spark, SMALL).collect()}
+    assert set(got) == set(texts)
+    for d, t in texts.items():
+        want = 1 / (1 + math.exp(-np.clip(np.clip((np.array(plain_features(t or "")) - mean) / scale, -6, 6) @ w - at, -40, 40)))
+        assert abs(got[d].score - want) < 1e-5 and got[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1)
+
+
+def test_toxicity_scores_equal_a_plain_fit(spark):
+    """Vocabulary by chi-square, and the lowest loss with the counterfactual penalty, in dense matrices."""
+    rows, texts = labelled(spark, "toxic", 5, 0)
+    words_of = lambda t: set(re.findall(r"\w+", t.lower()))
+
+    def features(words):
+        starts = [w[:4] + "*" for w in words if len(w) > 4] + [w[:5] + "*" for w in words if len(w) > 5]
+        return words | set(starts) | {s + "2" for s in starts if starts.count(s) > 1} | {s + "d" for s in starts if starts.count(s) > max(1, len(words) / 100)}
+
+    own = [features(words_of(t)) for _, t, _ in rows]
+    y = np.array([label for _, _, label in rows], float)
+    n1, n0 = y.sum(), len(y) - y.sum()
+    seen = [Counter(f for fs, label in zip(own, y) if label == k for f in fs) for k in (1, 0)]
+    chi = {}
+    for f in set(seen[0]) | set(seen[1]):
+        a, b = seen[0][f], seen[1][f]
+        c, d = n1 - a, n0 - b
+        value = (a * d - b * c) * (a * d - b * c) * (n0 + n1) / ((a + b) * max(c + d, 0.5) * n1 * n0)
+        if a + b >= toxicity.LEAST_DOCS and value > 10 and a / n1 > b / n0:
+            chi[f] = value
+    chosen = sorted(chi, key=lambda f: (-chi[f], f))[: toxicity.VOCABULARY]
+    names = sorted(set(chosen) | {f for w in toxicity.NEXT_TERM for f in features({w})})
+    column = {f: k for k, f in enumerate(names)}
+
+    def dense(sets):
+        out = np.zeros((len(sets), len(names) + 1))
+        for k, fs in enumerate(sets):
+            out[k, [column[f] for f in fs if f in column]] = 1
+        out[:, -1] = 1
+        return out
+
+    x = dense(own)
+    swaps = [(k, {toxicity.NEXT_TERM.get(w, w) for w in words_of(t)}) for k, (_, t, _) in enumerate(rows)]
+    swaps = [(k, s) for k, s in swaps if s != words_of(rows[k][1])]
+    moved = x[[k for k, _ in swaps]] - dense([features(s) for _, s in swaps]) if swaps else np.zeros((0, x.shape[1]))
+    weight = np.where(y == 1, np.sqrt(n0 / n1), 1.0)
+    weight *= len(y) / weight.sum()
+    ridge = np.append(np.full(len(names), toxicity.RIDGE), 0)
+    balance = 2 * toxicity.BALANCE / max(len(swaps), 1)
+
+    def loss(w):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        g = x.T @ (weight * (p - y)) / len(y) + ridge * w + balance * moved.T @ (moved @ w)
+        return g, (x * (weight * p * (1 - p) / len(y))[:, None]).T @ x + np.diag(ridge + 1e-12) + balance * moved.T @ moved
+
+    w = newton(loss, x.shape[1])
+    got = {r.doc_id: r for r in queries.op5_toxicity(spark, SMALL).collect()}
+    some = sorted(texts)
+    want = 1 / (1 + np.exp(-dense([features(words_of(texts[d] or "")) for d in some]) @ w))
+    assert set(got) == set(texts)
+    assert np.abs(np.array([got[d].score for d in some]) - want).max() < 0.01
+
+
+@pytest.mark.parametrize("run", [quality_model.quality_scores, toxicity.toxicity_scores])
+def test_repeated_rows_are_scored_each(spark, run):
+    label = "quality" if run is quality_model.quality_scores else "toxic"
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    extra = docs.limit(20).withColumn("text", F.lit(None).cast("string"))
+    got = run(docs.unionByName(docs.limit(20)).unionByName(extra), labels, label).collect()
+    assert len(got) == docs.count() + 40 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_divergence_equals_plain_histograms(spark):
+    """Distances by counting characters and words of each language one by one."""
+    docs = [(r.doc_id, r.text or "", r.lang or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    kinds = [set(map(chr, range(97, 123))), set(map(chr, range(65, 91))), set("0123456789"), set(" \t\n\v\f\r"), set(".,;:?'\"()-"), set("#*$%&|<>")]
+
+    def chars(text):
+        c = Counter(next((k for k, s in enumerate(kinds) if x in s), 6 if ord(x) < 128 else 7) for x in text)
+        return [c[k] for k in range(8)]
+
+    def words(text):
+        small = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        return [w[:-1] if len(w) > 1 and w[-1] in ".,!?" else w for w in small]
+
+    def distance(p, q):
+        p, q = np.array(p, float) / max(sum(p), 1), np.array(q, float) / max(sum(q), 1)
+        m = (p + q) / 2
+        return math.sqrt(max(0, sum(sum(a * math.log2(a / b) for a, b in zip(x, m) if a > 0) for x in (p, q)) / 2))
+
+    refs = {}
+    for lang in {r[2] for r in docs}:
+        count = Counter(w for _, t, x in docs if x == lang for w in words(t))
+        if count.total() >= quality_rules.LEAST_WORDS:
+            ranked = count.most_common()
+            beyond = ranked[quality_rules.COMMON][1] if len(ranked) > quality_rules.COMMON else 0
+            top = [w for w, n in ranked if n > beyond]
+            refs[lang] = (np.sum([chars(t) for _, t, x in docs if x == lang], 0), top, [count[w] for w in top] + [count.total() - sum(count[w] for w in top)])
+    assert refs
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
+    for d, t, lang in docs:
+        if lang in refs:
+            c = Counter(words(t))
+            mine = [c[w] for w in refs[lang][1]]
+            assert abs(got[d].char_distance - distance(chars(t), refs[lang][0])) < 1e-6
+            assert abs(got[d].word_distance - distance([*mine, c.total() - sum(mine)], refs[lang][2])) < 1e-6
