@@ -278,6 +278,7 @@ def without_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     tied, repeated = with_tie(docs)
     out = labelled(documents(tied), percent)
     gone = out.where("first IS NOT NULL AND NOT (doc_id = first.doc_id AND tie = first.tie)").select("doc_id", F.col("tie").alias("__tie")).distinct()
+    gone = cut(gone, "copies")  # its size is known then: a small one is broadcast, and no text is shuffled
     kept = tied.join(gone, ["doc_id", "__tie"], "left_anti")
     if repeated:
         lone = F.col("doc_id").isNull() | (F.col("__tie") == 0)
