@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import with_tie
+from tidewave.llm.common import cut, with_tie
 
 #: Fixed patterns of five words; what they leave out differs, so that permitted substitutions can't avoid all of them.
 MASKS = ("1110011", "1101011", "1011011", "11111")
@@ -123,6 +123,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
     tied, _ = with_tie(docs)
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("__tie").alias("tie"))
     bad = contaminated(tied.select(key.alias("doc_id"), "text"), benchmark, percent, window, short=short).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = cut(bad, "contaminated")  # its size is known then: a small one is broadcast, and no text is shuffled
     return tied.join(bad, key == F.col("__bad"), "left_anti").select(*docs.columns)
 
 
