@@ -582,3 +582,48 @@ def test_divergence_equals_plain_histograms(spark):
             mine = [c[w] for w in refs[lang][1]]
             assert abs(got[d].char_distance - distance(chars(t), refs[lang][0])) < 1e-6
             assert abs(got[d].word_distance - distance([*mine, c.total() - sum(mine)], refs[lang][2])) < 1e-6
+
+
+def thue_morse(n):
+    """A text and its mirror: hashes modulo a power of two can't tell them apart."""
+    text = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return [text, text.translate(str.maketrans("ab", "ba"))]
+
+
+def test_texts_that_fool_hashes_modulo_powers_of_two(spark):
+    words = [t for n in (1024, 2048, 4096, 16384) for t in thue_morse(n)]
+    texts = [*words, *("\n".join(["x y", t, u, t]) for t, u in zip(words[::2], words[1::2])), *(" ".join([*thue_morse(1024), "z"] * 3) for _ in range(1)), " ".join(["p q", words[0], "r", "p q", words[1], "r"])]
+    lib = library()
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r for r in bpe.encode_documents(docs, PATH, with_ids=True).collect()}
+    files = {r.doc_id: r for r in token_files.token_files(docs, PATH).collect()}
+    rules = {r.doc_id: r for r in quality_rules.quality_rules(docs.withColumn("lang", F.lit("en"))).collect()}
+    for k, text in enumerate(texts):
+        ids = lib.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got[k].ids, "<u4").tolist() == ids
+        assert got[k].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert files[k].ids_crc32 == zlib.crc32(np.array([*ids, 0], "<u4").tobytes())
+        r = rules[k]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base_counts(text)
+
+
+def test_pieces_under_one_hash_keep_their_own_ids():
+    class OneHash(bpe.Pieces):
+        @staticmethod
+        def _keys_of(raw, start, end):
+            return np.where(end - start > 7, np.uint64((1 << 63) | 5), bpe.Pieces._keys_of(raw, start, end))
+
+    voc, lib = bpe.vocabulary(PATH), library()
+    pieces = OneHash(voc.merge)
+    for _ in range(2):
+        raw = np.frombuffer(" ".join(["wonderful", "different", "considerable", "wonderful", "x" * 40, "yes"] * 2).encode(), np.uint8)
+        ids, _ = bpe.encode_step(raw, np.array([0, len(raw)]), pieces, voc.added)
+        assert ids.tolist() == lib.encode(raw.tobytes().decode(), add_special_tokens=False).ids
+
+
+def test_trees_of_plain_numbers_equal_the_library():
+    rng = random.Random(5)
+    voc, lib = bpe.vocabulary(PATH), library()
+    for n in (1, 2, 17, 300, 20_000):
+        text = "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+        assert voc._tree(np.frombuffer(text.encode(), np.uint8)).tolist() == lib.encode(text, add_special_tokens=False).ids

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewave.llm.common import Spans, byte_table, documents, ragged, same_bytes, short_keys, steps
+from tidewave.llm.common import Spans, byte_table, documents, mix, ragged, same_bytes, short_keys, steps
 
 L, N, S, O = 1, 2, 3, 0  # noqa: E741  letters, numbers, white space, all else
 #: What \\s of the published pattern takes beside the ASCII ones.
@@ -380,11 +380,16 @@ class Pieces:
 
     @staticmethod
     def _keys_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        key = short_keys(raw, start, end)
-        long = np.flatnonzero(end - start > 7)
+        # the highest bit is never set in the key of a short piece
+        key, size, high = short_keys(raw, start, end), end - start, np.uint64(1 << 63)
+        middle = np.flatnonzero((size > 7) & (size <= 16))
+        if len(middle):  # the first and the last eight bytes are all of it
+            eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+            key[middle] = mix(mix(eight[start[middle]]) ^ eight[end[middle] - 8] * np.uint64(0xD1342543DE82EF95) + size[middle].astype(np.uint64)) | high
+        long = np.flatnonzero(size > 16)
         if len(long):
-            # the highest bit is never set in the key of a short piece
-            key[long] = Spans(raw, byte_table(11), _BASE)(start[long], end[long]) | np.uint64(1 << 63)
+            at = np.cumsum(size[long])
+            key[long] = Spans(raw[ragged(start[long], size[long])], byte_table(11), _BASE)(at - size[long], at) | high
         return key
 
     def _add(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
