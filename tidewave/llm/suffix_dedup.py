@@ -8,6 +8,7 @@ earlier in the same one). The work is cut into collections that are small and in
   repeated windows are found within the segments of one anchor. Anchors that occur once are done with.
 * Segments of equal text are a class; its earliest segment stands for it and the others are removed whole. Equal segments of
   one Arrow batch are a class before anything is shuffled, so that large groups of copies never meet in one task.
+  An anchor's classes are counted in salted parts, then summed, so that an anchor that most documents have isn't one task.
 * The classes of an anchor are a collection. Its Burrows-Wheeler transform and its longest common prefixes are built by
   inserting one symbol of every string each round, from the last to the first: a symbol's place follows from the ranks of the
   transform so far, and only the new suffix and its successor get new common prefixes, minima over ranges of the old ones.
@@ -37,6 +38,8 @@ from tidewave.llm.common import Spans, byte_table, cut, documents, flat, ragged,
 LENGTH, GRAM = 100, 32
 #: Classes of an anchor beyond which it is split by windows.
 HOT = 20_000
+#: Tasks over which the segments of one anchor are spread, by their texts, while its classes are counted.
+SALTS = 1_024
 #: Strings whose transform is built at once.
 COLLECTION = 1_200
 END = 255
@@ -197,8 +200,8 @@ def runs(string: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def _segment_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, text, doc_id, tie, start, windows, later. later: an earlier segment of the batch has the same text; such rows need no
-    meeting, and their anchor is replaced by a number of their own, so that they spread."""
+    """anchor, text, doc_id, tie, at (start and, in the low 20 bits, windows), later. later: an earlier segment of the batch has the
+    same text; such rows need no meeting, and their anchor is replaced by a number of their own, so that they spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,13 +214,14 @@ def _segment_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
             doc, tie, start, windows, anchor, text = (np.concatenate(p) for p in zip(*parts, strict=True))
             later = repeated_rows([text, anchor], in_order(doc, tie), start)
             anchor = np.where(later, text ^ (doc ^ tie).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64), anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(text.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(later)], ["anchor", "text", "doc_id", "tie", "start", "windows", "later"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(text.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(start << 20 | windows), pa.array(later)], ["anchor", "text", "doc_id", "tie", "at", "later"])
 
-    return docs.mapInArrow(run, "anchor long, text long, doc_id long, tie long, start int, windows int, later boolean")
+    # without nulls: a filter for them would keep the two uses of this table from sharing its shuffle
+    return docs.mapInArrow(run, "anchor long NOT NULL, text long NOT NULL, doc_id long NOT NULL, tie long NOT NULL, at long NOT NULL, later boolean NOT NULL")
 
 
 def _with_text(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The segments (anchor, doc_id, tie, start, windows) with their bytes."""
+    """The segments (anchor, doc_id, tie, start, windows, classes) with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,17 +229,17 @@ def _with_text(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             lists = batch.column("wanted")
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             fields = lists.flatten()
-            anchor, start, windows = (fields.field(k).to_numpy().astype(np.int64) for k in ("anchor", "start", "windows"))
+            anchor, start, windows, classes = (fields.field(k).to_numpy() for k in ("anchor", "start", "windows", "classes"))
             size = windows + length - 1
             cuts = np.append(0, np.cumsum(size)).astype(np.int32)
             data = raw[ragged(offs[owner] + start, size)]
             column = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
             ids = (batch.column(k).take(pa.array(owner)) for k in ("doc_id", "tie"))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), *ids, pa.array(start), column], ["anchor", "doc_id", "tie", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), *ids, pa.array(start), pa.array(classes), column], ["anchor", "doc_id", "tie", "start", "classes", "bytes"])
 
-    by_doc = wanted.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("wanted"))
+    by_doc = wanted.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "windows", "classes")).alias("wanted"))
     joined = by_doc.join(docs.withColumnRenamed("__tie", "tie"), ["doc_id", "tie"]).select("doc_id", "tie", "text", "wanted")
-    return joined.mapInArrow(run, "anchor long, doc_id long, tie long, start long, bytes binary")
+    return joined.mapInArrow(run, "anchor long, doc_id long, tie long, start long, classes long, bytes binary")
 
 
 def _sorted_collections(pieces: DataFrame, length: int) -> DataFrame:
@@ -299,18 +303,19 @@ def _split_by_window(pieces: DataFrame, length: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Byte ranges (doc_id, tie, from, to) to remove; they may overlap. docs: doc_id, text, __tie, and no row twice."""
-    rows = _segment_table(docs, length, gram)
-    of_anchor = Window.partitionBy("anchor")
-    of_class = Window.partitionBy("anchor", "text").orderBy("doc_id", "tie", "start")
-    rows = rows.withColumn("place", F.rank().over(of_class)).withColumn("n", F.count("*").over(of_anchor)).where("later OR n > 1")
-    rows = rows.withColumn("classes", F.count(F.when(F.col("place") == 1, 1)).over(of_anchor))
-    found = cut(rows.select("anchor", "doc_id", "tie", "start", "windows", (F.col("later") | (F.col("place") > 1)).alias("gone"), "classes"), "segments")
-    whole = found.where("gone").select("doc_id", "tie", F.col("start").cast("long").alias("from"), (F.col("start") + F.col("windows") + (length - 1)).cast("long").alias("to"))
-    first = found.where("NOT gone AND classes > 1").select("anchor", "doc_id", "tie", "start", "windows", "classes")
-    texts = cut(_with_text(docs, first.drop("classes"), length), "segment-texts")
-    crowded = cut(first.where(F.col("classes") > hot).select("anchor").distinct(), "crowded")
-    few = texts.join(crowded, "anchor", "left_anti")
-    many = texts.join(crowded, "anchor", "left_semi")
+    # one shuffle, by anchor and salt, serves the ranks within classes, the counts of classes and the join of both
+    rows = _segment_table(docs, length, gram).withColumn("salt", F.pmod("text", F.lit(SALTS))).repartition("anchor", "salt")
+    of_class = Window.partitionBy("anchor", "salt", "text").orderBy("doc_id", "tie", "at")
+    rows = rows.withColumn("place", F.rank().over(of_class)).withColumn("gone", F.col("later") | (F.col("place") > 1))
+    crowd = rows.groupBy("anchor", "salt").agg(F.count_if(~F.col("gone")).alias("n"))
+    crowd = crowd.withColumn("classes", F.sum("n").over(Window.partitionBy("anchor"))).where("classes > 1").select("anchor", "salt", "classes")
+    rows = rows.join(crowd, ["anchor", "salt"], "left").where("gone OR classes IS NOT NULL")
+    start, windows = F.shiftright("at", 20), F.col("at").bitwiseAND(F.lit((1 << 20) - 1))
+    found = cut(rows.select("anchor", "doc_id", "tie", start.alias("start"), windows.alias("windows"), "gone", "classes"), "segments")
+    whole = found.where("gone").select("doc_id", "tie", F.col("start").alias("from"), (F.col("start") + F.col("windows") + (length - 1)).alias("to"))
+    first = found.where("NOT gone").select("anchor", "doc_id", "tie", "start", "windows", "classes")
+    texts = cut(_with_text(docs, first, length), "segment-texts")
+    few, many = texts.where(F.col("classes") <= hot), texts.where(F.col("classes") > hot)
     return whole.unionByName(_sorted_collections(few, length)).unionByName(_split_by_window(many, length))
 
 
