@@ -116,3 +116,32 @@ def test_transform_equals_sorting(seed):
         if j:
             common = next((n for n, (x, y) in enumerate(zip(got[j], got[j - 1])) if x != y), min(len(got[j]), len(got[j - 1])))
             assert prefix[j] == common
+
+
+def test_strings_that_stay_out_of_a_collection_have_no_equal_windows():
+    rng = random.Random(5)
+    for length, gram in ((100, 32), (24, 8), (12, 4)):
+        frame = bytes(rng.choices(b"abcdef", k=6 * length))
+        texts = []
+        for _ in range(60):  # copies of a frame with a letter changed here and there
+            text = bytearray(frame[rng.randrange(length) : rng.randrange(3 * length, 6 * length)])
+            for at in range(rng.randrange(length), len(text), rng.randrange(length // 2, 2 * length)):
+                text[at] = rng.choice(b"uvwxyz")
+            texts.append(bytes(text))
+        raw, offs = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+        doc, start, windows, anchor, text, place = sd.segments(raw, offs, length, gram)
+        first = np.unique(np.stack([anchor, text]), axis=1, return_index=True)[1]
+        doc, start, windows, anchor, place = (x[first] for x in (doc, start, windows, anchor, place))
+        size = windows + length - 1
+        cuts = np.append(0, np.cumsum(size))
+        data = raw[sd.ragged(offs[doc] + start, size)]
+        kept = sd.may_repeat(data, cuts, anchor.view(np.int64), place, length)
+        seen: dict[bytes, set[int]] = {}
+        for k in range(len(size)):
+            for at in range(cuts[k], cuts[k + 1] - length + 1):
+                seen.setdefault(data[at : at + length].tobytes(), set()).add(k)
+        needed = set().union(*(v for v in seen.values() if len(v) > 1))
+        assert needed and needed <= set(np.flatnonzero(kept).tolist())
+        assert kept.sum() < len(kept)
+    none = np.zeros(0, np.int64)
+    assert len(sd.may_repeat(np.zeros(0, np.uint8), np.zeros(1, np.int64), none, none)) == 0

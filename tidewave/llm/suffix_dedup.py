@@ -9,7 +9,9 @@ earlier in the same one). The work is cut into collections that are small and in
 * Segments of equal text are a class; its earliest segment stands for it and the others are removed whole. Equal segments of
   one Arrow batch are a class before anything is shuffled, so that large groups of copies never meet in one task.
   An anchor's classes are counted in salted parts, then summed, so that an anchor that most documents have isn't one task.
-* The classes of an anchor are a collection. Its Burrows-Wheeler transform and its longest common prefixes are built by
+* Equal windows begin at the same distance from their anchor, so they share one of a few spans at fixed distances from it. A class
+  that shares none of these with another class of its anchor has no equal window, and stays out of the collection.
+* The other classes of an anchor are a collection. Its Burrows-Wheeler transform and its longest common prefixes are built by
   inserting one symbol of every string each round, from the last to the first: a symbol's place follows from the ranks of the
   transform so far, and only the new suffix and its successor get new common prefixes, minima over ranges of the old ones.
   Runs of suffixes with common prefixes of LENGTH or more are equal windows; all but the earliest are removed. The transform and
@@ -40,18 +42,18 @@ LENGTH, GRAM = 100, 32
 HOT = 20_000
 #: Tasks over which the segments of one anchor are spread, by their texts, while its classes are counted.
 SALTS = 1_024
-#: Strings whose transform is built at once.
-COLLECTION = 1_200
+#: Strings that are read at once for a transform; half of them share spans, on the test tables.
+COLLECTION = 2_400
 END = 255
 _ANCHOR, _TEXT, _OTHER = 0x9E3779B97F4A7C15 | 5, 0x2545F4914F6CDD1D, 0xD1342543DE82EF95
 
 
-def segments(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start in it, windows, anchor hash, text hash) of all segments."""
+def segments(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(document, start in it, windows, anchor hash, text hash, anchor's place in the segment) of all segments."""
     n, wide = len(raw), length - gram + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     hashes = Spans(raw, byte_table(31), _ANCHOR).sliding(gram)
     # the lowest hash of each window, and the leftmost place that has it
     low, anchor = hashes, np.arange(len(hashes))
@@ -75,7 +77,7 @@ def segments(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     begin, last = np.flatnonzero(head), np.flatnonzero(tail)
     doc = np.searchsorted(offs, begin, "right") - 1
     text = Spans(raw, byte_table(32), _TEXT)(begin, last + length)
-    return doc, begin - offs[doc], last - begin + 1, hashes[anchor[begin]], text
+    return doc, begin - offs[doc], last - begin + 1, hashes[anchor[begin]], text, anchor[begin] - begin
 
 
 def in_order(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
@@ -189,6 +191,22 @@ def later_windows(raw: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.
     return s[later], o[later]
 
 
+def may_repeat(raw: np.ndarray, offs: np.ndarray, anchor: np.ndarray, place: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which strings can have a window of another string of the same anchor. A window that begins n bytes before the anchor holds the
+    span that begins a multiple of `stride` before it, n at most, and is stride - 1 bytes shorter; so equal windows have an equal span."""
+    stride = max(1, length // 6)
+    width = length - stride + 1
+    spans = Spans(raw, byte_table(33), _OTHER)
+    out = np.zeros(len(anchor), bool)
+    for back in range(0, int(place.max(initial=-1)) + 1, stride):
+        start = offs[:-1] + place - back
+        fits = np.flatnonzero((place >= back) & (start + width <= offs[1:]))
+        key = spans(start[fits], start[fits] + width) ^ anchor[fits].view(np.uint64)
+        _, same, many = np.unique(key, return_inverse=True, return_counts=True)
+        out[fits] |= many[same.reshape(-1)] > 1
+    return out
+
+
 def runs(string: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, from, to) of the bytes that windows cover, as maximal runs."""
     order = np.lexsort((offset, string))
@@ -200,28 +218,29 @@ def runs(string: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def _segment_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, text, doc_id, tie, at (start and, in the low 20 bits, windows), later. later: an earlier segment of the batch has the
+    """anchor, text, doc_id, tie, at (start << 32 | the anchor's place << 16 | windows; windows
+    of up to 65,535 bytes fit), later. later: an earlier segment of the batch has the
     same text; such rows need no meeting, and their anchor is replaced by a number of their own, so that they spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for rows, raw, offs in steps(iter([batch])):
-                doc, start, windows, anchor, text = segments(raw, offs, length, gram)
-                parts.append((rows.column("doc_id").to_numpy()[doc], rows.column("__tie").to_numpy()[doc], start, windows, anchor, text))
+                doc, start, windows, anchor, text, place = segments(raw, offs, length, gram)
+                parts.append((rows.column("doc_id").to_numpy()[doc], rows.column("__tie").to_numpy()[doc], start << 32 | place << 16 | windows, anchor, text))
             if not parts:
                 continue
-            doc, tie, start, windows, anchor, text = (np.concatenate(p) for p in zip(*parts, strict=True))
-            later = repeated_rows([text, anchor], in_order(doc, tie), start)
-            anchor = np.where(later, text ^ (doc ^ tie).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64), anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(text.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(start << 20 | windows), pa.array(later)], ["anchor", "text", "doc_id", "tie", "at", "later"])
+            doc, tie, at, anchor, text = (np.concatenate(p) for p in zip(*parts, strict=True))
+            later = repeated_rows([text, anchor], in_order(doc, tie), at)
+            anchor = np.where(later, text ^ (doc ^ tie).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (at >> 32).astype(np.uint64), anchor)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(text.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(at), pa.array(later)], ["anchor", "text", "doc_id", "tie", "at", "later"])
 
     # without nulls: a filter for them would keep the two uses of this table from sharing its shuffle
     return docs.mapInArrow(run, "anchor long NOT NULL, text long NOT NULL, doc_id long NOT NULL, tie long NOT NULL, at long NOT NULL, later boolean NOT NULL")
 
 
 def _with_text(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The segments (anchor, doc_id, tie, start, windows, classes) with their bytes."""
+    """The segments (anchor, doc_id, tie, start, place, windows, classes) with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,17 +248,17 @@ def _with_text(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             lists = batch.column("wanted")
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             fields = lists.flatten()
-            anchor, start, windows, classes = (fields.field(k).to_numpy() for k in ("anchor", "start", "windows", "classes"))
+            anchor, start, place, windows, classes = (fields.field(k).to_numpy() for k in ("anchor", "start", "place", "windows", "classes"))
             size = windows + length - 1
             cuts = np.append(0, np.cumsum(size)).astype(np.int32)
             data = raw[ragged(offs[owner] + start, size)]
             column = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
             ids = (batch.column(k).take(pa.array(owner)) for k in ("doc_id", "tie"))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), *ids, pa.array(start), pa.array(classes), column], ["anchor", "doc_id", "tie", "start", "classes", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), *ids, pa.array(start), pa.array(place), pa.array(classes), column], ["anchor", "doc_id", "tie", "start", "place", "classes", "bytes"])
 
-    by_doc = wanted.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "windows", "classes")).alias("wanted"))
+    by_doc = wanted.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "place", "windows", "classes")).alias("wanted"))
     joined = by_doc.join(docs.withColumnRenamed("__tie", "tie"), ["doc_id", "tie"]).select("doc_id", "tie", "text", "wanted")
-    return joined.mapInArrow(run, "anchor long, doc_id long, tie long, start long, classes long, bytes binary")
+    return joined.mapInArrow(run, "anchor long, doc_id long, tie long, start long, place long, classes long, bytes binary")
 
 
 def _sorted_collections(pieces: DataFrame, length: int) -> DataFrame:
@@ -248,8 +267,11 @@ def _sorted_collections(pieces: DataFrame, length: int) -> DataFrame:
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
         raw, offs = flat(table.column("bytes"))
-        doc, tie, start = (table.column(k).to_numpy() for k in ("doc_id", "tie", "start"))
-        s, a, b = runs(*later_windows(raw, np.diff(offs), in_order(doc, tie), start, length), length)
+        columns = [table.column(k).to_numpy() for k in ("anchor", "place", "doc_id", "tie", "start")]
+        kept = np.flatnonzero(may_repeat(raw, offs, columns[0], columns[1], length))
+        doc, tie, start = (c[kept] for c in columns[2:])
+        size = np.diff(offs)[kept]
+        s, a, b = runs(*later_windows(raw[ragged(offs[kept], size)], size, in_order(doc, tie), start, length), length)
         return pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(tie[s]), pa.array(start[s] + a), pa.array(start[s] + b)], ["doc_id", "tie", "from", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,10 +332,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     crowd = rows.groupBy("anchor", "salt").agg(F.count_if(~F.col("gone")).alias("n"))
     crowd = crowd.withColumn("classes", F.sum("n").over(Window.partitionBy("anchor"))).where("classes > 1").select("anchor", "salt", "classes")
     rows = rows.join(crowd, ["anchor", "salt"], "left").where("gone OR classes IS NOT NULL")
-    start, windows = F.shiftright("at", 20), F.col("at").bitwiseAND(F.lit((1 << 20) - 1))
-    found = cut(rows.select("anchor", "doc_id", "tie", start.alias("start"), windows.alias("windows"), "gone", "classes"), "segments")
+    start, place, windows = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFF)), F.col("at").bitwiseAND(F.lit(0xFFFF))
+    found = cut(rows.select("anchor", "doc_id", "tie", start.alias("start"), place.alias("place"), windows.alias("windows"), "gone", "classes"), "segments")
     whole = found.where("gone").select("doc_id", "tie", F.col("start").alias("from"), (F.col("start") + F.col("windows") + (length - 1)).alias("to"))
-    first = found.where("NOT gone").select("anchor", "doc_id", "tie", "start", "windows", "classes")
+    first = found.where("NOT gone").select("anchor", "doc_id", "tie", "start", "place", "windows", "classes")
     texts = cut(_with_text(docs, first, length), "segment-texts")
     few, many = texts.where(F.col("classes") <= hot), texts.where(F.col("classes") > hot)
     return whole.unionByName(_sorted_collections(few, length)).unionByName(_split_by_window(many, length))
