@@ -81,8 +81,14 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(chat.fold(chat.streamed(chat.events_of_rows(rows)))))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewave.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality, op4_token_files, op5_toxicity, op6_bpe, op7_chat, op8_html_text, op9_minhash, op10_rules)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality, op4_token_files, op5_toxicity, op6_bpe, op7_chat, op8_html_text, op9_minhash, op10_rules, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
