@@ -81,6 +81,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(chat.fold(chat.streamed(chat.events_of_rows(rows)))))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewave.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewave.llm.token_counts import token_counts
 
@@ -88,10 +94,10 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality, op4_token_files, op5_toxicity, op6_bpe, op7_chat, op8_html_text, op9_minhash, op10_rules, op13_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality, op4_token_files, op5_toxicity, op6_bpe, op7_chat, op8_html_text, op9_minhash, op10_rules, op12_vector_codes, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewave.llm import chat, decontamination, minhash, quality_rules, suffix_dedup
+    from tidewave.llm import chat, decontamination, minhash, quality_rules, suffix_dedup, vector_codes
 
-    return {"op1_suffix_dedup": suffix_dedup.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL, "op2_decontamination": decontamination.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL, "op10_rules": quality_rules.ORACLE_SQL}
+    return {"op1_suffix_dedup": suffix_dedup.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL, "op2_decontamination": decontamination.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL, "op10_rules": quality_rules.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL}
