@@ -81,6 +81,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(chat.fold(chat.streamed(chat.events_of_rows(rows)))))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewave.llm.alignment import alignments
+
+    return alignments(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewave.llm.vector_codes import vector_codes
 
@@ -94,7 +100,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality, op4_token_files, op5_toxicity, op6_bpe, op7_chat, op8_html_text, op9_minhash, op10_rules, op12_vector_codes, op13_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality, op4_token_files, op5_toxicity, op6_bpe, op7_chat, op8_html_text, op9_minhash, op10_rules, op11_alignment, op12_vector_codes, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
