@@ -112,6 +112,31 @@ def test_zone_lists_equal_brute_force(spark, options):
         assert got == brute_zones(waves, up, **full)
 
 
+@pytest.mark.parametrize("n", [1, 2, 40, 700])
+def test_broken_between_equals_brute_force(spark, n):
+    """All distances, ends in either order, ends that aren't there; nothing runs while the plan is made."""
+    rng = random.Random(n)
+    waves = [{"low": float(rng.randrange(50)), "high": float(50 + rng.randrange(50))} for _ in range(n)]
+    table = spark.createDataFrame([("a", k, w["low"], w["high"], False) for k, w in enumerate(waves)] + [("a", n, 0.0, 200.0, True), ("b", 0, 1.0, 2.0, False)], "symbol string, k long, low double, high double, is_forming boolean")
+    pairs = {(rng.randrange(n + 1), rng.randrange(n + 1)) for _ in range(400)} | {(0, n - 1), (n - 1, 0), (0, n)}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    out = accessors.broken_between(table, spark.createDataFrame([("a", *p) for p in pairs], "symbol string, a long, b long"))
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup()) == list(jobs)
+
+    def broken(a, b):
+        if max(a, b) >= n:
+            return False, False
+        inside = waves[min(a, b) + 1 : max(a, b)]
+        return any(w["low"] < max(waves[a]["low"], waves[b]["low"]) for w in inside), any(w["high"] > min(waves[a]["high"], waves[b]["high"]) for w in inside)
+
+    assert {(r.a, r.b): (r.lower_low_between, r.higher_high_between) for r in out.collect()} == {p: broken(*p) for p in pairs}
+    if n == 700:
+        near = spark.createDataFrame([("a", a, a - d) for a in range(60, 90) for d in range(1, 10)], "symbol string, a long, b long")
+        assert {(r.a, r.b): (r.lower_low_between, r.higher_high_between) for r in accessors.broken_between(table, near, apart=9).collect()} == {(r.a, r.b): broken(r.a, r.b) for r in near.collect()}
+        with pytest.raises(Exception, match="more than 3 waves apart"):
+            accessors.broken_between(table, near, apart=3).collect()
+
+
 def test_zone_lists_without_a_bound_keep_the_oldest_waves(spark):
     table = wv.waves(wv.segment(frame(spark, walk(2500, 5)).withColumn("atr", F.lit(1.5))))
     waves = [(r.wave_id, r.is_up) for r in wv.confirmed(table).orderBy(F.desc("k")).collect()]

@@ -39,24 +39,49 @@ def wave_by_id(table: DataFrame, wave_id: str) -> DataFrame:
     return wv.confirmed(table).where(F.col("wave_id") == wave_id)
 
 
-def broken_between(table: DataFrame, pairs: DataFrame) -> DataFrame:
+#: Levels of range extrema, from one wave to all that a place of 31 bits can number, and how many of them one window gives.
+LEVELS, AT_ONCE = 31, 4
+
+
+def range_extrema(table: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """symbol and k of each confirmed wave, with lows and highs: extrema of the 1, 2, 4 ... waves from it on, as far as the symbol's waves go. A level comes from the one below it, by what that has 1, 2, 4 ... of its lengths further on; AT_ONCE levels are one
+    window of leads, so the cost of a wave grows with the number of levels only, and no job runs to count them."""
+    rows = wv.confirmed(table).select("symbol", "k", F.struct("low", "high").alias("_0"))
+    for base in range(0, levels - 1, AT_ONCE):
+        upto = min(AT_ONCE, levels - 1 - base)
+        ahead = {n: F.lead(f"_{base}", n << base).over(wv.by_wave()) for n in range(1, 1 << upto)}
+        rows = rows.withColumns({f"_a{n}": c for n, c in ahead.items()})
+        made = {}
+        for j in range(1, upto + 1):
+            own = [F.col(f"_{base}"), *(F.col(f"_a{n}") for n in range(1, 1 << j))]
+            made[f"_{base + j}"] = F.struct(F.least(*(c["low"] for c in own)).alias("low"), F.greatest(*(c["high"] for c in own)).alias("high"))
+        rows = rows.select("symbol", "k", *(f"_{j}" for j in range(base + 1)), *(c.alias(n) for n, c in made.items()))
+    left = F.max("k").over(Window.partitionBy("symbol")) - F.col("k") + 1
+    used = F.floor(F.log2(left.cast("double"))).cast("int") + 1
+    return rows.select("symbol", "k", *(F.slice(F.array(*(F.col(f"_{j}")[c] for j in range(levels))), F.lit(1), F.least(used, F.lit(levels))).alias(f"{c}s") for c in ("low", "high")))
+
+
+def broken_between(table: DataFrame, pairs: DataFrame, apart: int | None = None) -> DataFrame:
     """pairs (symbol, a, b: places of two waves) with lower_low_between and higher_high_between: whether a confirmed wave strictly
-    between them goes beyond either. False where one of them isn't confirmed. Extrema over 1, 2, 4 ... following waves are kept with
-    each wave; two such runs cover what is between a pair, so a pair meets four waves, however far apart its ends are."""
+    between them goes beyond either. False where one of them isn't confirmed. Two runs of range_extrema cover what is between a pair, so
+    a pair meets four waves, however far apart its ends are. apart: the most that ends are apart, where it is known, so that fewer levels are
+    planned; a pair beyond it is an error."""
+    levels = LEVELS if apart is None else max(1, max(apart - 1, 1).bit_length())
     ends = pairs.select("symbol", "a", "b").distinct()
-    widest = ends.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] or 0
-    levels = max(1, max(int(widest) - 1, 1).bit_length())
-    runs = [wv.by_wave().rowsBetween(0, (1 << j) - 1) for j in range(levels)]
-    rows = wv.confirmed(table).select("symbol", "k", F.col("low").alias("l"), F.col("high").alias("h"), F.array(*(F.min("low").over(w) for w in runs)).alias("lows"), F.array(*(F.max("high").over(w) for w in runs)).alias("highs"))
     first, last = F.least("a", "b") + 1, F.greatest("a", "b") - 1
     size = last - first + 1
     level = F.when(size > 0, F.floor(F.log2(size.cast("double")))).cast("int")
+    level = F.when(level >= levels, F.raise_error(F.lit(f"ends are more than {apart} waves apart"))).otherwise(level)
     ends = ends.withColumns({"_level": level, "_one": F.when(size > 0, first)}).withColumn("_two", F.when(size > 0, last - F.expr("shiftleft(1, _level)") + 1))
-    for side, at in (("a", "a"), ("b", "b"), ("one", "_one"), ("two", "_two")):
-        ends = ends.join(rows.select("symbol", F.col("k").alias(at), *(F.col(c).alias(f"{c}_{side}") for c in ("l", "h", "lows", "highs"))), ["symbol", at], "left")
-    low = F.least(F.get("lows_one", F.col("_level")), F.get("lows_two", F.col("_level")))
-    high = F.greatest(F.get("highs_one", F.col("_level")), F.get("highs_two", F.col("_level")))
+    rows = range_extrema(table, levels)
+    own = wv.confirmed(table).select("symbol", "k", "low", "high")
+    for side in ("a", "b"):
+        ends = ends.join(own.select("symbol", F.col("k").alias(side), F.col("low").alias(f"l_{side}"), F.col("high").alias(f"h_{side}")), ["symbol", side], "left")
+    for side in ("_one", "_two"):
+        runs = rows.select("symbol", F.col("k").alias(side), "lows", "highs")
+        ends = ends.join(runs, ["symbol", side], "left").withColumns({f"l{side}": F.get("lows", "_level"), f"h{side}": F.get("highs", "_level")}).drop("lows", "highs")
     both = F.col("l_a").isNotNull() & F.col("l_b").isNotNull()
+    low, high = F.least("l_one", "l_two"), F.greatest("h_one", "h_two")
     return ends.select("symbol", "a", "b", F.coalesce(both & (low < F.greatest("l_a", "l_b")), F.lit(False)).alias("lower_low_between"), F.coalesce(both & (high > F.least("h_a", "h_b")), F.lit(False)).alias("higher_high_between"))
 
 

@@ -148,7 +148,7 @@ SELECT f.symbol, coalesce(t0 > t1 AND b0 > b1 AND (f.is_up OR f.low > b0), false
     def neighbours(s: SparkSession, d: str) -> DataFrame:
         t = table(s, d)
         pairs = wv.confirmed(t).where("k >= 4").select("symbol", F.col("k").alias("a"), (F.col("k") - 4).alias("b"))
-        return accessors.broken_between(t, pairs)
+        return accessors.broken_between(t, pairs, apart=4)
 
     query("broken_between", neighbours, f"""{oracle.upto('wv')}
 SELECT a.symbol, CAST(a.k AS BIGINT) AS a, CAST(b.k AS BIGINT) AS b, bool_or(c.low < a.low OR c.low < b.low) AS lower_low_between, bool_or(c.high > a.high OR c.high > b.high) AS higher_high_between
