@@ -357,11 +357,13 @@ def leaks(docs, items, percent=80, window=20):
         w = words(text)
         for i, item in items:
             b = words(item)
-            if len(b) < decontamination.SPAN:
+            if not b:
                 continue
             for shift in range(-len(b) + 1, len(w)):
                 same = [0 <= k + shift < len(w) and w[k + shift] == x for k, x in enumerate(b)]
                 hit = any(all(same[p + j] for j, c in enumerate(m) if c == "1") for m in decontamination.MASKS for p in range(len(b) - 6) if 0 <= p + shift <= len(w) - 7)
+                if len(b) < decontamination.SPAN:
+                    hit = any(all(same[at + j] for j, c in enumerate(m) if c == "1") for at, m in decontamination.short_masks(len(b)))
                 size = min(window, len(b))
                 if hit and (100 * sum(same) >= percent * len(b) or any(100 * sum(same[p : p + size]) >= percent * size for p in range(len(b) - size + 1))):
                     out.add((d, i))
@@ -413,13 +415,46 @@ def test_no_permitted_substitution_is_without_a_seed(spark, bound):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame([*items, (99, " ")], "item_id long, text string")
     want = overlaps(docs, items)
-    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench, broadcast_words=bound, short=True).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench, broadcast_words=bound).collect()}
     assert got == want
     if bound:
-        kept = {r.doc_id for r in decontamination.clean_documents(df, bench, short=True).collect()}
+        kept = {r.doc_id for r in decontamination.clean_documents(df, bench).collect()}
         assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize(("bound", "hits"), [(decontamination.BROADCAST_WORDS, decontamination.BROADCAST_HITS), (0, 0)])
+def test_repeated_words(spark, bound, hits):
+    """Runs of one word, words in turn, and runs broken by others: each shift once, and no more than a range of them for two runs."""
+    rng = random.Random(bound)
+    docs = [(1, "the " * 400), (2, "ha ho " * 120), (3, "x " + "the " * 70 + "y"), (4, "the " * 9 + "a " + "the " * 12), (5, "the the"), (6, "the"), (6, "ha ho ha ho the the the the the the the the"), (None, "the " * 80), (None, "ho " * 300)]
+    docs += [(10 + k, " ".join(rng.choice(["the", "the", "the", "ha"]) for _ in range(60))) for k in range(12)]
+    items = [(1, "the " * 100), (2, "ho ha " * 20), (3, "the " * 8), (4, "the the the the the"), (5, "ha"), (6, " ".join(["the"] * 20 + ["ha"] * 5 + ["the"] * 20))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench, broadcast_words=bound, broadcast_hits=hits).collect()}
+    assert got == overlaps(docs, items)
+
+
+def test_many_documents_of_one_word(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the "), 2000).alias("text"))
+    bench = spark.createDataFrame([(1, "the " * 200)], "item_id long, text string")
+    assert decontamination.contaminated(docs, bench).where("n_match = 200 AND best_window = 20").count() == 300
+
+
+def test_more_references_than_one_pass_holds(spark, monkeypatch):
+    """Documents without a language are compared with all references, however many there are."""
+    rng = np.random.default_rng(6)
+    languages = [[f"{chr(97 + n // 26)}{chr(97 + n % 26)}w{k}" for k in range(20)] for n in range(7)]
+    rows = [(100 * n + k, " ".join(rng.choice(words, 300)), f"l{n}") for n, words in enumerate(languages) for k in range(10)]
+    rows += [(1000 + n, " ".join(rng.choice(words, 300)), None) for n, words in enumerate(languages)] + [(2000, "#$% 77 {|} " * 60 + " ".join(f"q{k}%" for k in range(400)), "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = sorted(map(tuple, quality_rules.quality_rules(df).collect()))
+    assert {r[0] for r in whole if not r[7] and r[0] >= 1000} == {2000}
+    for at_once in (1, 3, 6):
+        monkeypatch.setattr(quality_rules, "AT_ONCE", at_once)
+        assert sorted(map(tuple, quality_rules.quality_rules(df).collect())) == whole
+    assert {r.doc_id for r in quality_rules.good_documents(df).where("doc_id >= 1000").collect()} == {1000 + n for n in range(7)}
+
+
 def labelled(spark, label, folds, held):
     """Labelled texts outside the held-out fold, in order of their ids."""
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if r[label] is not None and zlib.crc32(str(r.doc_id).encode()) % folds != held}

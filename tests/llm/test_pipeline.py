@@ -1,7 +1,9 @@
 """The pipeline on planted documents, stage by stage, against the brute force of each operator's test."""
 
 import hashlib
+import pathlib
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from tests.llm.test_minhash import brute as near_groups
 from tests.llm.test_operators import base_counts, leaks, library
 from tests.llm.test_suffix_dedup import brute as repeats
+from tidewave.llm import common, decontamination, minhash, quality_rules, suffix_dedup
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -51,6 +54,9 @@ def test_stages_on_odd_rows(spark):
     one, two, long = prose(90), prose(90), prose(30_000)
     rows = [(5, one, "en"), (5, two, "en"), (3, two, "en"), (7, one, None), (7, one, None), (None, one, "en"), (None, None, "en"), (8, None, "en"), (9, "", ""), (10, long, "en"), (11, "few words", "en")]
     clash = ("__x", "n", "tie", "words", "item_words", "seed", "item", "shift", "regs", "key", "first", "node", "kept", "ids", "from", "to", "anchor", "later", "lang_", "reference")
+    code = "".join(pathlib.Path(m.__file__).read_text() for m in (common, decontamination, minhash, quality_rules, suffix_dedup))
+    clash += (*sorted(set(re.findall(r"__[a-z_]+[a-z]\b", code)) - {"__future__"}), "column 0", "column 5", "a.b", "c`d")
+    assert {"__tie", "__lang", "__reference", "__ranges", "__doc", "__of_tie", "__bad", "__several", "__many"} <= set(clash)
     df = spark.createDataFrame([(d, t, lang, "s", len(t or "")) for d, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars int").withColumns({c: F.lit("clash") for c in clash})
     key = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=str)
     wanted = {
@@ -66,6 +72,7 @@ def test_stages_on_odd_rows(spark):
             assert out.count() == len(rows)
             continue
         assert out.columns == df.columns
+        assert all({r[c] for r in out.select(F.col(f"`{c.replace('`', '``')}`").alias(c)).collect()} <= {"clash"} for c in ("__tie", "__lang", "a.b", "c`d", "column 5"))
         assert key(out) == sorted(wanted[name], key=str), name
         if name == "decontamination":
             item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text

@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,27 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Columns of documents that operators look at; they go under their own names, all others under numbers (see any_columns).
+NAMED = ("doc_id", "text", "lang", "n_chars")
+
+
+def any_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function from documents to documents that callers may give columns of any name: those that aren't NAMED have names inside that
+    no helper column has, and come back under their own."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args: object, **options: object) -> DataFrame:
+        inside = {c: c if c in NAMED else f"column {n}" for n, c in enumerate(docs.columns)}
+        out = stage(docs.select(*(F.col(quoted(c)).alias(name) for c, name in inside.items())), *args, **options)
+        return out.select(*(F.col(quoted(name)).alias(c) for c, name in inside.items()))
+
+    return run
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that operators read, under fixed names (and __tie, see with_tie); a null text becomes an empty one."""
     tie = ["__tie"] if "__tie" in df.columns else []

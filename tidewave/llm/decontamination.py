@@ -5,27 +5,32 @@ differ. Seeds of all places of the documents join the seeds of all places of the
 over a document, and there the words are compared one by one. A document is contaminated by an item if at least PERCENT of the
 item's words, or of WINDOW of them that follow one another, are equal in place. So substituted words are tolerated.
 
+A word that is repeated gives one seed at many places of a document and of an item. Places of one seed that follow one another are a run, and
+two runs meet once: they give a range of shifts, not all pairs of their places. Hits hold no words; the different shifts of a document and
+an item are gathered and written before any word is compared, and a place where all words are equal is settled by one comparison.
+
 The MASKS leave no permitted pattern of substitutions of an item of SPAN words or more without a seed at 80 percent (enumerated up to
-400 words); at a lower percentage they may. Items of fewer than SPAN words are looked for only if `short` is set, as the registered
-query and the pipeline do: up to four words as exact copies, five and six words with each one of them left out (80 percent allow one).
+400 words); at a lower percentage they may. Items of fewer than SPAN words are looked for up to four words as exact copies, five and six
+words with each one of them left out (80 percent allow one).
 A short item of common words contaminates all documents that have it. ORACLE_SQL has no masks: it lays items over documents wherever
 any two or three words that follow one another agree, so it sees a pair that the masks would miss.
 
 Words are in lower case and parted by space and U+0009 to U+000D. Null texts count as empty, and items without words are not looked
 for. Rows without an id are compared like others. Repeated rows count once. Other columns are ignored, whatever their names.
 
-The items' seeds and words are broadcast only if their counted size is within BROADCAST_WORDS; then nothing of the documents is
-shuffled but contaminated pairs. Beyond it, seeds are joined by a shuffle, and texts by the documents that have hits.
+The items' seeds and words are broadcast only if their counted size is within BROADCAST_WORDS; beyond it seeds are joined by a shuffle, in
+which a seed is salted by document, as one may be common. The hits are broadcast to the texts only if their counted number is within
+BROADCAST_HITS; beyond it texts are joined by a shuffle. Within both bounds nothing of the documents is shuffled but places of hits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import cut, with_tie
+from tidewave.llm.common import any_columns, cut, with_tie
 
 #: Fixed patterns of five words; what they leave out differs, so that permitted substitutions can't avoid all of them.
 MASKS = ("1110011", "1101011", "1011011", "11111")
@@ -34,6 +39,8 @@ PERCENT = 80
 WINDOW = 20
 #: Words of all items together, up to which the items' side is broadcast (about 100 bytes for each word and mask).
 BROADCAST_WORDS = 400_000
+#: Hits up to which they are broadcast (about 60 bytes each), and the parts of a seed that is joined by a shuffle.
+BROADCAST_HITS, SALTS = 400_000, 16
 
 
 def words_of(text: Column) -> Column:
@@ -57,72 +64,112 @@ def short_masks(size: int) -> list[tuple[int, str]]:
     return [(m.index("1"), m.strip("0")) for m in rows]
 
 
-def placed_items(hits: DataFrame) -> DataFrame:
-    """hits: doc_id, words, item, item_words, item_id, shift. One row per document, item and shift: which of the item's words that
-    lie over the document are equal to it (same), without the document's other words."""
-    first = F.greatest(-F.col("shift"), F.lit(0))  # the item's first word that lies over the document
-    over = F.least(F.size("item_words"), F.size("words") - F.col("shift")) - first
-    same = F.zip_with(F.slice("words", F.col("shift") + first + 1, over), F.slice("item_words", first + 1, over), lambda a, b: F.when(a == b, 1).otherwise(0))
-    return hits.select("doc_id", "item_id", F.size("item_words").alias("n_words"), "shift", same.alias("same")).distinct()
+def runs(places: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    """Runs of following places: one row per key and run, with its first and last place."""
+    in_order = Window.partitionBy(*keys).orderBy(pos)
+    numbered = places.select(*keys, pos, (F.col(pos) - F.dense_rank().over(in_order)).alias("run"))
+    return numbered.groupBy(*keys, "run").agg(F.min(pos).alias("first"), F.max(pos).alias("last")).drop("run")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def best_window(same: Column, width: Column) -> Column:
+    """Most 1s among `width` that follow one another, in one walk: the sum of the newest `width`, kept by what comes in and goes out."""
+
+    def step(acc: Column, i: Column) -> Column:
+        total = acc["total"] + F.get(same, i) - F.when(i >= width, F.get(same, i - width)).otherwise(0)
+        return F.struct(total.alias("total"), F.greatest(acc["best"], total).alias("best"))
+
+    places = F.when(F.size(same) > 0, F.sequence(F.lit(0), F.size(same) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.struct(F.lit(0).alias("total"), F.lit(0).alias("best")), step, lambda acc: acc["best"])
+
+
+def laid(words: Column, item: Column, shift: Column, percent: int, width: Column) -> Column:
+    """An item laid over a document: how many words are equal in place, and most of `width` that follow one another (0 where there are too
+    few in all). Where all of them are equal, none is looked at alone."""
+    first = F.greatest(-shift, F.lit(0))  # the item's first word that lies over the document
+    over = F.greatest(F.least(F.size(item), F.size(words) - shift) - first, F.lit(0))
+    both = F.struct(F.slice(words, shift + first + 1, over).alias("a"), F.slice(item, first + 1, over).alias("b"))
+
+    def found(n: Column, best: Column) -> Column:
+        return F.struct(n.alias("n_match"), (-shift).alias("back"), F.when(F.lit(100) * n >= percent * width, best).otherwise(0).alias("window"))
+
+    def one_by_one(same: Column) -> Column:
+        return bound(F.aggregate(same, F.lit(0), lambda acc, x: acc + x), lambda n: found(n, best_window(same, width)))
+
+    equal = lambda x, y: F.when(x == y, 1).otherwise(0)
+    return bound(both, lambda p: F.when(p["a"] == p["b"], found(F.size(p["a"]), F.least(F.size(p["a"]), width))).otherwise(bound(F.zip_with(p["a"], p["b"], equal), one_by_one)))
 
 
-def _verified(hits: DataFrame, percent: int, window: int) -> DataFrame:
-    """hits as in placed_items. One row per contaminated document and item."""
-    n, over = F.col("n_words"), F.size("same")
+def _verified(met: DataFrame, percent: int, window: int) -> DataFrame:
+    """met: doc_id, words, item_id, item_words, shifts. One row per contaminated document and item; the words of a pair are held once,
+    whatever the number of its shifts."""
+    n = F.size("item_words")
     width = F.least(F.lit(window), n)
-    rows = placed_items(hits).withColumn("n_match", F.aggregate("same", F.lit(0), lambda acc, x: acc + x))
-    # a window of a fixed number of words at each place: its cost grows with the item, not with the square of it
-    sums = F.transform(F.sequence(F.lit(0), F.greatest(over - width, F.lit(0))), lambda i: F.aggregate(F.slice("same", i + 1, width), F.lit(0), lambda acc, x: acc + x))
-    rows = rows.withColumn("best_window", F.when(F.lit(100) * F.col("n_match") >= percent * width, F.array_max(sums)).otherwise(0))
-    rows = rows.where((F.lit(100) * F.col("n_match") >= percent * n) | (F.lit(100) * F.col("best_window") >= percent * width))
-    best = F.max(F.struct("n_match", (-F.col("shift")).alias("back")))
-    out = rows.groupBy("doc_id", "item_id", "n_words").agg(best.alias("best"), F.max("best_window").alias("window"))
+    places = F.transform("shifts", lambda shift: laid(F.col("words"), F.col("item_words"), shift, percent, width))
+    good = F.filter(places, lambda p: (F.lit(100) * p["n_match"] >= percent * n) | (F.lit(100) * p["window"] >= percent * width))
+    rows = met.select("doc_id", "item_id", n.alias("n_words"), good.alias("good")).where(F.size("good") > 0)
+    rows = rows.select("doc_id", "item_id", "n_words", F.array_max("good").alias("best"), F.array_max("good.window").alias("window"))
+    out = rows.groupBy("doc_id", "item_id", "n_words").agg(F.max("best").alias("best"), F.max("window").alias("window"))
     return out.select("doc_id", "item_id", F.col("n_words").cast("long").alias("n_words"), F.col("best.n_match").cast("long").alias("n_match"), (-F.col("best.back")).cast("long").alias("start_word"), F.col("window").cast("long").alias("best_window"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS, short: bool = False) -> DataFrame:
-    """One row per contaminated document and item: doc_id, item_id, n_words (of the item), n_match (most words equal in place),
-    start_word (where the item lies, may be negative), best_window (most equal words of `window` that follow one another).
-    short: look for items of fewer than SPAN words too."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("item_words")).where(F.size("item_words") >= (1 if short else SPAN)).distinct()
-    id_ = F.col("doc_id") if dict(docs.dtypes)["doc_id"].startswith("struct") else F.col("doc_id").cast("long")
-    texts = docs.select(id_.alias("doc_id"), words_of(F.col("text")).alias("words"))
-    sizes = {r["short"]: r["words"] or 0 for r in items.groupBy(F.when(F.size("item_words") < SPAN, F.size("item_words")).alias("short")).agg(F.sum(F.size("item_words")).alias("words")).collect()}
-    small = sum(sizes.values()) <= broadcast_words
-    marked = items.withColumn("item", F.xxhash64("item_id", "item_words"))
+def hits_of(texts: DataFrame, marked: DataFrame, sizes: list[int], small: bool) -> DataFrame:
+    """doc_id, item and all different shifts by which a seed of the item lies on an equal one of the document. texts: doc_id, words; marked: item, item_words;
+    sizes: the lengths of items of fewer than SPAN words."""
     whole = marked.withColumnRenamed("item_words", "words")
-    item_seeds = seeds(whole.where(F.size("words") >= SPAN), ["item"]).select("seed", "item", F.col("pos").alias("item_pos"))
+    item_seeds = seeds(whole.where(F.size("words") >= SPAN), ["item"]).withColumnRenamed("pos", "item_pos")
     used = set()
-    for n in sorted(n for n in sizes if n):
+    for n in sizes:
         masks = short_masks(n)
         used |= {m for _, m in masks}
         mine = whole.where(F.size("words") == n)
         for at, mask in masks:
-            item_seeds = item_seeds.unionByName(seeds(mine, ["item"], [mask], "short").where(F.col("pos") == at).select("seed", "item", F.col("pos").alias("item_pos")))
-    item_seeds = item_seeds.distinct()
-
-    def all_seeds(keep: list[str]) -> DataFrame:
-        found = seeds(texts, keep)
-        return found.unionByName(seeds(texts, keep, sorted(used), "short")) if used else found
-
-    shift = (F.col("pos") - F.col("item_pos")).alias("shift")
+            item_seeds = item_seeds.unionByName(seeds(mine, ["item"], [mask], "short").where(F.col("pos") == at).withColumnRenamed("pos", "item_pos"))
+    item_runs = cut(runs(item_seeds.select("seed", "item", "item_pos").distinct(), ["seed", "item"], "item_pos").select("seed", "item", F.col("first").alias("a"), F.col("last").alias("z")), "item-runs")
+    found = seeds(texts, ["doc_id"])
+    found = found.unionByName(seeds(texts, ["doc_id"], sorted(used), "short")) if used else found
+    known = item_runs.select("seed").distinct()
     if small:
-        # its size was counted: at most broadcast_words words, and a row of three numbers for each and each mask
-        hits = all_seeds(["doc_id", "words"]).join(F.broadcast(item_seeds), "seed").select("doc_id", "words", "item", shift)
-        hits = hits.join(F.broadcast(marked), "item")
-        return _verified(hits, percent, window)
-    hits = all_seeds(["doc_id"]).join(item_seeds, "seed").select("doc_id", "item", shift).distinct()
+        # their size was counted: at most BROADCAST_WORDS words, and a row of a few numbers for each and each mask
+        known, item_runs, keys = F.broadcast(known), F.broadcast(item_runs), ["seed"]
+    else:
+        salts = F.explode(F.array(*(F.lit(k) for k in range(SALTS)))).alias("salt")
+        known, item_runs, keys = known.select("seed", salts), item_runs.select("*", salts), ["seed", "salt"]
+        found = found.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    met = runs(found.join(known, keys, "left_semi"), ["doc_id", *keys], "pos").join(item_runs, keys)
+    shifts = F.explode(F.sequence(F.col("first") - F.col("z"), F.col("last") - F.col("a"))).alias("shift")
+    return met.select("doc_id", "item", shifts).groupBy("doc_id", "item").agg(F.collect_set("shift").alias("shifts"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
+    """One row per contaminated document and item: doc_id, item_id, n_words (of the item), n_match (most words equal in place),
+    start_word (where the item lies, may be negative), best_window (most equal words of `window` that follow one another). Hits are
+    found and written when this is called."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("item_words")).where(F.size("item_words") > 0).distinct()
+    id_ = F.col("doc_id") if dict(docs.dtypes)["doc_id"].startswith("struct") else F.col("doc_id").cast("long")
+    texts = docs.select(id_.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sizes = {r["short"]: r["words"] or 0 for r in items.groupBy(F.when(F.size("item_words") < SPAN, F.size("item_words")).alias("short")).agg(F.sum(F.size("item_words")).alias("words")).collect()}
+    small = sum(sizes.values()) <= broadcast_words
+    marked = items.withColumn("item", F.xxhash64("item_id", "item_words"))
+    hits = cut(hits_of(texts.select("doc_id", words_of(F.col("text")).alias("words")), marked, sorted(n for n in sizes if n), small), "item-hits")
+    few = (hits.agg(F.sum(F.size("shifts"))).first()[0] or 0) <= broadcast_hits
     # <=>: a document without an id meets its own text again
-    hits = hits.alias("h").join(texts.alias("t"), F.expr("h.doc_id <=> t.doc_id")).select("h.doc_id", "words", "item", "shift")
-    return _verified(hits.join(marked, "item"), percent, window)
+    met = texts.alias("t").join((F.broadcast(hits) if few else hits).alias("h"), F.expr("h.doc_id <=> t.doc_id")).select("t.doc_id", words_of(F.col("text")).alias("words"), "item", "shifts")
+    met = met.join(F.broadcast(marked) if small else marked, "item").select("doc_id", "words", "item_id", "item_words", "shifts")
+    return _verified(met, percent, window)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, window: int = WINDOW, short: bool = False) -> DataFrame:
+@any_columns
+def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, window: int = WINDOW) -> DataFrame:
     """The documents that no item contaminates, with all their columns. Rows that share an id, or have none, are judged each by its
     own text."""
     tied, _ = with_tie(docs)
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("__tie").alias("tie"))
-    bad = contaminated(tied.select(key.alias("doc_id"), "text"), benchmark, percent, window, short=short).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = contaminated(tied.select(key.alias("doc_id"), "text"), benchmark, percent, window).select(F.col("doc_id").alias("__bad")).distinct()
     bad = cut(bad, "contaminated")  # its size is known then: a small one is broadcast, and no text is shuffled
     return tied.join(bad, key == F.col("__bad"), "left_anti").select(*docs.columns)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import Spans, byte_table, cut, discard, documents, exact_words, flat, mix, rows_of, steps, with_tie, word_bounds
+from tidewave.llm.common import any_columns, byte_table, cut, discard, documents, exact_words, flat, mix, rows_of, Spans, steps, with_tie, word_bounds
 
 WIDTH = 5
 BANDS, ROWS = 28, 5
@@ -271,6 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, hub_rounds: int = 3) ->
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+@any_columns
 def without_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one document of each component, the one of smallest doc_id, with all its columns. Of rows that share a doc_id each
     text is a document; rows that share both are one (the least of them, so columns must have an order). Documents without words or

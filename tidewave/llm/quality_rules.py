@@ -8,7 +8,7 @@ share of all other words. Words as frequent as the first one beyond COMMON aren'
 meet it by a join on the language. None is rejected for distance where its language has no reference (its distances are 0).
 
 Null texts count as empty: no words, so base_failed. Documents without a language (null or empty) are one more reference, and are
-judged by the nearest of all references; with more than NEAREST references none of them is rejected for distance. Repeated rows give
+judged by the nearest of all references, AT_ONCE of which one pass holds; more references are more passes. Repeated rows give
 repeated rows, and an empty table none. Other columns are ignored.
 """
 
@@ -19,12 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import Spans, byte_table, cut, mix, rows_of, steps, word_bounds
+from tidewave.llm.common import any_columns, byte_table, cut, mix, rows_of, Spans, steps, word_bounds
 
-COMMON, LEAST_WORDS, NEAREST = 48, 2000, 256
+COMMON, LEAST_WORDS, AT_ONCE = 48, 2000, 256
 #: Different words that a task gathers before it hands on their counts.
 HELD = 1 << 19
 MIN_WORDS = 50
@@ -204,12 +205,34 @@ def gather(totals: DataFrame) -> DataFrame:
 
 
 def with_reference(docs: DataFrame) -> tuple[DataFrame, list[Reference]]:
-    """The documents with the columns __lang and __reference, and the references for those without a language."""
+    """The documents with the columns __lang and __reference, and __char and __word: the distances of those without a language from the
+    nearest reference but the last AT_ONCE, which are returned."""
     model = gather(cut(references(docs), "references"))
-    rows = model.limit(NEAREST + 1).collect()
-    every = [reference(r["reference"].asDict()) for r in rows] if len(rows) <= NEAREST else []
-    model = model.select(F.col("lang").alias("__lang"), F.col("reference").alias("__reference"))
-    return docs.withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))).join(model, "__lang", "left"), every
+    own = model.select(F.col("lang").alias("__lang"), F.col("reference").alias("__reference"))
+    joined = docs.withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))).join(own, "__lang", "left").withColumns({"__char": F.lit(1.0), "__word": F.lit(1.0)})
+    block: list[Reference] = []
+    for r in model.orderBy("lang").toLocalIterator():  # a few thousand bytes for each language
+        if len(block) == AT_ONCE:
+            joined, block = nearer(joined, block), []
+        block.append(reference(r["reference"].asDict()))
+    return joined, block
+
+
+def nearer(joined: DataFrame, block: list[Reference]) -> DataFrame:
+    """The same rows, with the distances of documents without a language from these references too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw, offs in steps(batches):
+            if not pc.any(pc.equal(rows.column("__lang"), "")).as_py():
+                yield rows
+                continue
+            new = dict(zip(("__char", "__word"), map(pa.array, distances(raw, counts(raw, offs), rows, block)), strict=True))
+            yield pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in rows.schema.names], rows.schema.names)
+
+    schema = joined.schema
+    for f in schema.fields:
+        f.nullable = True
+    return joined.mapInArrow(run, schema)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -223,8 +246,10 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((part(np.broadcast_to(p, m.shape)) + part(np.broadcast_to(q, m.shape))) / 2, 0, 1))
 
 
-def distances(raw: np.ndarray, c: Counts, langs: pa.Array, refs: pa.Array, every: list[Reference]) -> tuple[np.ndarray, np.ndarray]:
-    """Each document's distance from its language's reference, by characters and by common words; 0 where there is none."""
+def distances(raw: np.ndarray, c: Counts, rows: pa.RecordBatch, every: list[Reference]) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's distance from its language's reference, by characters and by common words; 0 where there is none. Without a language:
+    from the nearest of `every` and of those that have been looked at."""
+    langs, refs = rows.column("__lang"), rows.column("__reference")
     n_docs = len(c.first) - 1
     char, word = np.zeros(n_docs), np.zeros(n_docs)
     shares = c.chars / np.maximum(c.chars.sum(1, keepdims=True), 1)
@@ -241,7 +266,7 @@ def distances(raw: np.ndarray, c: Counts, langs: pa.Array, refs: pa.Array, every
             continue
         mine = of == k
         at_doc, mine = np.searchsorted(docs, c.doc[mine]), keys[mine]
-        char[docs], word[docs] = 1.0, 1.0
+        char[docs], word[docs] = (rows.column(k).to_numpy()[docs] if name == "" else 1.0 for k in ("__char", "__word"))
         for ref in near:
             char[docs] = np.minimum(char[docs], js_distance(shares[docs], ref.chars))
             known, wide = ref.words, len(ref.words) + 1
@@ -258,7 +283,7 @@ def judge(rows: pa.RecordBatch, raw: np.ndarray, offs: np.ndarray, every: list[R
     c = counts(raw, offs)
     n_words = c.base["n_words"]
     failed = (n_words < 50) | (100 * c.base["n_repeat_words"] > 50 * n_words)
-    char, word = distances(raw, c, rows.column("__lang"), rows.column("__reference"), every)
+    char, word = distances(raw, c, rows, every)
     far = (n_words >= min_words) & ((char > char_limit) | (word > word_limit + WORD_SLACK / np.sqrt(np.maximum(n_words, 1))))
     return c, failed, ~failed & ~far, char, word
 
@@ -273,10 +298,11 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, char_limit: float
             columns = [rows.column("doc_id"), *(pa.array(c.base[k]) for k in BASE_COLUMNS), pa.array(failed), pa.array(kept), pa.array(char), pa.array(word)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *BASE_COLUMNS, "base_failed", "kept", "char_distance", "word_distance"])
 
-    texts = joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "__lang", "__reference")
+    texts = joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "__lang", "__reference", "__char", "__word")
     return texts.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in BASE_COLUMNS) + ", base_failed boolean, kept boolean, char_distance double, word_distance double")
 
 
+@any_columns
 def good_documents(docs: DataFrame, min_words: int = MIN_WORDS, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     joined, every = with_reference(docs)
@@ -310,7 +336,7 @@ totals AS (SELECT lang, x, count(*) AS n FROM plain GROUP BY lang, x),
 sizes AS (SELECT lang, sum(n) AS total FROM totals GROUP BY lang HAVING sum(n) >= {LEAST_WORDS}),
 top AS (SELECT lang, x, n FROM (SELECT lang, x, n, count(*) OVER (PARTITION BY lang ORDER BY n DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place FROM totals) WHERE place <= {COMMON}),
 other AS (SELECT s.lang, s.total, s.total - coalesce(sum(t.n), 0) AS n FROM sizes s LEFT JOIN top t USING (lang) GROUP BY s.lang, s.total),
-meets AS (SELECT c.r, s.lang AS ref FROM c JOIN sizes s ON s.lang = c.lang OR (c.lang = '' AND (SELECT count(*) FROM sizes) <= {NEAREST})),
+meets AS (SELECT c.r, s.lang AS ref FROM c JOIN sizes s ON s.lang = c.lang OR c.lang = ''),
 char_ref AS (SELECT lang AS ref, entry, CAST(sum(n) AS DOUBLE) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1) AS q FROM h GROUP BY lang, entry),
 char_js AS (SELECT r, ref, sum({_js("p", "q")}) AS js FROM (SELECT m.r, m.ref, CAST(h.n AS DOUBLE) / greatest(h.n_chars, 1) AS p, k.q FROM meets m JOIN h USING (r) JOIN char_ref k ON k.ref = m.ref AND k.entry = h.entry) GROUP BY r, ref),
 own AS (SELECT r, x, count(*) AS n FROM plain GROUP BY r, x),

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import Spans, byte_table, cut, documents, flat, ragged, steps, with_tie
+from tidewave.llm.common import any_columns, byte_table, cut, documents, flat, ragged, Spans, steps, with_tie
 
 LENGTH, GRAM = 100, 32
 #: Classes of an anchor beyond which it is split by windows.
@@ -384,6 +384,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     return _with_ranges(documents(docs), length, gram, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+@any_columns
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """The documents with what is left of their texts, and n_chars to match. Bytes of characters that were cut apart go too."""
     columns = docs.columns
