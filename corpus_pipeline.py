@@ -38,7 +38,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates; each row is judged by its own text, also where it has no id."""
-    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short=True).select(*docs.columns)
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
