@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidewave.llm.bpe import Vocabulary, encode_step, tree_pieces, vocabulary
 from tidewave.llm.common import cut, documents, ragged, steps
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 #: Links of a group beyond which they are counted by different ids.
 MANY_LINKS = 512
 #: A pair of ids as one number: the A id above, the B id below.
