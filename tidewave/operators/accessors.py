@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.operators import waves as wv
+from tidewave.operators.indicators import along
 
 MAX_WAVES = 200
 ZONE_SCHEMA = "symbol string, place int, side string, anchor_wave_id string, low double, high double, wick_low double, wick_high double, is_double boolean, overlap_low_ids array<string>, overlap_high_ids array<string>"
@@ -111,46 +114,83 @@ def long_term_swings(table: DataFrame, up: bool, since: int = 100, max_age: int
     return rows.select("symbol", "wave_id", "k", (F.col("_end") - F.col(at)).alias("age"), "since", F.col("h" if up else "l").alias("price"))
 
 
-def _zone_list(waves: list[dict], up: bool, include_forming: bool, proximity: int, only_overlapping: bool, only_newest: bool, multiple: float, share: float) -> Iterator[dict]:
-    """Zones of one symbol, newest first. waves: its registry in order, the forming wave last."""
-    body = ("top_low", "top_high") if up else ("bottom_low", "bottom_high")
-    other = ("bottom_low", "bottom_high") if up else ("top_low", "top_high")
-    same = [w for w in waves if w["is_up"] == up and (include_forming or not w["is_forming"])][::-1]
-    rest = [w for w in waves if w["is_up"] != up and not w["is_forming"]]
-    place = {w["k"]: n for n, w in enumerate(waves)}
-    emitted: list[tuple[float, float]] = []
-    for n, anchor in enumerate(same):
-        low, high = anchor[body[0]], anchor[body[1]]
-        if only_newest and any(a <= high and b >= low for a, b in emitted):
-            continue
-        older = same[n + 1 :]
-        between: list[float | None] = []
-        for w in older[:proximity]:  # the registry has no forming wave, so one as anchor is never vetoed
-            inside = [x["high"] if up else x["low"] for x in waves[place[w["k"]] + 1 : place[anchor["k"]]]]
-            between.append(None if anchor["is_forming"] or not inside else (max(inside) if up else min(inside)))
-        z = wv.zone_of(anchor, older, between, proximity, multiple, share)
-        ids = [w["wave_id"] for w in z["near"]] + [w["wave_id"] for w in older[proximity:] if w[body[0]] <= z["high"] and w[body[1]] >= z["low"]]
-        against = [w["wave_id"] for w in rest if w[other[0]] <= z["high"] and w[other[1]] >= z["low"]]
-        emitted.append((z["low"], z["high"]))
-        if ids or not only_overlapping:
-            yield {"side": "resistance" if up else "support", "anchor_wave_id": anchor["wave_id"], "low": z["low"], "high": z["high"], "wick_low": z["wick_low"], "wick_high": z["wick_high"], "is_double": z["double"], "overlap_low_ids": against if up else ids, "overlap_high_ids": ids if up else against}
+class Taken:
+    """Prices that zones have taken: disjoint intervals in order, merged where they meet."""
+
+    def __init__(self) -> None:
+        self.starts: list[float] = []
+        self.ends: list[float] = []
+
+    def meets(self, low: float, high: float) -> bool:
+        at = bisect.bisect_right(self.starts, high) - 1
+        return at >= 0 and self.ends[at] >= low
+
+    def add(self, low: float, high: float) -> None:
+        a, b = bisect.bisect_left(self.ends, low), bisect.bisect_right(self.starts, high)
+        if a < b:
+            low, high = min(low, self.starts[a]), max(high, self.ends[b - 1])
+        self.starts[a:b], self.ends[a:b] = [low], [high]
+
+
+#: What the list of zones needs of each wave.
+ZONE_NUMBERS = ["k", "is_up", "is_forming", "high", "high_atr", "low", "low_atr", "top_low", "top_high", "bottom_low", "bottom_high"]
+
+
+class Registry:
+    """The waves of a symbol as columns of numbers, and their names."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.names: list[str] = []
+        self.symbol = ""
+
+    def take(self, part: pd.DataFrame) -> None:
+        self.symbol = part["symbol"].iloc[0]
+        self.parts.append(np.stack([part[c].to_numpy(np.float64, na_value=np.nan) for c in ZONE_NUMBERS]))
+        self.names += part["wave_id"].tolist()
+
+    def zones(self, up: bool, include_forming: bool, proximity: int, only_overlapping: bool, only_newest: bool, multiple: float, share: float) -> Iterator[dict]:
+        """Zones, newest first. An anchor is passed over if its body meets prices that are taken."""
+        c = dict(zip(ZONE_NUMBERS, np.concatenate(self.parts, 1), strict=True))
+        mine, forming = c["is_up"] == float(up), c["is_forming"] == 1
+        body, other = (("top_low", "top_high"), ("bottom_low", "bottom_high")) if up else (("bottom_low", "bottom_high"), ("top_low", "top_high"))
+        same, rest = np.flatnonzero(mine if include_forming else mine & ~forming), np.flatnonzero(~mine & ~forming)
+        inside = c["high" if up else "low"]
+        names, taken = np.array(self.names, object), Taken()
+
+        def row(n: int) -> dict:
+            return {k: float(v[n]) for k, v in c.items()} | {"is_up": up, "wave_id": names[n]}
+
+        for n in range(len(same) - 1, -1, -1):
+            at = int(same[n])
+            if only_newest and taken.meets(c[body[0]][at], c[body[1]][at]):
+                continue
+            near = same[max(0, n - proximity) : n][::-1]
+            # the registry has no forming wave, so one as anchor is never vetoed
+            between = [None if forming[at] or o + 1 == at else float((np.max if up else np.min)(inside[o + 1 : at])) for o in near.tolist()]
+            z = wv.zone_of(row(at), [row(o) for o in near.tolist()], between, proximity, multiple, share)
+            older = same[: max(0, n - proximity)][::-1]
+            ids = [w["wave_id"] for w in z["near"]] + names[older[(c[body[0]][older] <= z["high"]) & (c[body[1]][older] >= z["low"])]].tolist()
+            against = names[rest[(c[other[0]][rest] <= z["high"]) & (c[other[1]][rest] >= z["low"])]].tolist()
+            taken.add(z["low"], z["high"])
+            if ids or not only_overlapping:
+                yield {"side": "resistance" if up else "support", "anchor_wave_id": names[at], "low": z["low"], "high": z["high"], "wick_low": z["wick_low"], "wick_high": z["wick_high"], "is_double": z["double"], "overlap_low_ids": against if up else ids, "overlap_high_ids": ids if up else against}
 
 
 def zones(table: DataFrame, side: str, *, include_forming: bool = False, proximity: int = 2, only_overlapping: bool = False, only_newest: bool = True, max_waves: int | None = MAX_WAVES, multiple: float = 0.3, share: float = 0.004) -> DataFrame:
     """All zones of a side as of the last bar, newest first (place). Whether an anchor is passed over depends on the zones before
-    it, one after another; a symbol's registry has at most max_waves waves, so a group is bounded by a parameter; with None it is all of a symbol's waves."""
+    it, one after another: a fold over the symbol's waves, which pass in batches and stay as a dozen numbers each. max_waves: only the
+    newest so many; None: all."""
     up = side == "resistance"
     if side not in ("support", "resistance"):
         raise ValueError(f"no side: {side}")
-    names = ["symbol", "k", "wave_id", "is_up", "is_forming", "high", "high_atr", "low", "low_atr", "top_low", "top_high", "bottom_low", "bottom_high"]
-    rows = retained(table, max_waves).unionByName(current_wave(table)).select(*names)
+    rows = retained(table, max_waves).unionByName(current_wave(table)).select("symbol", "wave_id", *ZONE_NUMBERS)
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        waves = group.sort_values("k").to_dict("records")
-        found = [{"symbol": key[0], "place": n} | z for n, z in enumerate(_zone_list(waves, up, include_forming, proximity, only_overlapping, only_newest, multiple, share))]
+    def finish(waves: Registry) -> pd.DataFrame:
+        found = [{"symbol": waves.symbol, "place": n} | z for n, z in enumerate(waves.zones(up, include_forming, proximity, only_overlapping, only_newest, multiple, share))]
         return pd.DataFrame(found, columns=[c.split(" ")[0] for c in ZONE_SCHEMA.split(", ")])
 
-    return rows.groupBy("symbol").applyInPandas(run, ZONE_SCHEMA)
+    return along(rows, Registry, Registry.take, ZONE_SCHEMA, ["k"], finish=finish)
 
 
 def anchors(table: DataFrame, side: str) -> DataFrame:

@@ -23,12 +23,13 @@ def by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("open_time")
 
 
-def along(rows: DataFrame, start: Callable[[], Any], step: Callable[[Any, pd.DataFrame], pd.DataFrame], schema: str, order: list[str], key: str = "symbol", fields: list[str] | None = None) -> DataFrame:
+def along(rows: DataFrame, start: Callable[[], Any], step: Callable[[Any, pd.DataFrame], pd.DataFrame], schema: str, order: list[str], key: str = "symbol", fields: list[str] | None = None, finish: Callable[[Any], pd.DataFrame] | None = None) -> DataFrame:
     """Run step(state, part) over each key's rows in order; part is what one Arrow batch has of the key, the state lives on to
     the next batch. A lost task starts again from its sorted rows. With fields, part has only these, and the columns of schema are
-    put beside all columns of rows, which don't leave Arrow."""
+    put beside all columns of rows, which don't leave Arrow. With finish, steps give nothing and finish(state) gives a key's rows after
+    its last one."""
 
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     arrow = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,9 +42,16 @@ def along(rows: DataFrame, start: Callable[[], Any], step: Callable[[Any, pd.Dat
             cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(frame)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if state is None or keys[a] != owner:
+                    if finish and state is not None:
+                        yield pa.RecordBatch.from_pandas(finish(state), schema=arrow, preserve_index=False)
                     state, owner = start(), keys[a]
+                if finish:
+                    step(state, frame.iloc[a:b])
+                    continue
                 new = pa.RecordBatch.from_pandas(step(state, frame.iloc[a:b]), schema=arrow, preserve_index=False)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new.columns], [*batch.schema.names, *arrow.names]) if fields else new
+        if finish and state is not None:
+            yield pa.RecordBatch.from_pandas(finish(state), schema=arrow, preserve_index=False)
 
     if fields:
         out = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])

@@ -49,12 +49,24 @@ def rollup(trades: DataFrame) -> DataFrame:
     return trades.rollup("strategy", "pair").agg(*(c.alias(n) for n, c in measures().items()))
 
 
-def drawdown(trades: DataFrame, *keys: str, capital: float = CAPITAL) -> DataFrame:
-    """Largest fall of equity from its peak, in percent, by group; trades that close together count in order of seq."""
-    order = Window.partitionBy(*keys).orderBy("close_time", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumn("equity", capital + F.sum("profit_abs").over(order))
-    rows = rows.withColumn("peak", F.greatest(F.lit(capital), F.max("equity").over(order)))
-    return rows.groupBy(*keys).agg((F.max((F.col("peak") - F.col("equity")) / F.col("peak")) * 100).alias("max_drawdown"))
+#: Seconds of closings that are one block of a drawdown.
+SPAN = 30 * 86_400
+
+
+def drawdown(trades: DataFrame, *keys: str, capital: float = CAPITAL, span: int = SPAN) -> DataFrame:
+    """Largest fall of equity from its peak, in percent, by group; trades that close together count in order of seq. A block is what
+    closes within `span`: it is summed up to its total and its highest point; from these of the blocks before it a block has the equity
+    and the peak it begins with, and then finds its own worst fall. So a group is as many tasks as it has blocks."""
+    rows = trades.select(F.struct(*keys, F.lit(0).alias("_")).alias("_key"), F.coalesce(F.floor(F.col("close_time") / span), F.lit(-1 << 40)).alias("_block"), "close_time", "seq", "profit_abs")
+    order = Window.partitionBy("_key", "_block").orderBy("close_time", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.coalesce(F.sum("profit_abs").over(order), F.lit(0.0)))
+    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("_key", "_block").agg(F.coalesce(F.sum("profit_abs"), F.lit(0.0)).alias("_total"), F.max("_sum").alias("_top"))
+    blocks = blocks.withColumn("_equity", capital + F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
+    blocks = blocks.withColumn("_peak", F.greatest(F.lit(capital), F.max(F.col("_equity") + F.col("_top")).over(before))).select("_key", "_block", "_equity", "_peak")
+    rows = rows.join(blocks, ["_key", "_block"]).withColumn("equity", F.col("_equity") + F.col("_sum"))
+    rows = rows.withColumn("peak", F.greatest("_peak", F.max("equity").over(order)))
+    return rows.groupBy("_key").agg((F.max((F.col("peak") - F.col("equity")) / F.col("peak")) * 100).alias("max_drawdown")).select(*(F.col("_key")[k].alias(k) for k in keys), "max_drawdown")
 
 
 def swing_trades(segmented: DataFrame, strategy: str = "swing", stake: float = 300.0) -> DataFrame:

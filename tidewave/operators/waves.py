@@ -7,6 +7,7 @@ Ties within a wave go to the earlier bar. The last wave of a symbol is forming:
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -109,45 +110,156 @@ def diverging(table: DataFrame) -> DataFrame:
 LEAST_WAVES = 6
 
 
+class Counted:
+    """Numbers in order, in buckets that are split as they grow, so that one more costs no walk over all."""
+
+    LOAD = 512
+
+    def __init__(self, values: Iterable[float] = ()) -> None:
+        found = sorted(values)
+        self.parts = [found[k : k + self.LOAD] for k in range(0, len(found), self.LOAD)]
+        self.tops = [p[-1] for p in self.parts]
+
+    def add(self, x: float) -> None:
+        if not self.parts:
+            self.parts, self.tops = [[x]], [x]
+            return
+        b = min(bisect.bisect_left(self.tops, x), len(self.parts) - 1)
+        part = self.parts[b]
+        bisect.insort(part, x)
+        if len(part) > 2 * self.LOAD:
+            self.parts[b : b + 1] = [part[: self.LOAD], part[self.LOAD :]]
+            self.tops[b : b + 1] = [part[self.LOAD - 1], part[-1]]
+        else:
+            self.tops[b] = part[-1]
+
+    def remove(self, x: float) -> None:
+        b = bisect.bisect_left(self.tops, x)
+        part = self.parts[b]
+        del part[bisect.bisect_left(part, x)]
+        if part:
+            self.tops[b] = part[-1]
+        else:
+            del self.parts[b], self.tops[b]
+
+    def below(self, x: float) -> int:
+        b = bisect.bisect_left(self.tops, x)
+        return sum(map(len, self.parts[:b])) + (bisect.bisect_left(self.parts[b], x) if b < len(self.parts) else 0)
+
+    def upto(self, x: float) -> int:
+        b = bisect.bisect_right(self.tops, x)
+        return sum(map(len, self.parts[:b])) + (bisect.bisect_right(self.parts[b], x) if b < len(self.parts) else 0)
+
+
+class FirstTouch:
+    """The first of many (bottom, top, far) triples, in the order they came, with bottom <= high, top >= low and far >= high: a tree over
+    their order, whose nodes have the lowest bottom, the highest top and the highest far of FAN nodes below. A node that can't hold an
+    answer is passed over with all that is below it."""
+
+    FAN, BITS = 32, 5
+
+    def __init__(self) -> None:
+        self.n, self.levels = 0, [np.empty((3, self.FAN))]
+
+    def add(self, bottom: float, top: float, far: float) -> None:
+        at = self.n
+        for j in range(len(self.levels)):
+            if at == self.levels[j].shape[1]:
+                self.levels[j] = np.concatenate([self.levels[j], np.empty_like(self.levels[j])], 1)
+            row = self.levels[j]
+            if self.n & (1 << self.BITS * j) - 1 == 0:
+                row[:, at] = bottom, top, far
+            else:
+                row[0, at], row[1, at], row[2, at] = min(row[0, at], bottom), max(row[1, at], top), max(row[2, at], far)
+            at >>= self.BITS
+        self.n += 1
+        if (self.n - 1 >> self.BITS * len(self.levels)) + 1 > 1 or self.n == self.FAN ** len(self.levels):
+            row = self.levels[-1][:, : (self.n - 1 >> self.BITS * (len(self.levels) - 1)) + 1]
+            self.levels.append(np.empty((3, self.FAN)))
+            self.levels[-1][:, 0] = row[0].min(), row[1].max(), row[2].max()
+
+    def first(self, low: float, high: float, begin: int, end: int) -> int:
+        """Its place, of those from begin to before end; -1 if there is none."""
+        top = len(self.levels) - 1
+        return self._search(top, 0, low, high, begin, end) if begin < end else -1
+
+    def _search(self, j: int, at: int, low: float, high: float, begin: int, end: int) -> int:
+        shift = self.BITS * j
+        bottoms, tops, fars = self.levels[j][:, max(at, begin >> shift) : min(at + self.FAN if j < len(self.levels) - 1 else self.levels[j].shape[1], (end - 1 >> shift) + 1)]
+        at = max(at, begin >> shift)
+        for node in (np.flatnonzero((bottoms <= high) & (tops >= low) & (fars >= high)) + at).tolist():
+            if j == 0:
+                return node
+            found = self._search(j - 1, node << self.BITS, low, high, begin, end)
+            if found >= 0:
+                return found
+        return -1
+
+
 class Side:
     """The tops (or bottoms) so far: the newest few as rows, and of all that aren't forgotten the body, the extreme and its time."""
 
     def __init__(self, up: bool, recent: int):
         self.up, self.keep, self.recent = up, max(recent, 1), []
-        self.n, self.begin, self.rows = 0, 0, np.empty((4, 64))
-        self.starts: list[float] = []
-        self.ends: list[float] = []
-        self.places: list[int] = []
+        self._hold(np.empty((5, 0)))
+
+    def _hold(self, held: np.ndarray) -> None:
+        """Start with these rows: lower and upper end of the body, extreme, time, number of the wave."""
+        self.n, self.begin = held.shape[1], 0
+        self.rows = np.concatenate([held, np.empty((5, max(64, self.n)))], 1)
+        self.starts, self.ends = Counted(held[0].tolist()), Counted(held[1].tolist())
+        self._plant()
+
+    def _plant(self) -> None:
+        self.touch = FirstTouch()
+        for a, b, far in self.rows[:3, : self.n].T.tolist():
+            self.touch.add(*self._turned(a, b, far))
+
+    def _turned(self, a: float, b: float, far: float) -> tuple[float, float, float]:
+        """Bottoms are tops of the mirrored prices."""
+        return (a, b, far) if self.up else (-b, -a, -far)
 
     def add(self, w: dict) -> None:
         if self.n == self.rows.shape[1]:
-            held = self.rows[:, self.begin : self.n]
-            self.rows, self.n, self.begin = np.concatenate([held, np.empty((4, max(64, held.shape[1])))], 1), held.shape[1], 0
+            if self.begin > self.n // 2:  # most are forgotten
+                held = self.rows[:, self.begin : self.n]
+                self.n, self.begin = held.shape[1], 0
+                self.rows[:, : self.n] = held.copy()
+                self._plant()
+            else:
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)], 1)
         body = ("top_low", "top_high") if self.up else ("bottom_low", "bottom_high")
-        self.rows[:, self.n] = [w[body[0]], w[body[1]], w["high" if self.up else "low"], w["high_time" if self.up else "low_time"]]
+        a, b, far = float(w[body[0]]), float(w[body[1]]), float(w["high" if self.up else "low"])
+        self.rows[:, self.n] = [a, b, far, w["high_time" if self.up else "low_time"], w["k"]]
         self.n += 1
-        self.places.append(w["k"])
         self.recent = [*self.recent, w][-self.keep :]
-        bisect.insort(self.starts, w[body[0]])
-        bisect.insort(self.ends, w[body[1]])
+        self.starts.add(a)
+        self.ends.add(b)
+        self.touch.add(*self._turned(a, b, far))
 
     def forget(self, before: int) -> None:
         """Forget the waves before the one of this number."""
-        while self.places and self.places[0] < before:
-            self.places.pop(0)
-            del self.starts[bisect.bisect_left(self.starts, self.rows[0, self.begin])], self.ends[bisect.bisect_left(self.ends, self.rows[1, self.begin])]
+        while self.begin < self.n and self.rows[4, self.begin] < before:
+            self.starts.remove(self.rows[0, self.begin])
+            self.ends.remove(self.rows[1, self.begin])
             self.begin += 1
             self.recent = [w for w in self.recent if w["k"] >= before]
 
     def overlapping(self, low: float, high: float) -> int:
         """How many bodies meet [low, high]."""
-        return len(self.starts) - bisect.bisect_left(self.ends, low) - (len(self.starts) - bisect.bisect_right(self.starts, high))
+        return self.starts.upto(high) - self.ends.below(low)
 
     def earliest(self, low: float, high: float, but: int) -> float:
         """The time of the first extreme at or beyond the zone [low, high] of a body that meets it; the newest `but` don't count."""
-        a, b, extreme, time = self.rows[:, self.begin : self.n - but]
-        beyond = extreme >= high if self.up else extreme <= low
-        return float(time[(a <= high) & (b >= low) & beyond].min(initial=np.inf))
+        at = self.touch.first(*((low, high) if self.up else (-high, -low)), self.begin, self.n - but)
+        return float(self.rows[3, at]) if at >= 0 else float(np.inf)
+
+    def saved(self) -> list:
+        return [self.recent, self.rows[:, self.begin : self.n].tolist()]
+
+    def restore(self, saved: list) -> None:
+        self.recent = saved[0]
+        self._hold(np.array(saved[1], float).reshape(5, -1))
 
 
 class History:

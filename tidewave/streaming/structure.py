@@ -150,17 +150,14 @@ class Symbol:
     def _remember(self, d: dict) -> None:
         h = self.history
         h.highs, h.lows, h.begins = [tuple(x) for x in d["highs"]], [tuple(x) for x in d["lows"]], d["begins"]
-        for up, (recent, rows, places) in zip((True, False), d["sides"], strict=True):
-            side = h.sides[up]
-            side.recent, side.places, side.n = recent, places, len(places)
-            side.rows = np.concatenate([np.array(rows, float).reshape(4, -1), np.empty((4, 64))], 1)
-            side.starts, side.ends = sorted(rows[0]), sorted(rows[1])
+        for up, held in zip((True, False), d["sides"], strict=True):
+            h.sides[up].restore(held)
             h.zone[up] = d["zone"][0 if up else 1]
 
     def saved(self) -> str:
         o, h = self.osc, self.history
         plain = {n: getattr(self, n) for n in ("last_time", "i", "k", "up", "waves", "snap", "before", "runs", "top_i", "bottom_i", "calm")}
-        sides = [(s.recent, s.rows[:, s.begin : s.n].tolist(), s.places) for s in (h.sides[True], h.sides[False])]
+        sides = [h.sides[True].saved(), h.sides[False].saved()]
         held = {"history": {"highs": h.highs, "lows": h.lows, "begins": h.begins, "sides": sides, "zone": [h.zone[True], h.zone[False]]}} if self.zoned else {}
         emas = {n: clean(getattr(o, n).last) for n in EMAS}
         zones = {n: (z.state, z.count, z.bounds) for n, z in self.zones.items()}
