@@ -105,3 +105,27 @@ def test_drawdown_by_blocks(spark, span):
         want[key] = round(worst * 100, 9)
     assert {r.strategy: round(r.max_drawdown, 9) for r in trades.drawdown(df, "strategy", "pair", span=span).collect()} == want
     assert trades.drawdown(df, span=span).count() == 1
+
+
+@pytest.mark.parametrize(("block", "max_waves"), [(1, None), (7, None), (50, None), (50, 20), (1024, 9)])
+def test_swing_distances_by_blocks(spark, block, max_waves):
+    """Against a walk back over all waves; rising, falling and level runs, and a symbol of one wave."""
+    rng = random.Random(block)
+    rows, at = [], 0
+    for symbol, n in (("a", 400), ("b", 1), ("c", 160)):
+        at, level = 0, 50.0
+        for k in range(n):
+            level += 1.0 if k % 100 < 30 else -1.0 if k % 100 < 60 else rng.choice([-2.0, 0.0, 2.0])
+            size = rng.randrange(1, 6)
+            rows.append((symbol, k, at, k % 2 == 0, level + rng.randrange(3), at + rng.randrange(size), level - rng.randrange(3), at + rng.randrange(size), k == n - 1 and n > 1))
+            at += size
+    table = spark.createDataFrame(rows, "symbol string, k long, start_i int, is_up boolean, h double, h_i int, l double, l_i int, is_forming boolean").repartition(5)
+    want = {}
+    for symbol in "abc":
+        mine = [r for r in rows if r[0] == symbol and not r[8]]
+        for _, k, _, up, h, h_i, low, l_i, _ in mine:
+            oldest = 0 if max_waves is None else max(0, k - max_waves)
+            hit = next((w for w in reversed(mine[oldest:k]) if (w[4] > h if up else w[6] < low)), None)
+            here = h_i if up else l_i
+            want[symbol, k] = here - (hit[5] if up else hit[7]) - 1 if hit else here - mine[oldest][2]
+    assert {(r.symbol, r.k): r.since for r in wv.swing_distances(table, block, max_waves).collect()} == want

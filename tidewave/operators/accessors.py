@@ -107,7 +107,7 @@ def long_term_swings(table: DataFrame, up: bool, since: int = 100, max_age: int
     n = table.groupBy("symbol").agg(F.max("end_i").alias("_end"))
     newest = wv.confirmed(table).groupBy("symbol").agg(F.max("k").alias("_newest"))
     at = "h_i" if up else "l_i"
-    rows = wv.confirmed(table).where(F.col("is_up") == F.lit(up)).join(wv.wave_history(table).select("symbol", "k", "since"), ["symbol", "k"]).where(F.col("since") >= since)
+    rows = wv.confirmed(table).where(F.col("is_up") == F.lit(up)).join(wv.swing_distances(table), ["symbol", "k"]).where(F.col("since") >= since)
     best = Window.partitionBy("symbol").orderBy(F.desc("k"))
     rows = rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").join(n, "symbol").join(newest, "symbol")
     rows = rows.where((F.col("k") == F.col("_newest")) | (F.col("_end") - F.col("end_i") <= max_age))

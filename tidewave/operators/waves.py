@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidewave.operators.indicators import by_symbol, along
+from tidewave.operators.indicators import along, by_symbol
+from tidewave.sources.tables import written
 
 
 def by_wave() -> WindowSpec:
@@ -383,6 +384,82 @@ def wave_history(table: DataFrame, proximity: int = 2, multiple: float = 0.3, sh
     return along(confirmed(table).select("symbol", *KERNEL_FIELDS), lambda: History(proximity, max_waves), step, KERNEL_SCHEMA, ["k"])
 
 
+#: Waves of a block of swing_distances.
+DISTANCE_BLOCK = 1024
+
+
+class Beyond:
+    """Waves that no later one has gone beyond, oldest first: the latest one beyond a value is found by bisection."""
+
+    def __init__(self) -> None:
+        self.minus: list[float] = []
+        self.of: list[tuple] = []
+
+    def add(self, value: float, of: tuple) -> None:
+        while self.minus and self.minus[-1] >= -value:
+            self.minus.pop()
+            self.of.pop()
+        self.minus.append(-value)
+        self.of.append(of)
+
+    def latest(self, value: float) -> tuple | None:
+        at = bisect.bisect_left(self.minus, -value) - 1
+        return self.of[at] if at >= 0 else None
+
+
+def _both() -> dict[bool, Beyond]:
+    return {True: Beyond(), False: Beyond()}
+
+
+def _in_block(sides: dict[bool, Beyond], part: pd.DataFrame) -> pd.DataFrame:
+    """The latest wave of the block beyond each wave: its number and bar, of those before it or, for questions, of all."""
+    found = []
+    for k, up, h, h_i, low, l_i, ask in zip(*(part[c].tolist() for c in ("k", "is_up", "h", "h_i", "l", "l_i", "ask")), strict=True):
+        found.append(sides[up].latest(h if up else -low))
+        if not ask:
+            sides[True].add(h, (k, h_i))
+            sides[False].add(-low, (k, l_i))
+    return pd.DataFrame([f or (None, None) for f in found], columns=["hit", "hit_i"], dtype=object)
+
+
+def _of_blocks(sides: dict[bool, Beyond], part: pd.DataFrame) -> pd.DataFrame:
+    """The latest earlier block that goes beyond each question; rows that don't ask are the blocks' own extremes."""
+    found = []
+    for block, up, h, low, ask in zip(*(part[c].tolist() for c in ("_block", "is_up", "h", "l", "ask")), strict=True):
+        if ask:
+            found.append(sides[up].latest(h if up else -low))
+        else:
+            found.append(None)
+            sides[True].add(h, (block,))
+            sides[False].add(-low, (block,))
+    return pd.DataFrame([f or (None,) for f in found], columns=["from_block"], dtype=object)
+
+
+def swing_distances(table: DataFrame, block: int = DISTANCE_BLOCK, max_waves: int | None = None) -> DataFrame:
+    """symbol, k and since of each confirmed wave: bars from its extreme back to the latest earlier wave of any side that goes beyond it, or to
+    the first bar that is remembered. Waves are dealt by blocks. Most find their answer in their own block; for the others a walk over the
+    blocks' extremes names the block that has it, and they look there. So one symbol is as many tasks as it has blocks; only questions that
+    a block can't answer, and one row for each block, meet by symbol."""
+    own = confirmed(table).select("symbol", "k", "start_i", "is_up", "h", "h_i", "l", "l_i", F.floor(F.col("k") / block).cast("long").alias("_block"), F.lit(False).alias("ask"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return along(rows.withColumn("_part", F.concat_ws("\n", "symbol", "_block")), _both, _in_block, "hit long, hit_i long", ["ask", "k"], key="_part", fields=["k", "is_up", "h", "h_i", "l", "l_i", "ask"]).drop("_part")
+
+    first = written(dealt(own), "swings-in-blocks")
+    open_ = first.where("hit IS NULL").drop("hit", "hit_i").withColumn("ask", F.lit(True))
+    extremes = first.groupBy("symbol", "_block").agg(F.max("h").alias("h"), F.min("l").alias("l")).select("symbol", F.lit(-1).cast("long").alias("k"), F.lit(True).alias("is_up"), "h", "l", "_block", F.lit(False).alias("ask"))
+    met = open_.select(*extremes.columns).unionByName(extremes).withColumn("_later", ~F.col("ask"))
+    named = along(met, _both, _of_blocks, "from_block long", ["_block", "_later"], fields=["_block", "is_up", "h", "l", "ask"]).where("ask AND from_block IS NOT NULL").select("symbol", "k", "from_block")
+    asked = written(open_.join(named, ["symbol", "k"]).withColumn("_block", F.col("from_block")).select(*own.columns), "swings-asked")
+    there = own.join(asked.select("symbol", "_block").distinct(), ["symbol", "_block"], "left_semi").select(*own.columns)
+    told = dealt(there.unionByName(asked)).where("ask").select("symbol", "k", F.col("hit").alias("far"), F.col("hit_i").alias("far_i"))
+    rows = first.join(told, ["symbol", "k"], "left").withColumns({"hit": F.coalesce("hit", "far"), "hit_i": F.coalesce("hit_i", "far_i")})
+    at = F.when(F.col("is_up"), F.col("h_i")).otherwise(F.col("l_i"))
+    oldest = F.coalesce(F.lag("start_i", max_waves).over(by_wave()), F.lit(0)) if max_waves is not None else F.lit(0)
+    known = F.col("hit").isNotNull() & (F.col("hit") >= F.col("k") - (max_waves if max_waves is not None else F.col("k")))
+    return rows.select("symbol", "k", F.when(known, at - F.col("hit_i") - 1).otherwise(at - oldest).cast("int").alias("since"))
+
+
 def evicted(table: DataFrame, max_waves: int) -> DataFrame:
     """The waves of a bounded registry: the forming one and the newest max_waves confirmed ones of each symbol."""
     newest = F.max("k").over(Window.partitionBy("symbol"))

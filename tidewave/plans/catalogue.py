@@ -122,7 +122,7 @@ def wave_tables() -> None:
     places = ["high_i", "low_i", "h_i", "l_i", "start_i", "end_i", "n_bars", "formation_i"]
     query("wave_extrema", lambda s, d: table(s, d).select("symbol", "wave_id", "side", "volume", *extrema, *places), f"{oracle.upto('wv')} SELECT symbol, wave_id, side, {r6('volume', *extrema)}, {whole(*places)} FROM wall")
     query("current_wave", lambda s, d: accessors.current_wave(table(s, d)).select("symbol", "wave_id", "side", "high", "low", "n_bars"), f"{oracle.upto('wv')} SELECT symbol, wave_id, side, {r6('high', 'low')}, {whole('n_bars')} FROM wall WHERE is_forming")
-    query("wave_high_low_since", lambda s, d: wv.wave_history(table(s, d)).select("symbol", "k", "since"), f"{oracle.upto('since')} SELECT symbol, {whole('k', 'since')} FROM since")
+    query("wave_high_low_since", lambda s, d: wv.swing_distances(table(s, d)), f"{oracle.upto('since')} SELECT symbol, {whole('k', 'since')} FROM since")
     pull = ["pullback_breakout_level", "pullback_price_diff", "pullback_correction_factor"]
     query("wave_pullback", lambda s, d: wv.pullback(wv.confirmed(table(s, d))).select("symbol", "wave_id", "pullback_length", *pull), f"{oracle.upto('fact')} SELECT symbol, wave_id, {whole('pullback_length')}, {r6(*pull)} FROM fact")
     facts = ["volume", "amplitude", "slope", "volume_ratio", "amplitude_ratio"]
