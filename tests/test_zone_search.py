@@ -35,9 +35,6 @@ def test_a_side_equals_a_walk_over_all_waves(up, keep):
             assert side.overlapping(low, high) == len(meets)
             touch = [w[at] for w in meets if w in waves[: len(waves) - but] and (w[far] >= high if up else w[far] <= low)]
             assert side.earliest(low, high, but) == min(touch, default=np.inf)
-    again = wv.Side(up, 2)
-    again.restore(side.saved())
-    assert again.overlapping(level - 9, level + 9) == side.overlapping(level - 9, level + 9) and again.earliest(level, level + 1, 1) == side.earliest(level, level + 1, 1)
 
 
 def test_a_wave_costs_about_the_same_however_many_there_are():

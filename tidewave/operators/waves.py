@@ -255,13 +255,6 @@ class Side:
         at = self.touch.first(*((low, high) if self.up else (-high, -low)), self.begin, self.n - but)
         return float(self.rows[3, at]) if at >= 0 else float(np.inf)
 
-    def saved(self) -> list:
-        return [self.recent, self.rows[:, self.begin : self.n].tolist()]
-
-    def restore(self, saved: list) -> None:
-        self.recent = saved[0]
-        self._hold(np.array(saved[1], float).reshape(5, -1))
-
 
 class History:
     """What the wave kernel remembers of a symbol: open ranges for `since`, and the bodies of past tops and bottoms. With max_waves
@@ -341,6 +334,21 @@ def _zone_step(h: History, w: dict, proximity: int, multiple: float, share: floa
     h.zone[up] = {c: z[c] for c in ("low", "high", "wick_low", "wick_high", "double")} | {"overlaps": count, "anchor_time": float(first), "formation_i": w["formation_i"]}
 
 
+def remember(h: History, w: dict) -> None:
+    """Take one more confirmed wave into the history, and forget what is too old."""
+    for stack, value, at in ((h.highs, w["h"], w["h_i"]), (h.lows, -w["l"], w["l_i"])):
+        while stack and stack[-1][0] <= value:
+            stack.pop()
+        stack.append((value, int(at), w["k"]))
+    h.sides[w["is_up"]].add(w)
+    if h.max_waves is not None:
+        h.begins = [*h.begins, int(w["start_i"])][-h.max_waves :]
+        for side in h.sides.values():
+            side.forget(w["k"] - h.max_waves + 1)
+        # ranges that began in forgotten waves can't be an answer any more
+        h.highs, h.lows = ([x for x in s if x[2] >= w["k"] - h.max_waves] if s and s[0][2] < w["k"] - h.max_waves else s for s in (h.highs, h.lows))
+
+
 def wave_step(h: History, w: dict, proximity: int = 2, multiple: float = 0.3, share: float = 0.004) -> dict:
     """Take one more confirmed wave into the history; returns its row of KERNEL_SCHEMA. The zone of an anchor is fixed when the anchor is
     confirmed; only touches from the other side are counted anew."""
@@ -349,16 +357,8 @@ def wave_step(h: History, w: dict, proximity: int = 2, multiple: float = 0.3, sh
     start = h.begins[0] if h.begins and h.max_waves is not None else 0
     # a wave's own extreme closes the ranges of smaller ones, on both sides
     high, low = since(h.highs, w["h"], int(w["h_i"]), oldest, start), since(h.lows, -w["l"], int(w["l_i"]), oldest, start)
-    h.highs.append((w["h"], int(w["h_i"]), w["k"]))
-    h.lows.append((-w["l"], int(w["l_i"]), w["k"]))
     _zone_step(h, w, proximity, multiple, share)
-    h.sides[up].add(w)
-    if h.max_waves is not None:
-        h.begins = [*h.begins, int(w["start_i"])][-h.max_waves :]
-        for side in h.sides.values():
-            side.forget(w["k"] - h.max_waves + 1)
-        # ranges that began in forgotten waves can't be an answer any more
-        h.highs, h.lows = ([x for x in s if x[2] >= w["k"] - h.max_waves] if s and s[0][2] < w["k"] - h.max_waves else s for s in (h.highs, h.lows))
+    remember(h, w)
     row = {"symbol": w.get("symbol"), "k": w["k"], "since": high if up else low}
     for side, name in ((False, "support"), (True, "resistance")):
         z = h.zone[side]

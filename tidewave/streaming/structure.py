@@ -1,8 +1,10 @@
 """Structure of a stream of bars, bar by bar: the columns of project(), as the batch query gives them for closed bars.
 
-State of a symbol: averages, the forming wave, the newest few confirmed waves, the columns as of the last one, the lifecycle of both
-zones, and of older waves the few numbers that zones and distances look back at, of the newest max_waves only. It is
-kept as JSON text, which holds floats exactly. Bars of a micro-batch are sorted before they are folded in.
+State of a symbol: averages, the forming wave, the newest few confirmed waves, the columns as of the last one and the lifecycle of both
+zones are one value; the waves that zones and distances look back at, the newest max_waves only, are entries of a map, written when a wave
+is confirmed and removed when it is forgotten. So what a micro-batch writes doesn't grow with max_waves. Both are JSON text, which holds
+floats exactly. Bars of a micro-batch are sorted before they are folded in. symbol_states() has the same state after a batch of bars, so that a
+stream can go on where a table ends.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewave.operators import lifecycle
 from tidewave.operators import waves as wv
-from tidewave.operators.indicators import Ema, Oscillator, advance
+from tidewave.operators.indicators import Ema, Oscillator, advance, along, plain
 from tidewave.operators.projection import LIFE, WHOLE, ZONES, check_columns
+from tidewave.operators.timeframes import check_timeframes
 
 EMAS = ("up", "up2", "size", "size2", "signal")
 TEXTS = ("wave_side", "wave_id")
@@ -124,11 +128,15 @@ def quality(overlaps: int, double: bool, width: float, atr: float | None, age: i
 class Symbol:
     """The state of one symbol."""
 
-    def __init__(self, columns: Iterable[str] | None, r: int, s: int, signal: int, period: int, max_waves: int | None, retest_mode: str, saved: str | None):
+    def __init__(self, columns: Iterable[str] | None, r: int, s: int, signal: int, period: int, max_waves: int | None, retest_mode: str, saved: str | None, waves: dict[int, dict] | None = None):
         self.columns, self.max_waves, self.wick = check_columns(columns), max_waves, retest_mode == "wick"
         self.zoned = bool(set(self.columns) & set(ZONES + LIFE))
         self.osc = Oscillator(r, s, signal, period)
         d = json.loads(saved) if saved else {}
+        #: What a state can be gone on with.
+        self.made_for = [self.zoned, r, s, signal, period, max_waves, retest_mode]
+        if saved and d["made_for"] != self.made_for:
+            raise ValueError(f"a state made for {d['made_for']} can't be used for {self.made_for}")
         for name, last in d.get("emas", {}).items():
             ema: Ema = getattr(self.osc, name)
             ema.last = np.nan if last is None else last
@@ -144,21 +152,16 @@ class Symbol:
             z = self.zones[name]
             z.state, z.count, z.bounds = state, count, tuple(bounds) if bounds else None
         self.history = wv.History(2, max_waves)
-        if "history" in d:
-            self._remember(d["history"])
-
-    def _remember(self, d: dict) -> None:
-        h = self.history
-        h.highs, h.lows, h.begins = [tuple(x) for x in d["highs"]], [tuple(x) for x in d["lows"]], d["begins"]
-        for up, held in zip((True, False), d["sides"], strict=True):
-            h.sides[up].restore(held)
-            h.zone[up] = d["zone"][0 if up else 1]
+        #: Waves in the history by number, those that are new since the state was read, and those that are gone since.
+        self.held, self.added, self.dropped = dict(waves or {}), set(), set()
+        for k in sorted(self.held):
+            wv.remember(self.history, self.held[k])
+        self.history.zone = dict(zip((True, False), d.get("zone", (None, None)), strict=True))
 
     def saved(self) -> str:
         o, h = self.osc, self.history
         plain = {n: getattr(self, n) for n in ("last_time", "i", "k", "up", "waves", "snap", "before", "runs", "top_i", "bottom_i", "calm")}
-        sides = [h.sides[True].saved(), h.sides[False].saved()]
-        held = {"history": {"highs": h.highs, "lows": h.lows, "begins": h.begins, "sides": sides, "zone": [h.zone[True], h.zone[False]]}} if self.zoned else {}
+        held = {"zone": [h.zone[True], h.zone[False]], "made_for": self.made_for}
         emas = {n: clean(getattr(o, n).last) for n in EMAS}
         zones = {n: (z.state, z.count, z.bounds) for n, z in self.zones.items()}
         return json.dumps(plain | held | {"forming": self.forming.w, "zones": zones, "emas": emas, "close": clean(o.close), "atr": clean(o.atr), "first": [float(x) for x in o.first]})
@@ -193,7 +196,12 @@ class Symbol:
             "pullback_atr_factor": ratio(None if diff is None else abs(diff), atr), "rises": rises, "falls": falls,
         }
         if self.zoned:
-            found = wv.wave_step(self.history, {c: w[c] for c in wv.KERNEL_FIELDS})
+            kept = {c: w[c] for c in wv.KERNEL_FIELDS}
+            found = wv.wave_step(self.history, kept)
+            self.held[self.k] = kept
+            self.added.add(self.k)
+            if self.max_waves is not None and self.held.pop(self.k - self.max_waves, None):
+                self.dropped.add(self.k - self.max_waves)
             w["since"] = found["since"]
             own, prev = w["since"], last["since"] if last else None
             self.snap |= {"high_since": own if up else prev, "low_since": prev if up else own}
@@ -252,41 +260,179 @@ class Symbol:
         return [b["open_time"], close, *(out.get(c) for c in self.columns)]
 
 
+    def take(self, bars: pd.DataFrame) -> list[list]:
+        """Take bars in order of time, none of them late or repeated; returns a row of bar() for each."""
+        if not len(bars):
+            return []
+        high, low, close = (bars[c].to_numpy(np.float64) for c in ("high", "low", "close"))
+        _, _, hist, atr = advance(self.osc, high, low, close)
+        records = [{"open_time": int(b["open_time"]), "volume": clean(b["volume"])} | {c: float(b[c]) for c in ("open", "high", "low", "close")} for b in bars.to_dict("records")]
+        self.last_time = records[-1]["open_time"]
+        return [self.bar(b, h, a) for b, h, a in zip(records, hist, atr, strict=True)]
+
+
+#: What can keep a bar from being taken.
+LATE, REPEATED, BROKEN = "late", "repeated", "broken"
+DROP, FAIL, MARK = "drop", "fail", "mark"
+
+
+def sorted_out(bars: pd.DataFrame, last_time: int | None) -> pd.DataFrame:
+    """bars in order of time, with status: null for those to be taken. A bar without a price is broken, one before last_time late; one whose
+    open_time has been taken is repeated."""
+    bars = bars.sort_values("open_time", kind="stable", ignore_index=True)
+    broken = bars[["open_time", "open", "high", "low", "close"]].isna().any(axis=1).to_numpy()
+    time = bars["open_time"].to_numpy(np.float64, na_value=np.nan)
+    known = -np.inf if last_time is None else last_time
+    first = pd.Series(np.where(broken, np.nan, time)).duplicated().to_numpy()
+    status = np.select([broken, time < known, (time == known) | first], [BROKEN, LATE, REPEATED], default="")
+    return bars.assign(status=pd.Series(status, dtype=object).replace("", None))
+
+
 class BarProcessor(StatefulProcessor):
-    """Folds new bars of a symbol into its state. A repeated open_time keeps its first version; an older one is dropped, or an
-    error in strict mode."""
+    """Folds new bars of a symbol into its state. A repeated open_time keeps its first version. What isn't taken is dropped, is an error
+    (fail: late and broken bars), or has a row with its status and no columns (mark)."""
 
-    def __init__(self, columns: Iterable[str] | None, options: tuple, strict: bool, prefix: str):
-        self.columns, self.options, self.strict = check_columns(columns), options, strict
+    def __init__(self, columns: Iterable[str] | None, options: tuple, late: str, prefix: str):
+        self.columns, self.options, self.late = check_columns(columns), options, late
         self.kinds = {f"{prefix}{c}": {"string": "object", "long": "Int64", "boolean": "boolean", "double": "float64"}[kind_of(c)] for c in self.columns}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("symbol", "saved string")
+        self.waves = handle.getMapState("waves", "k long", "wave string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:  # noqa: N802, N803
+        row = initialState.iloc[0]
+        self.state.update((row["saved"],))
+        for w in json.loads(row["waves"]):
+            self.waves.updateValue((w["k"],), (json.dumps(w),))
+
+    def read(self) -> Symbol:
         saved = self.state.get()
-        symbol = Symbol(self.columns, *self.options, saved[0] if saved else None)
-        bars = pd.concat(list(rows)).sort_values("open_time", kind="stable").drop_duplicates("open_time")
-        if symbol.last_time is not None:
-            if self.strict and (bars["open_time"] < symbol.last_time).any():
-                raise LateBarError(f"{key[0]}: a bar before {symbol.last_time}")
-            bars = bars[bars["open_time"] > symbol.last_time]
-        if len(bars):
-            high, low, close = (bars[c].to_numpy(np.float64) for c in ("high", "low", "close"))
-            _, _, hist, atr = advance(symbol.osc, high, low, close)
-            records = [{"open_time": int(b["open_time"]), "volume": clean(b["volume"])} | {c: float(b[c]) for c in ("open", "high", "low", "close")} for b in bars.to_dict("records")]
-            out = [[key[0], *symbol.bar(b, h, a)] for b, h, a in zip(records, hist, atr, strict=True)]
-            symbol.last_time = records[-1]["open_time"]
-            self.state.update((symbol.saved(),))
-            yield pd.DataFrame(out, columns=["symbol", "open_time", "close", *self.kinds]).astype(self.kinds)
+        waves = {int(k[0]): json.loads(w[0]) for k, w in self.waves.iterator()} if saved else {}
+        return Symbol(self.columns, *self.options, saved[0] if saved else None, waves)
+
+    def write(self, symbol: Symbol) -> None:
+        for k in sorted(symbol.added & symbol.held.keys()):
+            self.waves.updateValue((k,), (json.dumps(symbol.held[k]),))
+        for k in sorted(symbol.dropped - symbol.added):
+            self.waves.removeKey((k,))
+        self.state.update((symbol.saved(),))
+
+    def told(self, key: tuple, bars: pd.DataFrame, rows: list[list]) -> pd.DataFrame:
+        """Output: rows of the bars that were taken, and with `mark` of those that weren't."""
+        good = bars["status"].isna()
+        out = pd.DataFrame([[key[0], *r] for r in rows], columns=["symbol", "open_time", "close", *self.kinds])
+        if self.late == MARK:
+            rest = bars[~good]
+            left = pd.DataFrame({"symbol": key[0], "open_time": rest["open_time"], "close": rest["close"], "status": rest["status"]})
+            out = pd.concat([out.assign(status=None).astype(object), left.astype(object)], ignore_index=True).reindex(columns=["symbol", "open_time", "close", *self.kinds, "status"])
+            out = out.where(out.notna(), None)
+        return out.astype({"open_time": "Int64", "close": "float64", **self.kinds})
+
+    def sort_out(self, key: tuple, rows: Iterator[pd.DataFrame], last_time: int | None) -> pd.DataFrame:
+        bars = sorted_out(pd.concat(list(rows)), last_time)
+        if self.late == FAIL and bars["status"].isin([LATE, BROKEN]).any():
+            raise LateBarError(f"{key[0]}: a bar before {last_time}, or without a price")
+        return bars
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        symbol = self.read()
+        bars = self.sort_out(key, rows, symbol.last_time)
+        found = symbol.take(bars[bars["status"].isna()])
+        if found:
+            self.write(symbol)
+        yield self.told(key, bars, found)
 
     def close(self) -> None:
         pass
 
 
-def stream_structure(bars: DataFrame, columns: Iterable[str] | None = None, r: int = 12, s: int = 8, signal_period: int = 4, atr_period: int = 14, strict: bool = False, max_waves: int | None = 200, retest_mode: str = "wick", prefix: str = "ms_") -> DataFrame:
+class HigherProcessor(BarProcessor):
+    """Lower bars with the columns of the last higher bar that has closed. A higher bar grows from lower ones, and closes when one of a later
+    bin comes; then it is folded into the structure, and what that says is kept for the bars to come."""
+
+    def __init__(self, columns: Iterable[str] | None, options: tuple, late: str, prefix: str, length: int):
+        super().__init__(columns, options, late, prefix)
+        self.length = length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.higher = handle.getValueState("higher", "saved string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        saved = self.higher.get()
+        d = json.loads(saved[0]) if saved else {"time": None, "bin": None, "row": [None] * len(self.columns)}
+        bars = self.sort_out(key, rows, d["time"])
+        good = bars[bars["status"].isna()]
+        closed, before, now = [], [], d["bin"]
+        for b in good.to_dict("records"):
+            begin, volume = int(b["open_time"]) // self.length * self.length, clean(b["volume"])
+            if now and begin > now["open_time"]:
+                closed.append(now)
+                now = None
+            before.append(len(closed))
+            if now is None:
+                now = {"open_time": begin, "open": float(b["open"]), "high": float(b["high"]), "low": float(b["low"]), "close": float(b["close"]), "volume": volume}
+            else:
+                now.update(high=max(now["high"], float(b["high"])), low=min(now["low"], float(b["low"])), close=float(b["close"]), volume=now["volume"] if volume is None else (now["volume"] or 0.0) + volume)
+        told = [d["row"]]
+        if closed:
+            symbol = self.read()
+            told += [r[2:] for r in symbol.take(pd.DataFrame(closed))]
+            self.write(symbol)
+        if len(good):
+            self.higher.update((json.dumps({"time": int(good["open_time"].iloc[-1]), "bin": now, "row": told[-1]}),))
+        yield self.told(key, bars, [[int(t), float(c), *told[n]] for t, c, n in zip(good["open_time"], good["close"], before, strict=True)])
+
+
+def symbol_states(bars: DataFrame, columns: Iterable[str] | None = None, r: int = 12, s: int = 8, signal_period: int = 4, atr_period: int = 14, max_waves: int | None = 200, retest_mode: str = "wick") -> DataFrame:
+    """symbol, saved and waves: the state of each symbol after these bars, for stream_structure(history=...) with the same columns and
+    options. One ordered pass, as a stream of all of them would make."""
+
+    class Walk:
+        def __init__(self) -> None:
+            self.name, self.symbol = "", Symbol(columns, r, s, signal_period, atr_period, max_waves, retest_mode, None)
+
+    def step(walk: Walk, part: pd.DataFrame) -> None:
+        walk.name = part["symbol"].iloc[0]
+        part = sorted_out(part, walk.symbol.last_time)
+        walk.symbol.take(part[part["status"].isna()])
+
+    def finish(walk: Walk) -> pd.DataFrame:
+        waves = [walk.symbol.held[k] for k in sorted(walk.symbol.held)]
+        return pd.DataFrame({"symbol": [walk.name], "saved": [walk.symbol.saved()], "waves": [json.dumps(waves)]})
+
+    return along(plain(bars.drop("hist")), Walk, step, "symbol string, saved string, waves string", ["open_time"], finish=finish)
+
+
+def _late(late: str, strict: bool) -> str:
+    if late not in (DROP, FAIL, MARK):
+        raise ValueError(f"late is one of {DROP}, {FAIL} and {MARK}")
+    return FAIL if strict else late
+
+
+def stream_structure(bars: DataFrame, columns: Iterable[str] | None = None, r: int = 12, s: int = 8, signal_period: int = 4, atr_period: int = 14, strict: bool = False, max_waves: int | None = 200, retest_mode: str = "wick", prefix: str = "ms_", late: str = DROP, history: DataFrame | None = None) -> DataFrame:
     """A row for each new bar of a streaming bar table: the wanted columns (None: all 67), as project() with the same max_waves gives
     them for closed bars; wave_id names the wave that is forming at the bar. With max_waves None nothing is forgotten, and state grows by some
-    numbers a wave. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
-    options = (r, s, signal_period, atr_period, max_waves, retest_mode)
-    return bars.groupBy("symbol").transformWithStateInPandas(BarProcessor(columns, options, strict, prefix), output_schema(columns, prefix), "Append", "None")
+    numbers a wave. late: what becomes of bars that can't be taken any more: drop, fail (as strict does) or mark, which gives each a row with
+    its status (late, repeated or broken; null for bars that are taken). history: symbol_states() of the bars before the stream.
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
+    options, late = (r, s, signal_period, atr_period, max_waves, retest_mode), _late(late, strict)
+    schema = output_schema(columns, prefix) + (", status string" if late == MARK else "")
+    return bars.groupBy("symbol").transformWithStateInPandas(BarProcessor(columns, options, late, prefix), schema, "Append", "None", history.groupBy("symbol") if history is not None else None)
+
+
+def stream_higher(bars: DataFrame, columns: Iterable[str] | None = None, *, htf: str, ltf: str, r: int = 12, s: int = 8, signal_period: int = 4, atr_period: int = 14, max_waves: int | None = 200, retest_mode: str = "wick", late: str = DROP) -> DataFrame:
+    """A row for each new bar of a stream of lower bars: the wanted columns of the last higher bar that had closed when it opened, as
+    ms_{htf}_*, as project_higher() gives them; nulls before the first one has closed. late: as in stream_structure."""
+    length, _ = check_timeframes(htf, ltf)
+    options, late, prefix = (r, s, signal_period, atr_period, max_waves, retest_mode), _late(late, False), f"ms_{htf}_"
+    schema = output_schema(columns, prefix) + (", status string" if late == MARK else "")
+    return bars.groupBy("symbol").transformWithStateInPandas(HigherProcessor(columns, options, late, prefix, length), schema, "Append", "None")
+
+
+def with_counts(marked: DataFrame, name: str = "bars") -> DataFrame:
+    """A stream that marks late bars, with how many bars were taken, late, repeated and broken as observed metrics of each micro-batch
+    (query.lastProgress["observedMetrics"][name])."""
+    counts = [F.count_if(F.col("status") == c).alias(c) for c in (LATE, REPEATED, BROKEN)]
+    return marked.observe(name, F.count_if(F.col("status").isNull()).alias("taken"), *counts)
