@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewave.operators import accessors, lifecycle, spans, strategies, timeframes, trades
 from tidewave.operators import waves as wv
 from tidewave.operators.projection import ALL_COLUMNS, check_columns, project
-from tidewave.sources.bars import normalise
+from tidewave.sources.bars import normalise, quarantined
 
 BARS = "symbol string, open_time long, open double, high double, low double, close double, volume double, hist double"
 SEVEN = [
@@ -63,6 +63,25 @@ def test_unknown_columns_are_an_error():
     assert check_columns(()) == [] and len(check_columns(None)) == 67
 
 
+def test_bad_bars_are_put_aside(spark):
+    nan = float("nan")
+    rows = [("a", 1, 2.0, 3.0, 1.0, 2.0), ("a", 2, 2.0, None, 1.0, 2.0), ("a", 3, 2.0, 3.0, 1.0, nan), ("b", 1, 2.0, 3.0, 1.0, 2.0), (None, 1, 2.0, 3.0, 1.0, 2.0), ("b", None, 2.0, 3.0, 1.0, 2.0), ("c", 1, 2.0, 1.5, 1.0, 2.0), ("c", 2, 2.0, 3.0, 2.5, 2.0), ("d", 5, 1.0, 1.0, 1.0, 1.0)]
+    bars = spark.createDataFrame([(*r, 1.0) for r in rows], "symbol string, open_time long, open double, high double, low double, close double, volume double")
+    sound, bad = quarantined(bars)
+    assert sorted((r.symbol, r.open_time) for r in sound.collect()) == [("a", 1), ("b", 1), ("d", 5)] and sound.columns == bars.columns
+    assert sorted((str(r.symbol), r.open_time, r.fault) for r in bad.collect() if r.open_time) == [("None", 1, "no symbol"), ("a", 2, "no price"), ("a", 3, "no price"), ("c", 1, "prices out of order"), ("c", 2, "prices out of order")]
+    sound, bad = quarantined(bars, whole_symbols=True)
+    assert [r.symbol for r in sound.collect()] == ["d"] and bad.count() == 8 and bad.where("fault IS NULL").count() == 2
+    assert project(quarantined(bars)[0], ["atr"]).count() == 3
+
+
+def test_alternation_is_enforced(spark):
+    waves = spark.createDataFrame([("a", k, f"w-{k}", s) for k, s in enumerate("up down up up".split())], "symbol string, k long, wave_id string, side string")
+    assert wv.alternating(waves.where("k < 3")).count() == 3
+    with pytest.raises(Exception, match="wave w-3 of a is on the same side"):
+        wv.alternating(waves).collect()
+
+
 def test_nulls_and_nan_count_as_down(spark):
     bars = spark.createDataFrame([("a", 1000 * t, 1.0, 2.0, 0.5, 1.0, 1.0, x) for t, x in enumerate([None, float("nan"), 0.0, -1.0])], BARS)
     assert [r.is_up for r in wv.segment(normalise(bars, "hist")).orderBy("i").collect()] == [False, False, True, False]

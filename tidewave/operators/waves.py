@@ -471,6 +471,12 @@ def alternation_faults(table: DataFrame) -> DataFrame:
     return table.withColumn("_before", F.lag("side").over(by_wave())).where("_before = side").drop("_before")
 
 
+def alternating(table: DataFrame) -> DataFrame:
+    """The same waves; reading one that is on the same side as the one before it is an error."""
+    said = F.concat(F.lit("wave "), F.col("wave_id"), F.lit(" of "), F.col("symbol"), F.lit(" is on the same side as the one before it"))
+    return table.withColumn("side", F.when(F.lag("side").over(by_wave()) == F.col("side"), F.raise_error(said)).otherwise(F.col("side")))
+
+
 def bar_counts(bars: DataFrame) -> DataFrame:
     """Registered bars of each symbol: different open_times."""
     return bars.groupBy("symbol").agg(F.countDistinct("open_time").alias("n_bars"))

@@ -123,6 +123,7 @@ def wave_tables() -> None:
     query("wave_extrema", lambda s, d: table(s, d).select("symbol", "wave_id", "side", "volume", *extrema, *places), f"{oracle.upto('wv')} SELECT symbol, wave_id, side, {r6('volume', *extrema)}, {whole(*places)} FROM wall")
     query("current_wave", lambda s, d: accessors.current_wave(table(s, d)).select("symbol", "wave_id", "side", "high", "low", "n_bars"), f"{oracle.upto('wv')} SELECT symbol, wave_id, side, {r6('high', 'low')}, {whole('n_bars')} FROM wall WHERE is_forming")
     query("wave_high_low_since", lambda s, d: wv.swing_distances(table(s, d)), f"{oracle.upto('since')} SELECT symbol, {whole('k', 'since')} FROM since")
+    query("wave_distances_in_blocks", lambda s, d: wv.swing_distances(table(s, d), block=50), f"{oracle.upto('since')} SELECT symbol, {whole('k', 'since')} FROM since")
     pull = ["pullback_breakout_level", "pullback_price_diff", "pullback_correction_factor"]
     query("wave_pullback", lambda s, d: wv.pullback(wv.confirmed(table(s, d))).select("symbol", "wave_id", "pullback_length", *pull), f"{oracle.upto('fact')} SELECT symbol, wave_id, {whole('pullback_length')}, {r6(*pull)} FROM fact")
     facts = ["volume", "amplitude", "slope", "volume_ratio", "amplitude_ratio"]
@@ -170,7 +171,7 @@ FROM anchor WHERE is_up = {str(side == 'resistance').lower()}""")
     query("registered_bars", lambda s, d: wv.bar_counts(event_bars(s, d)), f"WITH {oracle.bars_sql()} SELECT symbol, CAST(count(DISTINCT open_time) AS BIGINT) AS n_bars FROM bars GROUP BY symbol")
 
     def faults(s: SparkSession, d: str) -> DataFrame:
-        t = table(s, d)
+        t = wv.alternating(table(s, d))
         found = wv.alternation_faults(t).groupBy("symbol").agg(F.count("*").alias("n_faults"))
         return t.groupBy("symbol").agg(F.count("*").alias("n_waves")).join(found, "symbol", "left").select("symbol", "n_waves", F.coalesce("n_faults", F.lit(0)).alias("n_faults"))
 

@@ -41,6 +41,29 @@ def normalise(bars: DataFrame, hist: str | None = None, symbol: str | None = Non
     return bars.select(owner.alias("symbol"), when.alias("open_time"), *numbers, *extra)
 
 
+def with_fault(bars: DataFrame) -> DataFrame:
+    """bars with what is wrong with each (fault), null for a sound one: no symbol, no time, no price, or a low above or a high below the others."""
+
+    def number(c: str) -> Column:
+        return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+    prices = [number(c) for c in ("open", "high", "low", "close")]
+    missing = F.col("symbol").isNull(), F.col("open_time").isNull(), F.greatest(*(p.isNull() for p in prices))
+    crossed = (number("low") > F.least(*prices)) | (number("high") < F.greatest(*prices))
+    return bars.withColumn("fault", F.when(missing[0], "no symbol").when(missing[1], "no time").when(missing[2], "no price").when(crossed, "prices out of order"))
+
+
+def quarantined(bars: DataFrame, whole_symbols: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sound bars, and the others with their fault, so that one bad bar doesn't stop a job. An average goes on over the gap of a bar that is
+    left out; with whole_symbols a symbol that has a bad bar is put aside whole, its sound bars without a fault."""
+    rows = with_fault(bars)
+    if not whole_symbols:
+        return rows.where("fault IS NULL").drop("fault"), rows.where("fault IS NOT NULL")
+    bad = rows.where("fault IS NOT NULL").select(F.col("symbol").alias("_bad")).distinct()
+    held = F.col("symbol").eqNullSafe(F.col("_bad"))
+    return rows.join(bad, held, "left_anti").drop("fault"), rows.join(bad, held, "left_semi")
+
+
 def read_ohlcv_json(spark: SparkSession, path: str, symbol: Column | None = None) -> DataFrame:
     """Files of one array of bars each, with ISO openTime. Without a symbol the file's name (before .json) is it. hist is the histogram
     of a TSI 25/13/7 of the closes, 0 where it can't be computed yet; a file's own tsi_histogram goes before it."""
