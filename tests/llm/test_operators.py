@@ -182,6 +182,23 @@ def texts_of(spark, pages):
     return {r.page_id: r.text for r in html_text.main_text(df).collect()}
 
 
+@pytest.mark.parametrize("name", "comment-list comments-area user-comments post-comments site-footer site-header sidebar-left sidebar__inner menu-items main-menu top-nav nav-links ad-slot ad-container advertisement-box cookie-bar cookieConsent gdpr newsletter-form related-posts promo-box share-buttons widget-area".split())
+def test_usual_names_on_a_host_of_one_page(name):
+    prose = " ".join(["Text of the article that is long enough."] * 6)
+    for page in (f"<body><article><p>{prose}</p><div class='{name}'><p>beside it</p></div></article></body>", f"<body><div class='{name}'>beside it</div><article><p>{prose}</p></article><section id=\"{name}\"><p>more</p></section></body>"):
+        blocks, _ = html_text.parse(page)
+        assert [b.text for b in blocks if not b.cut] == [prose]
+
+
+def test_names_that_are_text_and_text_that_is_hidden():
+    prose = " ".join(["Text of the article that is long enough."] * 6)
+    shown = lambda page: [b.text for b in html_text.parse(page)[0] if not b.cut]
+    assert shown(f"<article><p>{prose}</p><p class='legal'>A law.</p><section class='social'><h2>Society</h2><p>People.</p></section><div class='post-header'>Lead.</div></article>") == [prose, "A law.", "Society", "People.", "Lead."]
+    assert shown(f"<body class='has-sidebar'><div class='with-sidebar'><p>{prose}</p></div><div style='color: red; display: none'>gone</div><p hidden>gone</p><div data-hidden='x'>stays</div></body>") == [prose, "stays"]
+    comments = "<ol class='comment-list'><li><article class='comment-body'><p>A reader's opinion.</p></article></li></ol>"
+    assert shown(f"<body><article><p>{prose}</p></article>{comments}</body>") == [prose]
+
+
 def test_style_tree_cuts_what_stands_in_every_article_of_a_host(spark):
     page = lambda k: f"<article><h1>Head {k}</h1><p>This is told only on page {k} of the host.</p><p>Read us daily.</p></article><p>Outside {k}</p>"
     got = texts_of(spark, [(f"http://many.example/{k}", page(k)) for k in range(12)] + [("http://few.example/", page(50))])

@@ -15,7 +15,9 @@ stands on nearly all pages that have its node (importance under LEAST_TEXT), or
 headings directly in an article are cut by the first only. Texts on nearly all pages stay where they are most of a page's text:
 then the pages are copies of one another. What the trees keep is checked by names, which alone decide on hosts with fewer pages:
 elements that never are main text (navigation, footers, scripts ...) and those with a class, id or role that names such a part are
-cut. A name is a whole token with no other words (comments, ad-banner; not has-sidebar). It cuts no element that holds an article or
+cut. A name is a token whose words all name such parts or say where and what shape they are (comments, ad-slot, site-footer, cookieConsent;
+not has-sidebar or post-header). A few words also name what an article holds (legal, social, notice): on paragraphs, sections and the like in
+an article they cut nothing. Elements that aren't displayed (hidden, display: none) are cut. A name cuts no element that holds an article or
 main, unless the articles outside such elements have more text, and without articles outside none that holds most of the page's text.
 Forms go by the same rule. Text outside articles is text like other text.
 
@@ -26,6 +28,7 @@ repeated rows. Other columns are ignored. Unclosed elements and cut-off pages ar
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -54,8 +57,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NEVER = frozenset("head script style noscript template nav footer aside button select option textarea iframe object svg canvas audio video dialog menu".split())
 #: Words in a class, id or role that name a part beside the main text.
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
+    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Words that say where such a part is, or its shape.
+AROUND_WORDS = frozenset(
+    "area areas article bar bars block body bottom box boxes btn button buttons cell col column container content desktop entry feed fixed floating form frame global group holder icon icons inline inner item items label left link links list lists main mobile outer overlay page panel post posts primary right row secondary section site slot slots sticky text thread title top unit user users wrap wrapper zone".split()
+)
+#: Words of side parts that also name parts of an article, and the words beside which they do.
+MILD_WORDS, OWN_WORDS = frozenset("banner footer header legal notice notices social".split()), frozenset("article block body content entry item items list page post posts section text title".split())
+#: Elements that hold an article's text where a mild word is their class.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre section figure figcaption ul ol li dl dt dd table td th".split())
 #: Elements whose text is prose where they stand directly in an article.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption br hr".split())
 #: Elements that a class can't make a side part: their classes describe the page.
@@ -68,6 +79,21 @@ _REST = r"(?>=\s*+(?>\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=])*+"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe)(?=[\s/>])(?P<rest>{_REST})>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>|</[^a-zA-Z][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>{_REST})(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|\bstyle\s*=\s*[\"']?[^\"'>]*display\s*:\s*none", re.I)
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def side_name(token: str) -> int:
+    """Whether a token of a class, id or role names a side part: 2, 1 if mildly, 0 if not."""
+    words = WORD.findall(HUMP.sub("-", token).lower())
+    side = [w for w in words if w in ASIDE_WORDS]
+    others = [w for w in words if w not in ASIDE_WORDS]
+    if not side or not AROUND_WORDS.issuperset(others):
+        return 0
+    if MILD_WORDS.issuperset(side):
+        return 0 if not OWN_WORDS.isdisjoint(others) else 1
+    return 2
 
 
 @dataclass
@@ -175,15 +201,17 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
                 if stack[k].name not in INLINE:
                     break
         flush()
-        marks = " ".join(v for m in ATTRIBUTE.finditer(token["attributes"]) for v in m.groups()[1:] if v).lower() if token["attributes"] else ""
-        words = set(WORD.findall(marks))
+        marks = " ".join(v for m in ATTRIBUTE.finditer(token["attributes"]) for v in m.groups()[1:] if v) if token["attributes"] else ""
+        words = set(WORD.findall(marks.lower()))
         # classes by whole tokens; ids and the classes of a whole page are often numbers of it
         classes = {t for m in ATTRIBUTE.finditer(token["attributes"]) if m[1].lower() == "class" for v in m.groups()[1:] if v for t in v.split()} if marks and name not in WHOLE else set()
         step = name + ("." + ".".join(sorted(classes)) if classes else "")
         place.children.append(step)
-        named = name == "form" or (name not in WHOLE and not words.isdisjoint(ASIDE_WORDS) and any(t and ASIDE_WORDS.issuperset(t) for t in map(WORD.findall, marks.split())))
+        strength = max(map(side_name, marks.split()), default=0) if marks and name not in WHOLE else 0
+        named = name == "form" or strength > (1 if place.article and name in TEXTUAL else 0)
+        hidden = bool(token["attributes"]) and name not in WHOLE and HIDDEN.search(token["attributes"]) is not None
         prose = name in ("article", "main") or (place.prose and name in PROSE and not words)
-        place = Element(name, f"{place.path}/{step}", place, name in NEVER or (name == "header" and not place.article), named, place.article or name in ("article", "main"), prose)
+        place = Element(name, f"{place.path}/{step}", place, name in NEVER or hidden or (name == "header" and not place.article), named, place.article or name in ("article", "main"), prose)
         elements.append(place)
         stack.append(place)
         if token["attributes"].endswith("/") and name == "svg":
