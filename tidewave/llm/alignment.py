@@ -32,10 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm.bpe import Vocabulary, encode_step, tree_pieces, vocabulary
+from tidewave.llm import bpe
+from tidewave.llm.bpe import Vocabulary, encode_step, vocabulary
 from tidewave.llm.common import cut, documents, ragged, steps
 
 BLOCK_BYTES = 1 << 20
+#: Different pieces a worker keeps between steps, and bytes of them.
+KEPT_PIECES, KEPT_BYTES = 300_000, 1 << 24
 #: Links of a group beyond which they are counted by different ids.
 MANY_LINKS = 512
 #: A pair of ids as one number: the A id above, the B id below.
@@ -68,6 +71,12 @@ def sentence_pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+@functools.cache
+def kept_pieces(path: str) -> bpe.Pieces:
+    """Pieces of the A side with their ids; fewer than op6 keeps, as the links of a block need memory too."""
+    return bpe.Pieces(vocabulary(path).merge, KEPT_PIECES, KEPT_BYTES)
+
+
 @functools.cache
 def digits(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Decimal digits of the numbers below `most` with room for a sign behind them, which of the bytes count, and how many digits there are."""
@@ -120,7 +129,7 @@ def gives(tokens: Tokens, joined: np.ndarray, raw: np.ndarray, offs: np.ndarray)
 def tokenized(texts: list[str], raw: np.ndarray, offs: np.ndarray, a: Vocabulary, a_path: str, b: Pieces) -> tuple[Tokens, Tokens]:
     """Tokens of both sides of a step; none where either doesn't give the text again."""
     raw, offs = spaced(raw, offs)
-    ids, at = encode_step(raw, offs, tree_pieces(a_path), {})
+    ids, at = encode_step(raw, offs, kept_pieces(a_path), {})
     one = Tokens(ids.astype(np.int64), at, a.lengths[ids])
     ids, at = b.encode(texts)
     two = Tokens(ids, at, b.lengths[ids])
