@@ -141,6 +141,11 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STE
             start = end
 
 
+def give_back() -> None:
+    """Return what Arrow keeps for later batches to the machine: the next stage's workers are the same processes."""
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     x = x ^ (x >> np.uint64(30))

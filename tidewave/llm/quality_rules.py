@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import any_columns, byte_table, cut, mix, rows_of, Spans, steps, word_bounds
+from tidewave.llm.common import any_columns, byte_table, cut, give_back, mix, rows_of, Spans, steps, word_bounds
 
 COMMON, LEAST_WORDS, AT_ONCE = 48, 2000, 256
 #: Different words that a task gathers before it hands on their counts.
@@ -311,6 +311,8 @@ def good_documents(docs: DataFrame, min_words: int = MIN_WORDS, char_limit: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offs in steps(batches):
             yield rows.select(names).filter(pa.array(judge(rows, raw, offs, every, min_words, char_limit, word_limit)[2]))
+            del rows, raw, offs
+        give_back()
 
     return joined.mapInArrow(run, docs.schema)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import any_columns, byte_table, cut, documents, flat, ragged, Spans, steps, with_tie
+from tidewave.llm.common import any_columns, byte_table, cut, documents, flat, give_back, ragged, Spans, steps, with_tie
 
 LENGTH, GRAM = 100, 32
 #: Classes of an anchor beyond which it is split by windows.
@@ -395,6 +395,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
             texts = [x.decode("utf-8", "ignore") for x in own]
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in columns], columns)
+            del rows, raw, own, texts, new
+        give_back()
 
     schema = docs.withColumn("text", F.lit("")).schema if "n_chars" not in columns else docs.withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
     for f in schema.fields:
