@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewave.llm import suffix_dedup as sd
+from tidewave.llm.common import TIDY, cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -145,3 +146,17 @@ def test_strings_that_stay_out_of_a_collection_have_no_equal_windows():
         assert kept.sum() < len(kept)
     none = np.zeros(0, np.int64)
     assert len(sd.may_repeat(np.zeros(0, np.uint8), np.zeros(1, np.int64), none, none)) == 0
+
+
+def test_a_table_written_tidily_leaves_the_session_as_it_was(spark):
+    rows = spark.range(1000).groupBy(F.pmod("id", F.lit(7)).alias("k")).count()
+    for before in (None, "false"):
+        spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+        try:
+            assert sorted(map(tuple, cut(rows, "tidy", tidy=True).collect())) == sorted(map(tuple, rows.collect()))
+            assert spark.conf.get(TIDY, None) == before
+            with pytest.raises(Exception, match="no number"):
+                cut(rows.withColumn("bad", F.raise_error(F.lit("no number")).cast("long")), "tidy", tidy=True)
+            assert spark.conf.get(TIDY, None) == before
+        finally:
+            spark.conf.unset(TIDY)

@@ -37,11 +37,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, and survives lost executors."""
+#: Spark's setting by which a query removes its shuffle files when it ends, and not when the driver next collects garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage, and survives lost executors. tidy: the shuffle files behind it go
+    as soon as it is written; nothing reads them again, as the table stands in for them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewave/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(TIDY, None)
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
     again = spark.read.schema(df.schema).parquet(path)
     again._cut_path = path
     return again

@@ -333,10 +333,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     crowd = crowd.withColumn("classes", F.sum("n").over(Window.partitionBy("anchor"))).where("classes > 1").select("anchor", "salt", "classes")
     rows = rows.join(crowd, ["anchor", "salt"], "left").where("gone OR classes IS NOT NULL")
     start, place, windows = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFF)), F.col("at").bitwiseAND(F.lit(0xFFFF))
-    found = cut(rows.select("anchor", "doc_id", "tie", start.alias("start"), place.alias("place"), windows.alias("windows"), "gone", "classes"), "segments")
+    found = cut(rows.select("anchor", "doc_id", "tie", start.alias("start"), place.alias("place"), windows.alias("windows"), "gone", "classes"), "segments", tidy=True)
     whole = found.where("gone").select("doc_id", "tie", F.col("start").alias("from"), (F.col("start") + F.col("windows") + (length - 1)).alias("to"))
     first = found.where("NOT gone").select("anchor", "doc_id", "tie", "start", "place", "windows", "classes")
-    texts = cut(_with_text(docs, first, length), "segment-texts")
+    texts = cut(_with_text(docs, first, length), "segment-texts", tidy=True)
     few, many = texts.where(F.col("classes") <= hot), texts.where(F.col("classes") > hot)
     return whole.unionByName(_sorted_collections(few, length)).unionByName(_split_by_window(many, length))
 
