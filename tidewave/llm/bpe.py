@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewave.llm.common import Spans, byte_table, documents, mix, ragged, same_bytes, short_keys, steps
+from tidewave.llm.common import Spans, byte_table, documents, large, mix, ragged, same_bytes, short_keys, steps
 
 L, N, S, O = 1, 2, 3, 0  # noqa: E741  letters, numbers, white space, all else
 #: What \\s of the published pattern takes beside the ASCII ones.
@@ -346,6 +346,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+@large
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -438,6 +439,7 @@ class Pieces:
         return out
 
 
+@large
 @functools.cache
 def tree_pieces(path: str) -> Pieces:
     return Pieces(vocabulary(path).merge)

@@ -6,6 +6,7 @@ hundreds of documents. A null text counts as an empty one everywhere.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -153,9 +154,64 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STE
             start = end
 
 
+#: Cached functions whose values are large, of the modules that a worker has loaded.
+LARGE: list = []
+
+
+def large(cached: Callable) -> Callable:
+    """A cached function whose values lean tasks let go of."""
+    LARGE.append(cached)
+    return cached
+
+
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that returns freed memory to the machine, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
 def give_back() -> None:
-    """Return what Arrow keeps for later batches to the machine: the next stage's workers are the same processes."""
+    """Return what Arrow and numpy keep for later arrays to the machine: the next stage's workers are the same processes."""
     pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
+def let_go() -> None:
+    """Drop the tables that tasks of other operators left in this worker; they are built again where they are needed."""
+    held = [f for f in LARGE if f.cache_info().currsize]
+    for f in held:
+        f.cache_clear()
+    if held:
+        give_back()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that begins without other operators' tables, and gives back its memory when it ends. Workers wait for their next
+    task beside the JVM's shuffles and sorts, with all they still hold."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        try:
+            yield from run(batches)
+        finally:  # all that run held is gone with its frame
+            give_back()
+
+    return task
+
+
+#: Rows that passed_on gives at once.
+PASSED_ON = 1 << 16
+
+
+def passed_on(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces: the JVM holds a piece as a whole."""
+    for k in range(0, batch.num_rows, PASSED_ON):
+        yield batch.slice(k, PASSED_ON)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

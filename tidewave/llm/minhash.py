@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import any_columns, byte_table, cut, discard, documents, exact_words, flat, mix, rows_of, Spans, steps, with_tie, word_bounds
+from tidewave.llm.common import any_columns, byte_table, cut, discard, documents, exact_words, flat, lean, mix, rows_of, Spans, steps, with_tie, word_bounds
 
 WIDTH = 5
 BANDS, ROWS = 28, 5
@@ -155,7 +155,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(regs) + 1, dtype=np.int32) * BANDS), pa.array(key.view(np.int64).reshape(-1)))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("__tie"), pa.array(np.diff(first)), pa.array(prints[0]), pa.array(prints[1]), pa.array([r.tobytes() for r in regs], pa.binary()), keys], ["doc_id", "tie", "n", "print_1", "print_2", "regs", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, tie long, n long, print_1 long, print_2 long, regs binary, keys array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, tie long, n long, print_1 long, print_2 long, regs binary, keys array<long>")
 
 
 def fingerprints(hashed: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -174,7 +174,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             sets = pa.array([hashed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(first)), pa.array(prints[0]), pa.array(prints[1]), sets, rows.column("text")], ["doc_id", "n", "print_1", "print_2", "shingles", "text"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, print_1 long, print_2 long, shingles binary, text string")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, print_1 long, print_2 long, shingles binary, text string")
 
 
 def lone_shingles(sets: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def lone_shingles(sets: DataFrame) -> DataFrame:
                 lists = [np.frombuffer(x.as_py(), np.int64) for x in some.column("shingles")]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.repeat(some.column("node").to_numpy(), [len(x) for x in lists]))], ["shingle", "node"])
 
-    rows = sets.select("shingles", "node").mapInArrow(run, "shingle long, node long")
+    rows = sets.select("shingles", "node").mapInArrow(lean(run), "shingle long, node long")
     return rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("lone"))
 
 
@@ -239,7 +239,7 @@ def compared(pairs: DataFrame, known: DataFrame, percent: int, whole: bool = Fal
     joined = pairs
     for side in ("a", "b"):
         joined = joined.join(known.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in names)), side)
-    return joined.select("a", "b", *(f"{c}_{side}" for c in names for side in ("a", "b"))).mapInArrow(run, "a long, b long, share double, linked boolean")
+    return joined.select("a", "b", *(f"{c}_{side}" for c in names for side in ("a", "b"))).mapInArrow(lean(run), "a long, b long, share double, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:

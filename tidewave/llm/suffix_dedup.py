@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import any_columns, byte_table, cut, documents, flat, give_back, ragged, Spans, steps, with_tie
+from tidewave.llm.common import any_columns, byte_table, cut, documents, flat, lean, passed_on, ragged, Spans, steps, with_tie
 
 LENGTH, GRAM = 100, 32
 #: Classes of an anchor beyond which it is split by windows.
@@ -44,6 +44,8 @@ HOT = 20_000
 SALTS = 1_024
 #: Strings that are read at once for a transform; half of them share spans, on the test tables.
 COLLECTION = 2_400
+#: Documents whose segments' bytes are taken at once.
+SOME = 512
 END = 255
 _ANCHOR, _TEXT, _OTHER = 0x9E3779B97F4A7C15 | 5, 0x2545F4914F6CDD1D, 0xD1342543DE82EF95
 
@@ -224,19 +226,23 @@ def _segment_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
+            parts: list[list[np.ndarray]] = [[], [], [], [], []]
             for rows, raw, offs in steps(iter([batch])):
                 doc, start, windows, anchor, text, place = segments(raw, offs, length, gram)
-                parts.append((rows.column("doc_id").to_numpy()[doc], rows.column("__tie").to_numpy()[doc], start << 32 | place << 16 | windows, anchor, text))
-            if not parts:
+                for part, values in zip(parts, (rows.column("doc_id").to_numpy()[doc], rows.column("__tie").to_numpy()[doc], start << 32 | place << 16 | windows, anchor, text), strict=True):
+                    part.append(values)
+            if not parts[0]:
                 continue
-            doc, tie, at, anchor, text = (np.concatenate(p) for p in zip(*parts, strict=True))
+            del doc, start, windows, anchor, text, place, part, values
+            # a column's pieces go as soon as they are joined
+            doc, tie, at, anchor, text = (np.concatenate(parts.pop(0)) for _ in range(5))
             later = repeated_rows([text, anchor], in_order(doc, tie), at)
             anchor = np.where(later, text ^ (doc ^ tie).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (at >> 32).astype(np.uint64), anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(text.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(at), pa.array(later)], ["anchor", "text", "doc_id", "tie", "at", "later"])
+            yield from passed_on(pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(text.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(at), pa.array(later)], ["anchor", "text", "doc_id", "tie", "at", "later"]))
+            del doc, tie, at, anchor, text, later
 
     # without nulls: a filter for them would keep the two uses of this table from sharing its shuffle
-    return docs.mapInArrow(run, "anchor long NOT NULL, text long NOT NULL, doc_id long NOT NULL, tie long NOT NULL, at long NOT NULL, later boolean NOT NULL")
+    return docs.mapInArrow(lean(run), "anchor long NOT NULL, text long NOT NULL, doc_id long NOT NULL, tie long NOT NULL, at long NOT NULL, later boolean NOT NULL")
 
 
 def _with_text(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -244,21 +250,23 @@ def _with_text(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = flat(batch.column("text"))
-            lists = batch.column("wanted")
-            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            fields = lists.flatten()
-            anchor, start, place, windows, classes = (fields.field(k).to_numpy() for k in ("anchor", "start", "place", "windows", "classes"))
-            size = windows + length - 1
-            cuts = np.append(0, np.cumsum(size)).astype(np.int32)
-            data = raw[ragged(offs[owner] + start, size)]
-            column = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
-            ids = (batch.column(k).take(pa.array(owner)) for k in ("doc_id", "tie"))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), *ids, pa.array(start), pa.array(place), pa.array(classes), column], ["anchor", "doc_id", "tie", "start", "place", "classes", "bytes"])
+            for k in range(0, batch.num_rows, SOME):
+                some = batch.slice(k, SOME)
+                raw, offs = flat(some.column("text"))
+                lists = some.column("wanted")
+                owner = np.repeat(np.arange(some.num_rows), lists.value_lengths().to_numpy())
+                fields = lists.flatten()
+                anchor, start, place, windows, classes = (fields.field(k).to_numpy() for k in ("anchor", "start", "place", "windows", "classes"))
+                size = windows + length - 1
+                cuts = np.append(0, np.cumsum(size)).astype(np.int32)
+                data = raw[ragged(offs[owner] + start, size)]
+                column = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
+                ids = (some.column(k).take(pa.array(owner)) for k in ("doc_id", "tie"))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), *ids, pa.array(start), pa.array(place), pa.array(classes), column], ["anchor", "doc_id", "tie", "start", "place", "classes", "bytes"])
 
     by_doc = wanted.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "place", "windows", "classes")).alias("wanted"))
     joined = by_doc.join(docs.withColumnRenamed("__tie", "tie"), ["doc_id", "tie"]).select("doc_id", "tie", "text", "wanted")
-    return joined.mapInArrow(run, "anchor long, doc_id long, tie long, start long, place long, classes long, bytes binary")
+    return joined.mapInArrow(lean(run), "anchor long, doc_id long, tie long, start long, place long, classes long, bytes binary")
 
 
 def _sorted_collections(pieces: DataFrame, length: int) -> DataFrame:
@@ -297,7 +305,7 @@ def _sorted_collections(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, tie long, from long, to long")
+    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(run), "doc_id long, tie long, from long, to long")
 
 
 def _split_by_window(pieces: DataFrame, length: int) -> DataFrame:
@@ -317,7 +325,7 @@ def _split_by_window(pieces: DataFrame, length: int) -> DataFrame:
                 one = np.where(later, one ^ ((doc ^ tie).astype(np.uint64) << np.uint64(20)) + start.astype(np.uint64), one)
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(start), pa.array(later)], ["one", "two", "doc_id", "tie", "start", "later"])
 
-    rows = pieces.mapInArrow(run, "one long, two long, doc_id long, tie long, start long, later boolean")
+    rows = pieces.mapInArrow(lean(run), "one long, two long, doc_id long, tie long, start long, later boolean")
     earliest = Window.partitionBy("one", "two").orderBy("doc_id", "tie", "start")
     rows = rows.withColumn("place", F.rank().over(earliest)).where("later OR place > 1")
     return rows.select("doc_id", "tie", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
@@ -381,7 +389,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             own, removed, spans = kept_bytes(raw, offs, rows.column("__ranges"))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(offs)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(x).hexdigest() for x in own])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_ranges(documents(docs), length, gram, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_ranges(documents(docs), length, gram, hot).mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 @any_columns
@@ -395,13 +403,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
             texts = [x.decode("utf-8", "ignore") for x in own]
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in columns], columns)
-            del rows, raw, own, texts, new
-        give_back()
 
     schema = docs.withColumn("text", F.lit("")).schema if "n_chars" not in columns else docs.withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
     for f in schema.fields:
         f.nullable = True
-    return _with_ranges(docs, length, gram, hot).select(*columns, "__ranges").mapInArrow(run, schema)
+    return _with_ranges(docs, length, gram, hot).select(*columns, "__ranges").mapInArrow(lean(run), schema)
 
 
 #: Each window of each document is compared with all; a missing id has no windows. Of different texts of one id, the lesser is earlier.
